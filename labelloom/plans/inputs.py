@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.sources.tables import read_parquet
+from labelloom.sources.tables import read_parquet, spread
 from labelloom.sources.taxonomy import mapping_table, queue_table
 
 SCHEMAS = {
@@ -240,7 +240,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     """(id, text, intent, split); the split follows the md5 order of ids, one in five is test."""
     size = F.when(F.col("n_chars") < 500, "s").otherwise("l")
     bucket = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 4), 16, 10).cast("int")
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents"), "doc_id").select(
         F.col("doc_id").alias("id"),
         "text",
         F.concat_ws("_", "lang", size).alias("intent"),

@@ -10,12 +10,12 @@ from pyspark.sql import types as T
 
 from labelloom.functions import text as X
 from labelloom.functions.vectors import unit_vector
-from labelloom.operators import classifiers, evaluation, features, joins, sampling, scoring, taxonomy
+from labelloom.operators import classifiers, evaluation, experiments, features, joins, sampling, scoring, taxonomy
 from labelloom.plans import inputs as given
 from labelloom.plans.inputs import DOCUMENT_CLASSES, DOCUMENTS_SQL, TERMS_SQL, VOCABULARY_SQL
 from labelloom.plans.registry import query, rounded, short
 from labelloom.session import new_path, stored
-from labelloom.sources.tables import training_rows
+from labelloom.sources.taxonomy import mapping_table
 from labelloom.streaming.incremental import file_stream, score_stream
 
 TASK = "Name the language of the message. Choose exactly one class from the list below."
@@ -31,6 +31,10 @@ def _terms(spark: SparkSession, folder: str) -> DataFrame:
     return features.document_terms(_texts(spark, folder))
 
 
+def _frozen_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
+    return stored(features.vocabulary(_terms(spark, folder)), "vocabulary")
+
+
 def _labelled(spark: SparkSession, folder: str) -> DataFrame:
     return taxonomy.relabelled(given.documents(spark, folder), given.document_mapping(spark))
 
@@ -139,7 +143,7 @@ weights AS (SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) A
 )
 def tfidf_weights(spark: SparkSession, folder: str) -> DataFrame:
     terms = _terms(spark, folder)
-    weights = features.tfidf(terms, features.vocabulary(terms))
+    weights = features.tfidf(terms, _frozen_vocabulary(spark, folder))
     return rounded(weights.select("id", "term", "weight"), "weight")
 
 
@@ -219,44 +223,60 @@ def embedding_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 
 GRID_BUDGETS = (5, 10)
+GRID_DRAWS = (1, 2)
+RUN = ("model", "budget", "draw")
 
 
-def _grid(spark: SparkSession, folder: str, draws: int) -> DataFrame:
-    """Predictions of every (model, budget, draw) on the same held-out texts, in one table.
-
-    Terms are counted once; every cell then picks its training rows by id.
-    """
-    labelled = stored(_labelled(spark, folder), "labelled")
+@query()
+def experiment_grid(spark: SparkSession, folder: str) -> DataFrame:
+    """Macro-F1 and accuracy per cell of the grid, from one grouped pass over all predictions."""
+    labelled = _labelled(spark, folder)
     train, test = _split(labelled, "train"), _split(labelled, "test")
     mapping = given.document_mapping(spark)
-    history = taxonomy.reusable_history(train, mapping)
-    sets = stored(
-        sampling.adaptation_sets(taxonomy.candidates(train, mapping), GRID_BUDGETS, draws, 2), "sets"
+    pool = taxonomy.candidates(train, mapping)
+    predictions = experiments.text_grid(
+        taxonomy.reusable_history(train, mapping),
+        sampling.adaptation_sets(pool, GRID_BUDGETS, len(GRID_DRAWS), classes=2),
+        test,
+        GRID_BUDGETS,
+        GRID_DRAWS,
     )
-    train_terms = stored(features.document_terms(taxonomy.model_view(train)), "train-terms")
-    test_terms = stored(features.document_terms(taxonomy.model_view(test)), "test-terms")
-    path = new_path(spark, "predictions")
-    for budget in GRID_BUDGETS:
-        for draw in range(1, draws + 1):
-            cell = sets.where((F.col("budget") == budget) & (F.col("draw") == draw))
-            rows = training_rows(history, cell).select("id", "v2_label")
-            fitted = classifiers.fit_text(
-                stored(rows.join(train_terms, "id"), "cell"), "v2_label", balanced=True
-            )
-            classifiers.predict_text(fitted, test_terms).select(
-                F.lit("tfidf_lr").alias("model"), F.lit(budget).alias("budget"), F.lit(draw).alias("draw"), "id", "prediction"
-            ).write.mode("append").parquet(path)
-    key = labelled.schema["id"].dataType.simpleString()
-    schema = f"model string, budget int, draw int, id {key}, prediction string"
-    return spark.read.schema(schema).parquet(path).join(test.select("id", "v2_label"), "id")
+    outcomes = predictions.join(test.select("id", "v2_label"), "id")
+    return evaluation.run_metrics(evaluation.confusion_counts(outcomes, "v2_label", RUN), "v2_label", RUN)
+
+
+TOPIC_OF = {str(i): ("LOW" if i < 4 else "MIDDLE" if i < 7 else "HIGH") for i in range(10)}
+TOPIC_TAXONOMY = {
+    "mapping": {
+        topic: {
+            "v1": v1,
+            "v2": v1 if v1 != "HIGH" else f"HIGH_{topic}",
+            "change": "unchanged" if v1 != "HIGH" else "split",
+        }
+        for topic, v1 in TOPIC_OF.items()
+    }
+}
 
 
 @query()
-def experiment_grid(spark: SparkSession, folder: str) -> DataFrame:
-    """Macro-F1 and accuracy per cell of the grid, from one grouped pass over all predictions."""
-    run = ("model", "budget", "draw")
-    outcomes = _grid(spark, folder, draws=2)
-    return evaluation.run_metrics(evaluation.confusion_counts(outcomes, "v2_label", run), "v2_label", run)
+def embedding_grid(spark: SparkSession, folder: str) -> DataFrame:
+    """The grid on the given embeddings; three topics of one old class become classes of their own."""
+    rows, embeddings = _vectors(spark, folder)
+    mapping = mapping_table(spark, TOPIC_TAXONOMY)
+    corpus = rows.select("id", F.col("label").alias("intent"), F.lit("").alias("text"), "split")
+    labelled = taxonomy.relabelled(corpus, mapping)
+    train, test = _split(labelled, "train"), _split(labelled, "test")
+    pool = taxonomy.candidates(train, mapping)
+    predictions = experiments.embedding_grid(
+        taxonomy.reusable_history(train, mapping),
+        sampling.adaptation_sets(pool, GRID_BUDGETS, len(GRID_DRAWS), classes=3),
+        test,
+        embeddings,
+        GRID_BUDGETS,
+        GRID_DRAWS,
+    )
+    outcomes = predictions.join(test.select("id", "v2_label"), "id")
+    return evaluation.run_metrics(evaluation.confusion_counts(outcomes, "v2_label", RUN), "v2_label", RUN)
 
 
 # ------------------------------------------------------------------- zero-shot
@@ -289,10 +309,6 @@ scores AS (
   FROM placed GROUP BY id)"""
 
 
-def _frozen_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
-    return stored(features.vocabulary(_terms(spark, folder)), "vocabulary")
-
-
 def _shown(scores: DataFrame) -> DataFrame:
     return scores.select(
         "id",

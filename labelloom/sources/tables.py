@@ -17,6 +17,16 @@ def read_parquet(spark: SparkSession, path: str, schema: str | T.StructType) ->
     return spark.read.schema(schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give every core a share of a table that is stored in fewer pieces than there are cores.
+
+    For costly work per row on small inputs. A large table has more pieces than
+    the cluster has cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_splits(spark: SparkSession, paths: dict[str, str], schema: str | T.StructType) -> DataFrame:
     """Several splits as one table with a ``split`` column."""
     parts = [
