@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -333,19 +334,23 @@ def argmax_class(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(best, "probability")
 
 
-def marker_scorer() -> scoring.Scorer:
+def marker_scorer(classes: scoring.Classes) -> Callable[[], scoring.Scorer]:
     """A user's scorer: counts marker words of each class and answers in a sentence."""
-    markers = {label: text.split(" ") for label, text in sorted(DOCUMENT_CLASSES)}
 
-    def answer(texts: list[str]) -> list[str]:
-        answers = []
-        for text in texts:
-            seen = Counter(text.lower().split(" "))
-            points = {label: sum(seen[word] for word in words) for label, words in markers.items()}
-            answers.append(f"Class: {max(sorted(points), key=points.get)}.")
-        return answers
+    def load() -> scoring.Scorer:
+        markers = {label: text.split(" ") for label, text in sorted(classes)}
 
-    return answer
+        def answer(texts: list[str]) -> list[str]:
+            answers = []
+            for text in texts:
+                seen = Counter(text.lower().split(" "))
+                points = {label: sum(seen[word] for word in words) for label, words in markers.items()}
+                answers.append(f"Class: {max(sorted(points), key=points.get)}.")
+            return answers
+
+        return answer
+
+    return load
 
 
 MARKERS_SQL = f"""
@@ -364,7 +369,7 @@ answers AS (
 
 @query(f"{MARKERS_SQL} SELECT id, 'Class: ' || prediction || '.' AS raw_output, prediction FROM answers")
 def user_scorer_answers(spark: SparkSession, folder: str) -> DataFrame:
-    answers = scoring.answers_of(_texts(spark, folder), marker_scorer)
+    answers = scoring.answers_of(_texts(spark, folder), marker_scorer(DOCUMENT_CLASSES))
     return answers.select("id", "raw_output", X.parsed_answer(F.col("raw_output"), CODES).alias("prediction"))
 
 
@@ -376,7 +381,7 @@ def resumed_scores(spark: SparkSession, folder: str) -> DataFrame:
     path = new_path(spark, "results")
 
     def score(rows: DataFrame) -> DataFrame:
-        answers = scoring.answers_of(rows, marker_scorer)
+        answers = scoring.answers_of(rows, marker_scorer(DOCUMENT_CLASSES))
         return answers.select("id", X.parsed_answer(F.col("raw_output"), CODES).alias("prediction"))
 
     scoring.score_pending(first, score, path, "markers", "1.0", run=1)
