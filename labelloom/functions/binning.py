@@ -1,4 +1,4 @@
-"""Fixed-edge and quantile bins, and the coarse order buckets used for ranking."""
+"""Fixed-edge and quantile bins."""
 
 from __future__ import annotations
 
@@ -32,28 +32,3 @@ def quantile_bucket(value: Column, edges: Column, quantiles: int) -> Column:
         for i in range(1, quantiles)
     ]
     return reduce(add, above, F.lit(1))
-
-
-def numeric_bucket(value: Column, low: Column, high: Column, buckets: int, heavy_tail: bool) -> Column:
-    """Bucket number that never decreases as the value grows.
-
-    ``heavy_tail`` spreads values such as latencies on a logarithmic scale.
-    """
-    if heavy_tail:
-        value, low, high = (F.signum(x) * F.log1p(F.abs(x)) for x in (value, low, high))
-    share = (value - low) / F.nullif(high - low, F.lit(0))
-    return F.coalesce(F.floor(share * (buckets - 1)), F.lit(0)).cast("int")
-
-
-def shared_prefix(low: Column, high: Column) -> Column:
-    """Length of the common prefix of two texts."""
-    equal = F.filter(
-        F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))),
-        lambda i: (F.substring(low, F.lit(1), i) == F.substring(high, F.lit(1), i)) & (i <= F.length(low)),
-    )
-    return F.size(equal)
-
-
-def text_bucket(value: Column, prefix: Column, width: int = 3) -> Column:
-    """Characters that follow the prefix shared by all values, as an ordered bucket."""
-    return F.substring(value, prefix + 1, F.lit(width))

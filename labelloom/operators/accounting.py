@@ -14,7 +14,7 @@ from labelloom.operators.ordering import exact_quantiles
 def latency_summary(responses: DataFrame, by: Sequence[str] = (), column: str = "latency_ms") -> DataFrame:
     """Mean, median and 95th percentile (linear interpolation) of a recorded latency."""
     means = responses.groupBy(*by).agg(F.avg(column).alias("mean"))
-    tails = exact_quantiles(responses, column, [0.5, 0.95], by, heavy_tail=True)
+    tails = exact_quantiles(responses, column, [0.5, 0.95], by)
     if by:
         joined = means.join(tails, list(by))
     else:

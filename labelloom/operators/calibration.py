@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import add
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from labelloom.functions.binning import fixed_bin, quantile_bucket, unit_edges
@@ -24,13 +24,8 @@ from labelloom.functions.probabilities import (
 )
 from labelloom.operators.evaluation import correct
 from labelloom.operators.joins import matched
-from labelloom.operators.ordering import (
-    exact_quantiles,
-    first_rows,
-    running_totals,
-    sum_of_first,
-)
-from labelloom.sizing import dimension, settled
+from labelloom.operators.ordering import exact_quantiles, running_totals, value_at
+from labelloom.sizing import dimension
 
 # Number of bins and quantiles, review fractions, and the smallest
 # probability that enters a logarithm (double precision epsilon).
@@ -236,30 +231,55 @@ def review_cuts(cases: DataFrame, fractions: Sequence[float] = REVIEW_FRACTIONS)
     )
 
 
+def _reviewed(cases: DataFrame, cut: Row) -> Column:
+    """Whether a case comes no later than a cut in the order (confidence, id)."""
+    confidence = F.col("api_confidence")
+    if cut["tied_needed"] == cut["tied_cases"]:
+        return confidence <= cut["cut_confidence"]
+    tied = cases.where(confidence == cut["cut_confidence"])
+    last = value_at(tied, "id", cut["tied_needed"], cut["tied_cases"])
+    return (confidence < cut["cut_confidence"]) | (
+        (confidence == cut["cut_confidence"]) & (F.col("id") <= last)
+    )
+
+
 def review_table(cases: DataFrame, fractions: Sequence[float] = REVIEW_FRACTIONS) -> DataFrame:
     """Errors caught when the least confident share of cases is reviewed.
 
-    ``cases`` is read several times; pass a stored table. Order is (confidence, id). Since the cut may fall inside a group of equal
-    confidence, the least and most errors any other order could catch are given too.
+    ``cases`` is read several times; pass a stored table. Order is (confidence, id). Since
+    the cut may fall inside a group of equal confidence, the least and most errors any
+    other order could catch are given too. All fractions are counted in one pass.
     """
-    cuts = settled(review_cuts(cases, fractions), len(fractions))
-    tied = cases.select(
-        "id", F.col("api_confidence").alias("cut_confidence"), (1 - F.col("correct")).alias("error")
-    ).join(cuts.select("review_fraction", "cut_confidence", "tied_needed"), "cut_confidence")
-    inside = sum_of_first(tied, "review_fraction", "tied_needed", "id", "error")
-    caught = F.col("errors_below") + F.col("total")
-    least = F.greatest(F.col("tied_needed") - (F.col("tied_cases") - F.col("tied_errors")), F.lit(0))
-    return cuts.join(F.broadcast(inside), "review_fraction").select(
+    cuts = review_cuts(cases, fractions).collect()  # one row per fraction
+    error = 1 - F.col("correct")
+    rows = []
+    for cut in cuts:
+        least = max(cut["tied_needed"] - (cut["tied_cases"] - cut["tied_errors"]), 0)
+        most = min(cut["tied_needed"], cut["tied_errors"])
+        caught = F.sum(F.when(_reviewed(cases, cut), error).otherwise(F.lit(0)))
+        rows.append(
+            F.struct(
+                F.lit(cut["review_fraction"]).alias("review_fraction"),
+                F.lit(cut["reviewed_cases"]).cast("bigint").alias("reviewed_cases"),
+                F.lit(cut["total_errors"]).cast("bigint").alias("total_errors"),
+                caught.alias("errors_caught"),
+                F.lit(cut["cut_confidence"]).alias("max_confidence_reviewed"),
+                F.lit(cut["errors_below"] + least).cast("bigint").alias("errors_caught_least"),
+                F.lit(cut["errors_below"] + most).cast("bigint").alias("errors_caught_most"),
+            )
+        )
+    counted = cases.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    return counted.select(
         "review_fraction",
         (F.col("review_fraction") * 100).alias("review_percentage"),
         "reviewed_cases",
         "total_errors",
-        caught.alias("errors_caught"),
-        ratio(caught, F.col("total_errors")).alias("error_capture_rate"),
-        (caught / F.col("reviewed_cases")).alias("reviewed_error_rate"),
-        F.col("cut_confidence").alias("max_confidence_reviewed"),
-        (F.col("errors_below") + least).alias("errors_caught_least"),
-        (F.col("errors_below") + F.least("tied_needed", "tied_errors")).alias("errors_caught_most"),
+        "errors_caught",
+        ratio(F.col("errors_caught"), F.col("total_errors")).alias("error_capture_rate"),
+        (F.col("errors_caught") / F.col("reviewed_cases")).alias("reviewed_error_rate"),
+        "max_confidence_reviewed",
+        "errors_caught_least",
+        "errors_caught_most",
     )
 
 
@@ -268,7 +288,4 @@ def lowest_confidence(cases: DataFrame, fraction: float) -> DataFrame:
 
     ``cases`` is read several times; pass a stored table.
     """
-    cut = review_cuts(cases, [fraction]).first()
-    below = cases.where(F.col("api_confidence") < cut["cut_confidence"])
-    tied = cases.where(F.col("api_confidence") == cut["cut_confidence"])
-    return below.unionByName(first_rows(tied, "id", cut["tied_needed"]))
+    return cases.where(_reviewed(cases, review_cuts(cases, [fraction]).first()))

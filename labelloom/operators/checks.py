@@ -44,7 +44,7 @@ def taxonomy_violations(
     )
     for stage in ("v1", "v2"):
         names = queues.where(F.col("stage") == stage).select(F.col("queue").alias(stage))
-        strays = mapping.join(F.broadcast(names), stage, "left_anti")
+        strays = mapping.join(names, stage, "left_anti")
         found.append(
             strays.select(
                 *_violation("queue", F.col("intent"), F.lit(f"references an unknown {stage} queue"))
@@ -139,7 +139,7 @@ def ambiguous_clean_queues(history: DataFrame, mapping: DataFrame) -> DataFrame:
     return (
         history.groupBy("v1_label", "v2_label")
         .agg(F.count(F.lit(1)).alias("rows"))
-        .join(F.broadcast(clean), "v1_label", "left_semi")
+        .join(clean, "v1_label", "left_semi")
         .groupBy("v1_label")
         .agg(F.count(F.lit(1)).alias("labels"), F.sum("rows").alias("rows"))
         .where(F.col("labels") > 1)

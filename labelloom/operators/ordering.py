@@ -1,36 +1,39 @@
 """Exact ranks without a global sort in one task.
 
-Values are put into a few thousand buckets that never decrease as the value
-grows. A small histogram tells which bucket holds a rank; only rows of that
-bucket are ranked. The buckets steer the work and never the result.
+Values are put into about a thousand buckets whose edges are approximate
+quantiles, so that no bucket holds much more than its share of different
+values, however skewed they are. A small histogram tells which bucket holds a
+rank; only rows of that bucket are ranked. The edges steer the work and never
+the result.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloom.functions.binning import numeric_bucket, shared_prefix, text_bucket
+from labelloom.sizing import MAX_DIMENSION_ROWS, small_table
 
-BUCKETS = 4096
+BUCKETS = 1000
+RANKED_ROWS = 100_000
 
 
-def bounds(df: DataFrame, column: str) -> Column:
-    """Smallest and largest value as one scalar struct."""
-    return df.agg(F.struct(F.min(column).alias("low"), F.max(column).alias("high")).alias("b")).scalar()
+def with_bucket(df: DataFrame, column: str) -> DataFrame:
+    """Add ``_b``, a bucket number that never decreases as the numeric column grows.
 
-
-def order_bucket(df: DataFrame, column: str, heavy_tail: bool = False) -> Column:
-    """Bucket of a numeric or text column of ``df``, in the order of its values."""
-    if dict(df.dtypes)[column] == "string":
-        limits = df.agg(F.min(column).alias("low"), F.max(column).alias("high"))
-        prefix = limits.select(shared_prefix(F.col("low"), F.col("high"))).scalar()
-        return text_bucket(F.col(column), prefix)
-    limits = bounds(df, column)
-    value, low, high = (c.cast("double") for c in (F.col(column), limits["low"], limits["high"]))
-    return numeric_bucket(value, low, high, BUCKETS, heavy_tail)
+    Reads the column once for its approximate quantiles (a bounded sketch).
+    """
+    shares = [i / BUCKETS for i in range(BUCKETS + 1)]
+    edges = sorted(set(df.approxQuantile(column, shares, 1 / (2 * BUCKETS))))
+    splits = [float("-inf"), *edges[1:], float("inf")]
+    if len(splits) < 3:
+        return df.withColumn("_b", F.lit(0))
+    bucketizer = Bucketizer(splits=splits, inputCol=column, outputCol="_b", handleInvalid="keep")
+    return bucketizer.transform(df).withColumn("_b", F.col("_b").cast("int"))
 
 
 def _running(by: Sequence[str], order: str) -> Window:
@@ -38,21 +41,17 @@ def _running(by: Sequence[str], order: str) -> Window:
 
 
 def exact_quantiles(
-    df: DataFrame,
-    column: str,
-    fractions: Sequence[float],
-    by: Sequence[str] = (),
-    heavy_tail: bool = False,
+    df: DataFrame, column: str, fractions: Sequence[float], by: Sequence[str] = ()
 ) -> DataFrame:
     """``by`` columns and ``quantiles``: linearly interpolated quantiles as an array."""
     values = df.select(*by, F.col(column).cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v")
     )
-    bucketed = values.withColumn("_b", order_bucket(values, "_v", heavy_tail))
+    bucketed = with_bucket(values, "_v")
 
     positions = [F.lit(f) * (F.col("_total") - 1) for f in fractions]
     ranks = F.array(*[r for p in positions for r in (F.floor(p), F.ceil(p))])
-    histogram = (
+    hits = (
         bucketed.groupBy(*by, "_b")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_end", F.sum("_n").over(_running(by, "_b")))
@@ -61,8 +60,8 @@ def exact_quantiles(
         .where(F.exists(ranks, lambda r: (r >= F.col("_start")) & (r < F.col("_end"))))
         .select(*by, "_b", "_start", "_total")
     )
-    # Without groups, the histogram keeps at most two buckets per fraction.
-    hits = histogram if by else F.broadcast(histogram)
+    # Two buckets per group and fraction at most: rows of all others stop at the join.
+    hits = small_table(hits, MAX_DIMENSION_ROWS) if by else F.broadcast(hits)
     ranked = (
         bucketed.join(hits, [*by, "_b"])
         .groupBy(*by, "_b", "_start", "_total", "_v")
@@ -75,18 +74,13 @@ def exact_quantiles(
         return F.min(F.when((rank >= F.col("_first")) & (rank < F.col("_end")), F.col("_v")))
 
     ends = F.array(*[F.struct(at(F.floor(p)).alias("lo"), at(F.ceil(p)).alias("hi")) for p in positions])
-    steps = F.array(*[F.lit(f) for f in fractions])
+    steps = F.array(*[p - F.floor(p) for p in positions])
     return (
         ranked.groupBy(*by, "_total")
         .agg(ends.alias("_ends"))
         .select(
             *by,
-            F.zip_with(
-                "_ends",
-                steps,
-                lambda e, f: e["lo"]
-                + (e["hi"] - e["lo"]) * (f * (F.col("_total") - 1) - F.floor(f * (F.col("_total") - 1))),
-            ).alias("quantiles"),
+            F.zip_with("_ends", steps, lambda e, s: e["lo"] + (e["hi"] - e["lo"]) * s).alias("quantiles"),
         )
     )
 
@@ -95,65 +89,55 @@ def running_totals(df: DataFrame, order: str, sums: dict[str, Column]) -> DataFr
     """For every distinct value of a numeric column, the sums over all rows up to it.
 
     Rows with equal values are folded first. Each bucket is summed in its own
-    task, and bucket totals (a few thousand rows) give the offsets.
+    task, and bucket totals (a thousand rows) give the offsets.
     """
     names = list(sums)
-    per_value = df.where(F.col(order).isNotNull()).groupBy(order).agg(
-        *[total.alias(name) for name, total in sums.items()]
-    )
-    bucketed = per_value.withColumn("_b", order_bucket(df, order))
-    offsets = bucketed.groupBy("_b").agg(*[F.sum(n).alias(n) for n in names])
+    bucketed = with_bucket(df.where(F.col(order).isNotNull()), order)
+    per_value = bucketed.groupBy("_b", order).agg(*[total.alias(name) for name, total in sums.items()])
+    offsets = per_value.groupBy("_b").agg(*[F.sum(n).alias(n) for n in names])
     offsets = offsets.select(
         "_b", *[(F.sum(n).over(_running((), "_b")) - F.col(n)).alias(f"_{n}_before") for n in names]
     )
-    return bucketed.join(F.broadcast(offsets), "_b").select(
+    return per_value.join(F.broadcast(offsets), "_b").select(
         order,
         *names,
         *[(F.sum(n).over(_running(["_b"], order)) + F.col(f"_{n}_before")).alias(f"{n}_up_to") for n in names],
     )
 
 
-def sum_of_first(
-    df: DataFrame, by: str, needed: str, order: str, summed: str
-) -> DataFrame:
-    """(by, total): sum of ``summed`` over the first ``needed`` rows of each group.
+def _as_number(df: DataFrame, column: str) -> Column:
+    """A number that never decreases as the column grows.
 
-    ``order`` must be unique within a group. Only the bucket in which the cut
-    falls is sorted; all earlier buckets are added up.
+    For texts: the six bytes that follow the prefix shared by all of them.
     """
-    bucketed = df.withColumn("_b", order_bucket(df, order))
-    histogram = (
-        bucketed.groupBy(by, needed, "_b")
-        .agg(F.count(F.lit(1)).alias("_n"), F.sum(summed).alias("_s"))
-        .withColumn("_end", F.sum("_n").over(_running([by], "_b")))
-        .withColumn("_before", F.sum("_s").over(_running([by], "_b")) - F.col("_s"))
-        .withColumn("_left", F.col(needed) - (F.col("_end") - F.col("_n")))
-        .where((F.col("_left") > 0) & (F.col("_left") <= F.col("_n")))
-        .select(by, "_b", "_before", "_left")
-    )
-    inside = (
-        bucketed.join(histogram, [by, "_b"])
-        .withColumn("_rank", F.row_number().over(Window.partitionBy(by, "_b").orderBy(order)))
-        .where(F.col("_rank") <= F.col("_left"))
-    )
-    return inside.groupBy(by).agg((F.max("_before") + F.sum(summed)).alias("total"))
+    if dict(df.dtypes)[column] != "string":
+        return F.col(column).cast("double")
+    ends = df.agg(F.min(column), F.max(column)).first()
+    prefix = os.path.commonprefix([end.encode() for end in ends])
+    following = F.substring(F.encode(column, "UTF-8"), len(prefix) + 1, 6)
+    return F.conv(F.rpad(F.hex(following), 12, "0"), 16, 10).cast("double")
 
 
-def first_rows(df: DataFrame, order: str, needed: int) -> DataFrame:
-    """First ``needed`` rows by a unique column; only the bucket with the cut is ranked."""
-    bucketed = df.withColumn("_b", order_bucket(df, order))
-    last = (
-        bucketed.groupBy("_b")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_end", F.sum("_n").over(_running((), "_b")))
-        .where(F.col("_end") >= needed)
-        .select("_b", (needed - F.col("_end") + F.col("_n")).alias("_left"))
-        .orderBy("_b")
-        .first()
-    )
-    if last is None:
-        return df
-    inside = Window.partitionBy("_b").orderBy(order)
-    whole = bucketed.where(F.col("_b") < last["_b"]).drop("_b")
-    part = bucketed.where(F.col("_b") == last["_b"]).withColumn("_rank", F.row_number().over(inside))
-    return whole.unionByName(part.where(F.col("_rank") <= last["_left"]).drop("_b", "_rank"))
+def value_at(df: DataFrame, column: str, rank: int, rows: int):
+    """The value at a 1-based rank among ``rows`` rows, for numbers and texts.
+
+    Narrows the rows to the bucket with the rank until few enough are left to
+    be listed. Each round returns bucket counts only.
+    """
+    rest = df.select(column).where(F.col(column).isNotNull())
+    while rows > RANKED_ROWS:
+        bucketed = with_bucket(rest.withColumn("_number", _as_number(rest, column)), "_number")
+        counts = bucketed.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).orderBy("_b").collect()
+        if len(counts) == 1:
+            break
+        for bucket in counts:
+            if rank <= bucket["n"]:
+                break
+            rank -= bucket["n"]
+        rest, rows = bucketed.where(F.col("_b") == bucket["_b"]).select(column), bucket["n"]
+    # At most RANKED_ROWS rows, or so few values that their numbers coincide.
+    for value, count in rest.groupBy(column).agg(F.count(F.lit(1))).orderBy(column).collect():
+        if rank <= count:
+            return value
+        rank -= count
+    raise ValueError("rank exceeds the number of rows")

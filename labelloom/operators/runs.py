@@ -32,7 +32,7 @@ def grid_gaps(grid: DataFrame, runs: DataFrame) -> DataFrame:
 
 def with_display_name(runs: DataFrame, names: DataFrame) -> DataFrame:
     """Add ``model_display`` from a table ``model, model_display``; fall back to the model."""
-    return runs.join(F.broadcast(names), "model", "left").withColumn(
+    return runs.join(names, "model", "left").withColumn(
         "model_display", F.coalesce("model_display", "model")
     )
 
@@ -49,7 +49,7 @@ def draw_summary(runs: DataFrame, by: Sequence[str] = ("model", "model_display",
 
 def label_efficiency(summary: DataFrame, cost: DataFrame) -> DataFrame:
     """Quality per number of acquired labels (``cost``: ``budget, new_labels``)."""
-    return summary.join(F.broadcast(cost), "budget").select(
+    return summary.join(cost, "budget").select(
         "model_display",
         "budget",
         "new_labels",

@@ -2,7 +2,9 @@
 
 A mapping table holds ``intent, v1, v2, change``; a queue table holds
 ``stage, queue, description``. Both come from ``sources.taxonomy``, which checks
-their size, so they are broadcast and the corpus is never shuffled by label.
+their size and hints their broadcast. The hint travels with every table derived
+from them, so the corpus is not shuffled by label; a mapping beyond the bound is
+joined by shuffle instead.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 def named_classes(df: DataFrame, names: DataFrame, index: str = "label") -> DataFrame:
     """Replace a class index by its name (``names``: ``label, intent``)."""
-    return df.join(F.broadcast(names), index, "left").drop(index)
+    return df.join(names, index, "left").drop(index)
 
 
 def relabelled(df: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -25,7 +27,7 @@ def relabelled(df: DataFrame, mapping: DataFrame) -> DataFrame:
         F.raise_error(F.concat(F.lit("unmapped intent: "), F.coalesce("intent", F.lit("null"))))
     )
     return (
-        df.join(F.broadcast(targets), "intent", "left")
+        df.join(targets, "intent", "left")
         .withColumn("_target", known)
         .select(*df.columns, F.col("_target.v1").alias("v1_label"), F.col("_target.v2").alias("v2_label"))
     )
@@ -55,7 +57,7 @@ def queues_with_status(mapping: DataFrame, status: str) -> DataFrame:
 def rows_by_status(labelled: DataFrame, mapping: DataFrame, status: str) -> DataFrame:
     """Corpus rows whose V1 queue is CLEAN or IMPURE."""
     queues = queues_with_status(mapping, status).withColumnRenamed("v1", "v1_label")
-    return labelled.join(F.broadcast(queues), "v1_label", "left_semi")
+    return labelled.join(queues, "v1_label", "left_semi")
 
 
 def reusable_history(labelled: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -71,7 +73,7 @@ def candidates(labelled: DataFrame, mapping: DataFrame) -> DataFrame:
 def affected_queues(mapping: DataFrame) -> DataFrame:
     """V2 queues that receive rows from an impure V1 queue."""
     impure = queues_with_status(mapping, "IMPURE")
-    return mapping.join(F.broadcast(impure), "v1", "left_semi").select("v2").distinct()
+    return mapping.join(impure, "v1", "left_semi").select("v2").distinct()
 
 
 def transition_matrix(labelled: DataFrame) -> DataFrame:

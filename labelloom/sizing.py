@@ -55,13 +55,13 @@ def class_array(df: DataFrame, column: str, max_classes: int = MAX_CLASSES) -> C
     ).scalar()
 
 
-def settled(df: DataFrame, rows: int) -> DataFrame:
-    """Compute a table of at most ``rows`` rows now and go on with its values.
+def small_table(df: DataFrame, rows: int) -> DataFrame:
+    """Compute a result now and broadcast its values, if it has at most ``rows`` rows.
 
-    For results bounded by parameters (one row per fraction, per bin). Later
-    filters on them are constants that reach the scan, and nothing is computed twice.
+    For results that are few in practice (one row per fraction, bin or run), so
+    that nothing is computed twice. A larger result stays a lazy table without a hint.
     """
     found = df.limit(rows + 1).collect()
     if len(found) > rows:
-        raise ValueError(f"more than {rows} rows where a bounded result was expected")
+        return df
     return F.broadcast(df.sparkSession.createDataFrame(found, df.schema).coalesce(1))

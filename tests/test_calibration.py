@@ -155,20 +155,32 @@ def test_running_totals_equal_cumulative_sums(spark):
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.floats(-1e6, 1e6) | st.sampled_from([0.0, 0.5, 1.0]), min_size=1, max_size=60), st.booleans())
-def test_exact_quantiles_equal_numpy(spark, values, heavy_tail):
+@given(st.lists(st.floats(-1e6, 1e6) | st.sampled_from([0.0, 0.5, 1.0]), min_size=1, max_size=60))
+def test_exact_quantiles_equal_numpy(spark, values):
     table = spark.createDataFrame([(float(v),) for v in values], "v double")
     fractions = [0.0, 0.1, 0.5, 0.95, 1.0]
-    found = ordering.exact_quantiles(table, "v", fractions, heavy_tail=heavy_tail).first().quantiles
+    found = ordering.exact_quantiles(table, "v", fractions).first().quantiles
     assert found == pytest.approx(np.quantile(values, fractions).tolist(), rel=1e-9, abs=1e-9)
 
 
+@pytest.mark.parametrize("prefix", [None, "", "t", "tést_"])
+def test_value_at_narrows_to_the_rank(spark, monkeypatch, prefix):
+    """Two families of keys and one hot key that holds a third of the rows."""
+    monkeypatch.setattr(ordering, "RANKED_ROWS", 20)
+    numbers = [i * i for i in range(400)] + [77_777] * 300 + [2**60 + i for i in range(200)]
+    keys = numbers if prefix is None else [f"{prefix}{'rain' if n % 3 else 'est'}_{n:07d}" for n in numbers]
+    table = spark.createDataFrame([(k,) for k in keys], f"k {'bigint' if prefix is None else 'string'}")
+    ordered = sorted(keys)
+    for rank in (1, 2, 333, 450, 899, 900):
+        assert ordering.value_at(table, "k", rank, len(keys)) == ordered[rank - 1]
+
+
 def test_grouped_quantiles_with_one_hot_value(spark):
     generator = np.random.default_rng(5)
     groups = {"a": generator.lognormal(3, 1, 2000), "b": np.full(900, 4.0), "c": np.array([1.0])}
     rows = [(g, float(v)) for g, values in groups.items() for v in values]
     table = spark.createDataFrame(rows, "g string, v double")
-    for row in ordering.exact_quantiles(table, "v", [0.5, 0.95], ["g"], heavy_tail=True).collect():
+    for row in ordering.exact_quantiles(table, "v", [0.5, 0.95], ["g"]).collect():
         assert row.quantiles == pytest.approx(np.quantile(groups[row.g], [0.5, 0.95]).tolist())
 
 
