@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from labelloom.functions.text import INVALID
 from labelloom.operators.ordering import exact_quantiles
+from labelloom.sizing import class_array
 
 
 def latency_summary(responses: DataFrame, by: Sequence[str] = (), column: str = "latency_ms") -> DataFrame:
@@ -41,6 +42,27 @@ def response_models(responses: DataFrame, column: str = "response_model") -> Dat
     return responses.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)
 
 
+def run_record(
+    responses: DataFrame, method: str, task: str, requested_model: str, usd_per_million: float, new_labels: int = 0
+) -> DataFrame:
+    """One nested record of a scoring run: models, size, latency, usage and pricing."""
+    costs = token_costs(responses, usd_per_million)
+    latency = latency_summary(responses).select(F.struct("mean", "p50", "p95").alias("l")).scalar()
+    return costs.select(
+        F.lit(method).alias("method"),
+        F.lit(task).alias("task"),
+        F.lit(requested_model).alias("requested_model"),
+        class_array(responses, "response_model").alias("response_models"),
+        F.lit(new_labels).cast("bigint").alias("new_labels"),
+        F.col("requests").alias("test_examples"),
+        latency.alias("latency_ms"),
+        F.struct("input_tokens", "output_tokens").alias("usage"),
+        F.struct(
+            F.lit(usd_per_million).alias("input_usd_per_million"), F.col("input_cost_usd").alias("estimated_input_cost_usd")
+        ).alias("pricing"),
+    )
+
+
 def invalid_answers(responses: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Answers that named no single class."""
     return responses.groupBy(*by).agg(

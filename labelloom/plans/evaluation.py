@@ -356,3 +356,26 @@ def response_models(spark: SparkSession, folder: str) -> DataFrame:
 )
 def invalid_answers(spark: SparkSession, folder: str) -> DataFrame:
     return accounting.invalid_answers(given.scored(spark, folder), ["response_model"])
+
+
+@query(
+    f"""WITH {EVENTS_SQL} SELECT 'service' AS method, 'm0,m1' AS response_models, count(*) AS test_examples,
+    round(avg(latency_ms), 6) AS mean, round(quantile_cont(latency_ms, 0.95), 6) AS p95,
+    CAST(sum(200 + k) AS BIGINT) AS input_tokens,
+    round(CAST(sum(200 + k) AS DOUBLE) / 1000000 * 0.042, 9) AS cost FROM scored"""
+)
+def run_record(spark: SparkSession, folder: str) -> DataFrame:
+    """The nested record of a run, written as JSON and read back."""
+    responses = given.scored(spark, folder)
+    record = accounting.run_record(responses, "service", "v2", "m", USD_PER_MILLION)
+    path = new_path(spark, "run-record")
+    write_records(record, path)
+    return read_records(spark, path, record.schema).select(
+        "method",
+        F.array_join("response_models", ",").alias("response_models"),
+        "test_examples",
+        short(F.col("latency_ms.mean")).alias("mean"),
+        short(F.col("latency_ms.p95")).alias("p95"),
+        F.col("usage.input_tokens").alias("input_tokens"),
+        short(F.col("pricing.estimated_input_cost_usd"), 9).alias("cost"),
+    )
