@@ -25,7 +25,7 @@ from labelloom.functions.probabilities import (
 from labelloom.operators.evaluation import correct
 from labelloom.operators.joins import matched
 from labelloom.operators.ordering import exact_quantiles, running_totals, value_at
-from labelloom.sizing import dimension
+from labelloom.sizing import dimension, small_table
 
 # Number of bins and quantiles, review fractions, and the smallest
 # probability that enters a logarithm (double precision epsilon).
@@ -105,7 +105,8 @@ def reliability_bins(totals: DataFrame, bins: int = BINS) -> DataFrame:
         "bin int, lower double, upper double",
     )
     mean, share = F.col("selected") / F.col("n"), F.col("correct") / F.col("n")
-    return grid.join(F.broadcast(totals), "bin", "left").select(
+    # Computed first: a join would push "bin is not null" down to the parsed probabilities.
+    return grid.join(small_table(totals, bins), "bin", "left").select(
         "bin",
         "lower",
         "upper",

@@ -66,7 +66,7 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
         lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")),
     )
     return (
-        table(spark, folder, "events")
+        spread(table(spark, folder, "events"), "event_id")
         .select(F.col("event_id").alias("id"), F.col("event_type").alias("truth"), k.alias("k"), "value")
         .withColumn(
             "prediction",

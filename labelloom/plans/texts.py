@@ -16,6 +16,7 @@ from labelloom.plans import inputs as given
 from labelloom.plans.inputs import DOCUMENT_CLASSES, DOCUMENTS_SQL, TERMS_SQL, VOCABULARY_SQL
 from labelloom.plans.registry import query, rounded, short
 from labelloom.session import new_path, stored
+from labelloom.sources.tables import spread
 from labelloom.sources.taxonomy import mapping_table
 from labelloom.streaming.incremental import file_stream, score_stream
 
@@ -504,7 +505,7 @@ def streamed_scores(spark: SparkSession, folder: str) -> DataFrame:
     )
 
     def score(rows: DataFrame) -> DataFrame:
-        return scoring.lexical_scores(rows, DOCUMENT_CLASSES, vocab)
+        return scoring.lexical_scores(spread(rows, "id"), DOCUMENT_CLASSES, vocab)
 
     score_stream(stream, score, results, checkpoint, "lexical", "1.0").awaitTermination()
     fields = [
