@@ -7,10 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Word pattern (runs of two or more letters, digits, underscores)
-# and the marker for an answer that names no single class.
+# Word pattern (runs of two or more letters, digits, underscores),
+# the marker for an answer that names no single class, and the texts around
+# class definitions and messages in a request.
 WORD_PATTERN = r"([\p{L}\p{N}_]{2,})"
 INVALID = "INVALID"
+CLASS_LINE = "- {label}: {description}"
+BEFORE_MESSAGE = "Customer message:\n"
+AFTER_MESSAGE = "\n\nClass:"
 
 
 def words(text: Column) -> Column:
@@ -67,7 +71,7 @@ def parsed_answer(answer: Column, labels: Sequence[str]) -> Column:
 
 def class_list_text(classes: Sequence[tuple[str, str]]) -> Column:
     """``- label: description`` lines in definition order."""
-    return F.lit("\n".join(f"- {label}: {description}" for label, description in classes))
+    return F.lit("\n".join(CLASS_LINE.format(label=label, description=text) for label, text in classes))
 
 
 def system_message(task: str, classes: Sequence[tuple[str, str]]) -> Column:
@@ -77,4 +81,4 @@ def system_message(task: str, classes: Sequence[tuple[str, str]]) -> Column:
 
 def user_message(text: Column) -> Column:
     """The text to classify, framed for a chat model."""
-    return F.concat(F.lit("Customer message:\n"), text, F.lit("\n\nClass:"))
+    return F.concat(F.lit(BEFORE_MESSAGE), text, F.lit(AFTER_MESSAGE))

@@ -12,15 +12,24 @@ from labelloom.operators.ordering import exact_quantiles
 from labelloom.sizing import class_array
 
 
-def latency_summary(responses: DataFrame, by: Sequence[str] = (), column: str = "latency_ms") -> DataFrame:
-    """Mean, median and 95th percentile (linear interpolation) of a recorded latency."""
-    means = responses.groupBy(*by).agg(F.avg(column).alias("mean"))
-    tails = exact_quantiles(responses, column, [0.5, 0.95], by)
-    if by:
-        joined = means.join(tails, list(by))
+def latency_summary(
+    responses: DataFrame, by: Sequence[str] = (), column: str = "latency_ms", approximate: bool = False
+) -> DataFrame:
+    """Mean, median and 95th percentile of a recorded latency.
+
+    Percentiles are exact with linear interpolation and read the column several
+    times; ``approximate`` takes one pass and returns values that occur.
+    """
+    tail = [0.5, 0.95]
+    if approximate:
+        summary = responses.groupBy(*by).agg(
+            F.avg(column).alias("mean"), F.percentile_approx(column, tail).alias("quantiles")
+        )
     else:
-        joined = means.withColumn("quantiles", tails.scalar())
-    return joined.select(
+        summary = responses.groupBy(*by).agg(F.avg(column).alias("mean"))
+        quantiles = exact_quantiles(responses, column, tail, by)
+        summary = summary.join(quantiles, list(by)) if by else summary.withColumn("quantiles", quantiles.scalar())
+    return summary.select(
         *by, "mean", F.get("quantiles", F.lit(0)).alias("p50"), F.get("quantiles", F.lit(1)).alias("p95")
     )
 

@@ -39,7 +39,7 @@ def taxonomy_violations(
     blank = queues.where(F.coalesce(F.trim("description"), F.lit("")) == "")
     found.append(
         blank.select(
-            *_violation("description", F.concat_ws(".", "stage", "queue"), F.lit("needs a description"))
+            *_violation("description", F.concat_ws(".", "stage", "queue"), F.lit("description is blank"))
         )
     )
     for stage in ("v1", "v2"):
@@ -47,7 +47,7 @@ def taxonomy_violations(
         strays = mapping.join(names, stage, "left_anti")
         found.append(
             strays.select(
-                *_violation("queue", F.col("intent"), F.lit(f"references an unknown {stage} queue"))
+                *_violation("queue", F.col("intent"), F.lit(f"{stage} queue is not defined"))
             )
         )
         if expected_queues and stage in expected_queues:
@@ -59,7 +59,7 @@ def taxonomy_violations(
                     *_violation(
                         "queue count",
                         F.lit(stage),
-                        F.concat(F.lit(f"must define {size} queues; found "), F.col("n").cast("string")),
+                        F.concat(F.lit(f"expected {size}, found "), F.col("n").cast("string")),
                     )
                 )
             )
@@ -72,7 +72,7 @@ def taxonomy_violations(
                     "intent count",
                     F.lit("mapping"),
                     F.concat(
-                        F.lit(f"must contain {expected_intents} intents; found "), F.col("n").cast("string")
+                        F.lit(f"expected {expected_intents}, found "), F.col("n").cast("string")
                     ),
                 )
             )
@@ -80,19 +80,23 @@ def taxonomy_violations(
     kind_known = F.coalesce(F.col("change").isin(*CHANGES), F.lit(False))
     found.append(
         mapping.where(~kind_known).select(
-            *_violation("change type", F.col("intent"), F.lit("has an invalid change type"))
+            *_violation("change type", F.col("intent"), F.lit("is not split, move or unchanged"))
         )
     )
     stays = F.coalesce(F.col("v1") == F.col("v2"), F.lit(False))
     found.append(
         mapping.where(kind_known & (stays != (F.col("change") == "unchanged"))).select(
-            *_violation("change", F.col("intent"), F.lit("has an inconsistent change type"))
+            *_violation("change", F.col("intent"), F.lit("change type contradicts the queues"))
         )
     )
     if corpus_intents is not None:
         found.append(
             coverage(mapping, corpus_intents, "intent").select(
-                *_violation("coverage", F.col("intent"), F.concat("kind", F.lit(" source label")))
+                *_violation(
+                    "coverage",
+                    F.col("intent"),
+                    F.when(F.col("kind") == "missing", "not in the mapping").otherwise("not in the corpus"),
+                )
             )
         )
     return reduce(DataFrame.unionByName, found)
@@ -101,7 +105,7 @@ def taxonomy_violations(
 def taxonomy_header_violations(config: dict, version: str, dataset: str) -> list[str]:
     """Broken rules of the two header fields of a taxonomy configuration."""
     expected = {"version": version, "dataset": dataset}
-    return [f'{field} must be "{value}"' for field, value in expected.items() if config.get(field) != value]
+    return [f"{field} is not {value!r}" for field, value in expected.items() if config.get(field) != value]
 
 
 def count_violations(

@@ -20,9 +20,10 @@ def one_row_per_key(df: DataFrame, *keys: str) -> DataFrame:
     )
     return (
         df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*values)).alias("_row"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*(values or keys))).alias("_row"))
         .select(*keys, row.alias("_row"))
-        .select(*keys, "_row.*")
+        .where(F.col("_row").isNotNull())
+        .select(*keys, *[F.col("_row")[c].alias(c) for c in values])
     )
 
 

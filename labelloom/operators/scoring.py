@@ -5,6 +5,8 @@ Classes are configuration: an ordered list of ``(label, description)``.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import time
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
@@ -36,6 +38,12 @@ def checked_classes(classes: Classes) -> list[tuple[str, str]]:
     return sorted(classes)
 
 
+def version_of(classes: Classes) -> str:
+    """Short digest of the class definitions, to key results by."""
+    text = json.dumps(checked_classes(classes), ensure_ascii=False)
+    return hashlib.md5(text.encode()).hexdigest()[:12]
+
+
 def with_classes(inputs: DataFrame, classes: Classes) -> DataFrame:
     """Every input with every class definition, unfolded from a constant array."""
     pairs = F.array(

@@ -103,6 +103,7 @@ def queue_distribution(df: DataFrame, queue: str, splits: Sequence[str] = ("trai
         F.count_if(F.col("split").isin(*splits)).alias("total"),
         F.grouping("queue").alias("_is_total"),
     )
+    # One row per queue is left here, so a window over all of them is small.
     whole = F.max(F.when(F.col("_is_total") == 1, F.col(first))).over(Window.partitionBy())
     return totals.select(
         F.when(F.col("_is_total") == 1, "TOTAL").otherwise(F.col("queue")).alias("queue"),
@@ -112,17 +113,19 @@ def queue_distribution(df: DataFrame, queue: str, splits: Sequence[str] = ("trai
     )
 
 
-def distinct_counts(df: DataFrame, *columns: str) -> DataFrame:
-    """Exact number of distinct values of each column, as (column, values).
+def distinct_counts(df: DataFrame, *columns: str, approximate: bool = False) -> DataFrame:
+    """Number of distinct values of each column, as (column, values).
 
-    Values of all columns are made distinct in one shuffle; partial aggregation
-    folds frequent values first.
+    Exact by default: values of all columns are made distinct in one shuffle, and
+    partial aggregation folds frequent values first. ``approximate`` moves sketches only.
     """
-    named = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]
-    )
+    if approximate:
+        sketches = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns])
+        named = [F.struct(F.lit(c).alias("column"), F.col(c).alias("values")) for c in columns]
+        return sketches.select(F.inline(F.array(*named)))
+    named = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]
     return (
-        df.select(F.inline(named))
+        df.select(F.inline(F.array(*named)))
         .where(F.col("value").isNotNull())
         .distinct()
         .groupBy("column")

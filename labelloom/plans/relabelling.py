@@ -361,15 +361,15 @@ BROKEN_INTENTS = ("1-URGENT/F", "5-LOW/O")
 
 
 @query(
-    """SELECT 'coverage' AS rule, '1-URGENT/F' AS key, 'missing source label' AS message
+    """SELECT 'coverage' AS rule, '1-URGENT/F' AS key, 'not in the mapping' AS message
     WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')
-    UNION ALL SELECT 'coverage', 'RETIRED', 'unknown source label'
-    UNION ALL SELECT 'change', '5-LOW/O', 'has an inconsistent change type'
-    UNION ALL SELECT 'change type', '5-LOW/P', 'has an invalid change type'
-    UNION ALL SELECT 'queue', 'RETIRED', 'references an unknown v2 queue'
-    UNION ALL SELECT 'description', 'v1.SLOW', 'needs a description'
-    UNION ALL SELECT 'queue count', 'v2', 'must define 9 queues; found 5'
-    UNION ALL SELECT 'intent count', 'mapping', 'must contain 77 intents; found 15'"""
+    UNION ALL SELECT 'coverage', 'RETIRED', 'not in the corpus'
+    UNION ALL SELECT 'change', '5-LOW/O', 'change type contradicts the queues'
+    UNION ALL SELECT 'change type', '5-LOW/P', 'is not split, move or unchanged'
+    UNION ALL SELECT 'queue', 'RETIRED', 'v2 queue is not defined'
+    UNION ALL SELECT 'description', 'v1.SLOW', 'description is blank'
+    UNION ALL SELECT 'queue count', 'v2', 'expected 9, found 5'
+    UNION ALL SELECT 'intent count', 'mapping', 'expected 77, found 15'"""
 )
 def taxonomy_violations(spark: SparkSession, folder: str) -> DataFrame:
     """A broken variant of the taxonomy, checked against the intents of the corpus."""

@@ -379,14 +379,14 @@ def resumed_scores(spark: SparkSession, folder: str) -> DataFrame:
     """A first run scores the documents with labels; a second run adds the rest and skips those."""
     texts = _texts(spark, folder)
     first = texts.join(given.table(spark, folder, "labels"), F.col("id") == F.col("doc_id"), "left_semi")
-    path = new_path(spark, "results")
+    path, version = new_path(spark, "results"), scoring.version_of(DOCUMENT_CLASSES)
 
     def score(rows: DataFrame) -> DataFrame:
         answers = scoring.answers_of(rows, marker_scorer(DOCUMENT_CLASSES))
         return answers.select("id", X.parsed_answer(F.col("raw_output"), CODES).alias("prediction"))
 
-    scoring.score_pending(first, score, path, "markers", "1.0", run=1)
-    return scoring.score_pending(texts, score, path, "markers", "1.0", run=2).select("id", "prediction", "run")
+    scoring.score_pending(first, score, path, "markers", version, run=1)
+    return scoring.score_pending(texts, score, path, "markers", version, run=2).select("id", "prediction", "run")
 
 
 @query("SELECT doc_id AS id, md5(text) AS digest FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -507,7 +507,8 @@ def streamed_scores(spark: SparkSession, folder: str) -> DataFrame:
     def score(rows: DataFrame) -> DataFrame:
         return scoring.lexical_scores(spread(rows, "id"), DOCUMENT_CLASSES, vocab)
 
-    score_stream(stream, score, results, checkpoint, "lexical", "1.0").awaitTermination()
+    version = scoring.version_of(DOCUMENT_CLASSES)
+    score_stream(stream, score, results, checkpoint, "lexical", version).awaitTermination()
     fields = [
         T.StructField("scorer", T.StringType()),
         T.StructField("class_version", T.StringType()),

@@ -33,6 +33,13 @@ def test_aligned_fails_loudly(spark, rows, message):
         joins.aligned(truth(spark), predictions(spark, rows)).collect()
 
 
+def test_repeated_bare_keys_fail(spark):
+    assert joins.one_row_per_key(truth(spark).select("id"), "id").count() == 3
+    twice = truth(spark).select("id").unionAll(truth(spark).select("id"))
+    with pytest.raises(Exception, match="duplicate key"):
+        joins.one_row_per_key(twice, "id").count()
+
+
 def test_invalid_prediction_lowers_macro_f1_but_has_no_matrix_column(spark):
     outcomes = joins.aligned(truth(spark), predictions(spark, [(1, "A"), (2, "B"), (3, "INVALID")]))
     counts = evaluation.confusion_counts(outcomes, "v2_label")
@@ -79,7 +86,7 @@ def rules(spark, config, intents=None):
 def test_valid_taxonomy_has_no_violations(spark):
     assert rules(spark, broken()) == set()
     assert checks.taxonomy_header_violations(CONFIG, "1.0", "d") == []
-    assert checks.taxonomy_header_violations(CONFIG, "2.0", "d") == ['version must be "2.0"']
+    assert checks.taxonomy_header_violations(CONFIG, "2.0", "d") == ["version is not '2.0'"]
 
 
 def test_taxonomy_violations(spark):

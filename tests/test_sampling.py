@@ -3,7 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from labelloom.operators import sampling
+from labelloom.operators import accounting, sampling, taxonomy
 
 
 def corpus(spark, rows=4000, partitions=7):
@@ -61,3 +61,14 @@ def test_small_strata(spark):
 def test_shuffle_is_reproducible(spark, seed):
     ids = [r.id for r in sampling.shuffled(corpus(spark, 200), seed).collect()]
     assert ids == sorted(range(200), key=lambda i: (hashlib.md5(f"{seed}:{i}".encode()).hexdigest(), i))
+
+
+def test_approximations_are_close(spark):
+    rows = corpus(spark)
+    exact = {r["column"]: r["values"] for r in taxonomy.distinct_counts(rows, "id", "v2_label").collect()}
+    near = {r["column"]: r["values"] for r in taxonomy.distinct_counts(rows, "id", "v2_label", approximate=True).collect()}
+    assert exact == {"id": 4000, "v2_label": 3}
+    assert near["v2_label"] == 3 and abs(near["id"] - 4000) < 400
+    exact_row = accounting.latency_summary(rows, ["v2_label"], "id").orderBy("v2_label").first()
+    near_row = accounting.latency_summary(rows, ["v2_label"], "id", approximate=True).orderBy("v2_label").first()
+    assert near_row.mean == exact_row.mean and abs(near_row.p95 - exact_row.p95) < 60

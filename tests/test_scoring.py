@@ -102,3 +102,8 @@ def test_metric_files_are_found_by_name(spark, tmp_path):
 def test_large_class_lists_are_refused():
     with pytest.raises(ValueError, match="too large"):
         scoring.checked_classes([("A", "x" * 20_000_000)])
+
+
+def test_class_version_follows_the_definitions():
+    assert scoring.version_of(CLASSES) == scoring.version_of(CLASSES[::-1])
+    assert scoring.version_of(CLASSES) != scoring.version_of([("A", "red apple"), ("B", "blue sea")])
