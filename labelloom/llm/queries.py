@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelloom.llm import token_files
+from labelloom.llm import simhash, token_files
 from labelloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,8 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = token_files.token_file_path(spark)
     manifest = token_files.write_token_files(table(spark, folder, "documents"), path, word_vocabulary)
     return token_files.read_token_files(manifest, path)
+
+
+@query()
+def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.digest(simhash.near_duplicates(table(spark, folder, "documents")))
