@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ def strings(column: pa.Array) -> list[bytes]:
 def small_slices(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of one slice hold about ``most`` bytes (one longer text stands alone)."""
     for batch in batches:
-        sizes = [0 if v is None else len(v) for v in batch.column(column).cast(pa.binary()).to_pylist()] if batch.num_rows else []
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start, held = 0, 0
         for i, size in enumerate(sizes):
             if held and held + size > most:
