@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelloom.llm import language, quality, simhash, token_files
+from labelloom.llm import language, mixing, quality, simhash, token_files, urls
 from labelloom.llm.common import table
+from labelloom.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+# What the filter of pages must decide, whatever its vocabulary says.
+URL_RULES = (
+    urls.Rule("block", "net", "/"),
+    urls.Rule("allow", "example.net", "/en/"),
+    urls.Rule("block", "example.com", "/de/"),
+    urls.Rule("allow", "org", "/fr/"),
+)
+
 
 def query(sql: str | None = None):
     def register(function):
@@ -42,6 +51,17 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, folder, "labels")))
 
 
+@query(urls.sql(URL_RULES))
+def op3_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judged(table(spark, folder, "pages"), URL_RULES)
+
+
+@query(mixing.SQL)
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    rows = stored(mixing.sized(table(spark, folder, "documents")), "document-sizes")
+    return mixing.digest(mixing.mixed(rows))
+
+
 @query()
 def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
