@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelloom.llm import language, mixing, quality, simhash, token_files, urls
+from labelloom.llm import language, mixing, quality, sharding, simhash, token_files, urls
 from labelloom.llm.common import table
 from labelloom.session import stored
 
@@ -62,6 +62,11 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.digest(mixing.mixed(rows))
 
 
+@query()
+def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.sharded(table(spark, folder, "documents"))
+
+
 @query()
 def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
