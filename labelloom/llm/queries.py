@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelloom.llm import decontamination, language, mixing, quality, sharding, simhash, token_files, urls
+from labelloom.llm import decontamination, language, mixing, quality, secrets, sharding, simhash, token_files, urls
 from labelloom.llm.common import table
 from labelloom.session import stored
 
@@ -73,6 +73,11 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.predictions(docs, language.fit(docs))
 
 
+@query()
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.found(table(spark, folder, "documents"))
+
+
 @query()
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
