@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelloom.llm import decontamination, language, mixing, quality, secrets, sharding, simhash, token_files, urls
+from labelloom.llm import decontamination, language, mixing, neighbours, quality, secrets, sharding, simhash, token_files, urls
 from labelloom.llm.common import table
 from labelloom.session import stored
 
@@ -83,6 +83,11 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query()
+def op9_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"))
+
+
 @query()
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, folder, "documents")))
