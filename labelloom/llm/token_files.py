@@ -15,11 +15,14 @@ the unary part), so that ``select`` reads few words. That is within half a bit p
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -152,80 +155,99 @@ class TokenFile:
 class WordEncoder:
     """Ids of texts by a tokenizer whose words never reach across white space.
 
-    Each distinct stretch between blanks goes through the tokenizer once and is then
-    looked up; the memory is emptied at ``remembered`` stretches. Texts below U+0300
-    are lowered first, which the tokenizer does too, letter by letter; text that may
-    hold a special token, and longer stretches than ``longest``, are not remembered.
+    Each distinct stretch between blanks goes through the tokenizer once and is then looked up;
+    the memory is emptied beyond ``remembered`` stretches or ``characters`` in them. Texts
+    below U+0100 are lowered first, which the tokenizer does too, letter by letter, and one mark between
+    a letter and a blank stands alone, as it does for the tokenizer. A text that may hold a special
+    token is one stretch. Stretches of small letters alone, which normalising and splitting
+    leave as they are, are encoded many at a time.
     """
 
-    def __init__(self, file: str, remembered: int = 400_000, longest: int = 64):
-        from tokenizers import Tokenizer
+    MARK = re.compile(r"([.,;:!?])(?<=[^\W_].)(?=[ \n])")
+    PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
-        self.tokenizer = Tokenizer.from_file(file)
+    def __init__(self, file: str, end_id: int, remembered: int = 600_000, characters: int = 1 << 25):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.end_id = Tokenizer.from_file(file), end_id
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.remembered, self.longest = remembered, longest
+        self.remembered, self.characters = remembered, characters
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.plain = None
+        if suffix:
+            self.plain = Tokenizer.from_file(file)
+            self.plain.normalizer = None
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+                [pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+            )
+            self.last = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+            self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {"": 0}
-        self.ids = np.zeros(1 << 16, dtype=self.kind)
-        self.starts = np.zeros(self.remembered + (1 << 17), dtype=np.int64)
-        self.lengths = np.zeros(len(self.starts), dtype=np.int32)
-        self.used = 0
-
-    def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind)
+        """Keep the empty stretch and, under None, the end of a document."""
+        self.place: dict[str | None, int] = {"": 0, None: 1}
+        self.ids = np.array([self.end_id], dtype=self.kind)
+        self.starts, self.lengths = np.zeros(2, dtype=np.int64), np.array([0, 1], dtype=np.int64)
+        self.held = 0
 
     def _learn(self, words: list[str]) -> None:
-        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            ids = found.ids
-            at = len(self.place)
-            if self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(ids), dtype=self.kind)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.starts[at], self.lengths[at] = self.used, len(ids)
-            self.place[word] = at
-            self.used += len(ids)
-
-    def encode(self, text: str) -> np.ndarray:
+        plain, ids = [], np.zeros(0, dtype=self.kind)
+        if self.plain:
+            plain = [w for w in words if self.PLAIN.fullmatch(w)]
+            found = self.plain.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids
+            ids = np.array(found, dtype=self.kind)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(plain):
+                plain, ids = [], ids[:0]
+        known = set(plain)
+        rest = [w for w in words if w not in known]
+        others = [x.ids for x in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        lengths = np.concatenate([np.diff(ends, prepend=0) if plain else [], [len(x) for x in others]]).astype(np.int64)
+        self.place.update(zip(plain + rest, range(len(self.place), len(self.place) + len(words))))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ids = np.concatenate([self.ids, ids, np.array([i for x in others for i in x], dtype=self.kind)])
+        self.held += sum(map(len, words))
+
+    def stretches(self, text: str) -> list[str]:
         if "<|" in text:
-            return self._whole(text)
+            return [text]
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
             low = text
         else:
-            low = text.lower()
-        words = low.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        pieces = [self._words(words[i : i + (1 << 16)]) for i in range(0, len(words), 1 << 16)]
-        return pieces[0] if len(pieces) == 1 else np.concatenate(pieces)
-
-    def _words(self, words: list[str]) -> np.ndarray:
-        if max(map(len, words)) > self.longest:
-            return np.concatenate(
-                [self._whole(w) if len(w) > self.longest else self._words([w]) for w in words]
-            )
-        new = {w for w in words if w not in self.place}
-        if new:
-            if len(self.place) + len(new) > self.remembered:
-                self._forget()
-                new = set(words) - {""}
-            self._learn(list(new))
-        at = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
+            low = self.MARK.sub(r" \1", text.lower())
+        return low.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, the end id after each, and how many each text has."""
+        if len(self.place) > self.remembered or self.held > self.characters:
+            self._forget()
+        words: list[str | None] = []
+        firsts = []
+        for text in texts:
+            firsts.append(len(words))
+            words += self.stretches(text)
+            words.append(None)
+        if not texts:
+            return self.ids[:0], np.zeros(0, dtype=np.int64)
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            self._learn(list(dict.fromkeys(words[i] for i in missing)))
+            at[missing] = [self.place[words[i]] for i in missing]
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)
-        total = int(ends[-1])
-        return self.ids[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(total)]
-
-
-_ENCODERS: dict[str, WordEncoder] = {}
+        ids = self.ids[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(int(ends[-1]))]
+        return ids, np.add.reduceat(lengths, firsts)
 
 
-def word_encoder(file: str) -> WordEncoder:
+@cache
+def word_encoder(file: str, end_id: int) -> WordEncoder:
     """One encoder for each Python worker and vocabulary."""
-    if file not in _ENCODERS:
-        _ENCODERS[file] = WordEncoder(file)
-    return _ENCODERS[file]
+    return WordEncoder(file, end_id)
 
 
 def write_token_files(
@@ -244,17 +266,15 @@ def write_token_files(
     files = 1 + total // file_bytes
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(vocabulary())
+        encoder = word_encoder(vocabulary(), end_id)
         doc_ids: list[int | None] = []
         lengths: list[int] = []
         pieces: list[np.ndarray] = []
-        end = np.array([end_id], dtype=encoder.kind)
-        for batch in small_slices(batches, "text", 8 << 20):
+        for batch in small_slices(batches, "text", 1 << 20):
             doc_ids += batch.column("doc_id").to_pylist()
-            for text in strings(batch.column("text")):
-                ids = encoder.encode(text.decode("utf-8", "replace"))
-                lengths.append(len(ids) + 1)
-                pieces += [ids, end]
+            ids, counts = encoder.encode([t.decode("utf-8", "replace") for t in strings(batch.column("text"))])
+            lengths += counts.tolist()
+            pieces.append(ids)
         tokens = np.concatenate(pieces) if pieces else np.zeros(0, dtype=encoder.kind)
         part = TaskContext.get().partitionId()
         name = f"part-{part:07d}.tok"
