@@ -167,10 +167,10 @@ def one_of_each(docs: DataFrame, shingle_words: int = 3, radius: int = 2) -> Dat
     """The row with the smallest doc_id of every component; of equal rows and ids, one."""
     found = near_duplicates(docs, shingle_words, radius)
     kept = found.select(F.col("component_id").alias("_id"), F.col("first_hash").alias("_hash"), "root").distinct()
-    rows = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_hash": F.xxhash64(F.col("text").cast("string"))})
-    here, there = rows.alias("d"), kept.alias("k")
-    same = F.expr("d._id <=> k._id AND d._hash = k._hash")
-    return here.join(there, same, "left_semi").dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")
+    text_hash = F.xxhash64(F.col("text").cast("string"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), text_hash.alias("hash"))
+    same = F.expr("d.id <=> k._id AND d.hash = k._hash")
+    return rows.alias("d").join(kept.alias("k"), same, "left_semi").dropDuplicates(["id", "hash"]).select("row.*")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -1,0 +1,124 @@
+import zlib
+
+import numpy as np
+import pytest
+
+from labelloom.llm import language, quality
+from labelloom.llm.common import held_out, table
+from labelloom.llm.queries import QUERIES
+
+
+def is_held_out(doc_id):
+    return doc_id is None or zlib.crc32(str(doc_id).encode()) % 5 == 0
+
+
+@pytest.fixture(scope="module")
+def folder():
+    return "/root/testdata/sf0.01"
+
+
+def test_quality_of_held_out_documents(spark, folder):
+    scored = QUERIES["op2_quality"](spark, folder).toPandas()
+    labels = table(spark, folder, "labels").toPandas()
+    assert len(scored) == table(spark, folder, "documents").count()
+    assert scored["score"].between(0, 1).all()
+    assert (scored["predicted"] == (scored["score"] >= 0.3)).all()
+    assert (scored["held_out"] == scored["doc_id"].map(is_held_out)).all()
+    assert quality.accuracy(scored, labels) > 0.9
+
+
+def test_quality_learns_nothing_from_held_out_rows(spark, folder):
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    flipped = labels.selectExpr("doc_id", "CASE WHEN crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 = 0 THEN 1 - quality ELSE quality END AS quality", "toxic")
+    one, other = quality.fit(docs, labels), quality.fit(docs, flipped)
+    assert one.dictionaries == other.dictionaries and np.allclose(one.weights, other.weights)
+
+
+def test_quality_of_odd_documents(spark, folder, odd_documents, no_documents):
+    model = quality.fit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    found = quality.score(odd_documents, model).toPandas()
+    assert len(found) == odd_documents.count()
+    assert found["score"].between(0, 1).all()
+    empty = found[found["doc_id"].isin([103, 104])]["score"]
+    assert empty.nunique() == 1
+    assert quality.score(no_documents, model).count() == 0
+    nothing = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.fit(odd_documents, nothing) is None
+    assert set(quality.score(odd_documents, None).toPandas()["score"]) == {0.5}
+
+
+def test_features_count_every_block():
+    bad, good = quality.compressors([b"x" * 64, b"abc " * 16])
+    short = quality.features(b"abc " * 100, bad, good)
+    long = quality.features(b"abc " * 100_000, bad, good)
+    assert short[0] > 0 and long[0] > 0 and long[2] > short[2]
+    assert quality.features(b"", bad, good) == (0.0, 1.0, 0.0)
+
+
+def test_language_of_held_out_documents(spark, folder):
+    found = QUERIES["op6_language"](spark, folder).toPandas()
+    truth = table(spark, folder, "documents").select("doc_id", "lang").toPandas()
+    both = found.merge(truth, on="doc_id")
+    assert len(found) == len(truth)
+    held = both[both["held_out"]]
+    assert (held["lang_pred"] == held["lang"]).mean() > 0.97
+    assert set(found["lang_pred"]) <= set(truth["lang"]) | {"und"}
+
+
+def brute_slots(text):
+    """The n-grams' slots one by one, by the same hash."""
+    letters = "".join(c.lower()[0] if c.isalpha() else " " for c in text)
+    letters = " " + letters + " "
+    while "  " in letters:
+        letters = letters.replace("  ", " ")
+    found = []
+    for n in language.ORDERS:
+        for i in range(len(letters) - n + 1):
+            h = n
+            for c in letters[i : i + n]:
+                h = (h * 0x01000193 + ord(c)) % 2**32
+            h = h * 0x9E3779B1 % 2**32
+            h = (h ^ h >> 15) * 0x85EBCA77 % 2**32
+            found.append(h >> 32 - language.SLOT_BITS)
+    return found
+
+
+def test_scores_equal_those_of_one_text_at_a_time():
+    draw = np.random.default_rng(2)
+    model = language.LanguageModel(["a", "b", "c"], np.log(draw.random((3, language.SLOTS + 1))))
+    model.logs[:, -1] = 0
+    texts = ["Hello wörld", "", "123 --", "  \u4e2d\u6587 x\U0001f600", "a", "ÀÉ " * 400]
+    names, scores = model.predict([t.encode() for t in texts])
+    for text, name, score in zip(texts, names, scores):
+        if not any(map(str.isalpha, text)):
+            assert (name, score) == ("und", 0.0)
+            continue
+        slots = brute_slots(text)
+        sums = model.logs[:, slots].sum(axis=1) * min(1.0, language.EVIDENCE / len(slots))
+        shares = np.exp(sums - sums.max())
+        assert name == model.languages[int(np.argmax(sums))]
+        assert score == pytest.approx(shares.max() / shares.sum())
+
+
+def test_language_of_odd_documents(spark, odd_documents, no_documents):
+    model = language.fit(odd_documents)
+    found = language.predictions(odd_documents, model).toPandas()
+    assert len(found) == odd_documents.count()
+    unknown = found[found["lang_pred"] == "und"]
+    assert set(unknown["doc_id"].dropna()) == {103, 104, 105, 108}
+    kept = language.in_known_language(odd_documents, model, least=0.0)
+    assert kept.columns == odd_documents.columns
+    assert kept.count() == len(found) - len(unknown)
+    assert language.predictions(no_documents, model).count() == 0
+    assert set(language.predictions(odd_documents, language.fit(no_documents)).toPandas()["lang_pred"]) == {"und"}
+
+
+def test_long_texts_are_cut_without_loss(monkeypatch):
+    monkeypatch.setattr(language, "STRETCH", 7)
+    grams = language.Grams([b"abcdefghijklmnopqrstuvwxyz", b"", b"zz"])
+    assert (grams.by_text((grams.codes > 32).astype(float)) == [26, 0, 2]).all()
+
+
+def test_held_out_matches_the_contract(spark):
+    rows = spark.createDataFrame([(i,) for i in range(50)] + [(None,)], "doc_id long").select("doc_id", held_out().alias("h"))
+    assert all(r.h == is_held_out(r.doc_id) for r in rows.collect())
