@@ -153,12 +153,13 @@ def exact_scores(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
 def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
     """One row per different vector: ``rep`` (its smallest id), ``ids`` (its ``keep`` smallest), ``vector``, ``key``.
 
-    A rank of at most ``keep`` is taken before and after the shuffle, so copies are few when they meet.
+    A rank of at most ``keep`` is taken before and after the shuffle, so copies are few when they meet;
+    repeated rows share their rank and fold into one id.
     """
     order = Window.partitionBy("key").orderBy("vec_id")
-    first = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= keep)
+    first = rows.withColumn("n", F.dense_rank().over(order)).where(F.col("n") <= keep)
     grouped = first.groupBy("key").agg(
-        F.min("vec_id").alias("rep"), F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("vector").alias("vector")
+        F.min("vec_id").alias("rep"), F.sort_array(F.collect_set("vec_id")).alias("ids"), F.first("vector").alias("vector")
     )
     return packed(grouped.select("rep", "ids", "vector", "key"))
 
