@@ -70,7 +70,7 @@ def experiment_data(
     test_sizes: dict[str, int],
     budgets: Sequence[int],
     draws: int,
-    seed: int = 42,
+    seed: int = sampling.SEED,
 ) -> None:
     """Write the frozen test set, the reusable history and all draws of new labels.
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions.text import INVALID
+from labelloom.operators.joins import same_groups
 from labelloom.operators.ordering import exact_quantiles
 from labelloom.sizing import class_array
 
@@ -18,7 +19,8 @@ def latency_summary(
     """Mean, median and 95th percentile of a recorded latency.
 
     Percentiles are exact with linear interpolation and read the column several
-    times; ``approximate`` takes one pass and returns values that occur.
+    times; ``approximate`` takes one pass and returns values that occur. A group that is null, or has
+    no latency, keeps its row.
     """
     tail = [0.5, 0.95]
     if approximate:
@@ -28,7 +30,7 @@ def latency_summary(
     else:
         summary = responses.groupBy(*by).agg(F.avg(column).alias("mean"))
         quantiles = exact_quantiles(responses, column, tail, by)
-        summary = summary.join(quantiles, list(by)) if by else summary.withColumn("quantiles", quantiles.scalar())
+        summary = same_groups(summary, quantiles, by, "left") if by else summary.withColumn("quantiles", quantiles.scalar())
     return summary.select(
         *by, "mean", F.get("quantiles", F.lit(0)).alias("p50"), F.get("quantiles", F.lit(1)).alias("p95")
     )

@@ -172,8 +172,13 @@ def confidence_quantiles(cases: DataFrame, quantiles: int = QUANTILES) -> DataFr
 
 
 def _curve(cases: DataFrame) -> DataFrame:
+    """Running totals over confidences; a case without a confidence has no place and fails the job."""
+    confidence = F.coalesce(
+        "api_confidence",
+        F.raise_error(F.concat(F.lit("no confidence for id "), F.coalesce(F.col("id").cast("string"), F.lit("null")))).cast("double"),
+    )
     return running_totals(
-        cases.select("api_confidence", "correct"),
+        cases.select(confidence.alias("api_confidence"), "correct"),
         "api_confidence",
         {"cases": F.count(F.lit(1)), "errors": F.sum(1 - F.col("correct"))},
     )

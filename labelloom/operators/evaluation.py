@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions.probabilities import ratio
+from labelloom.operators.joins import same_groups
 from labelloom.sizing import class_array
 
 TOTALS = ("support", "predicted", "hits")
@@ -130,7 +131,7 @@ def run_metrics(counts: DataFrame, label_column: str, by: Sequence[str] = ()) ->
     """One record per run: examples, macro-F1, accuracy."""
     score = macro_f1(class_report(counts, by), by)
     total = accuracy(counts, by)
-    joined = total.join(score, list(by)) if by else total.withColumn("macro_f1", score.scalar())
+    joined = same_groups(total, score, by) if by else total.withColumn("macro_f1", score.scalar())
     return joined.select(
         *by,
         F.lit(label_column).alias("label_column"),

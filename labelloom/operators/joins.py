@@ -3,28 +3,46 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def one_row_per_key(df: DataFrame, *keys: str) -> DataFrame:
     """The table itself, failing the job if a key occurs twice.
 
-    Partial aggregation folds repeated keys before the shuffle, and a following
-    join on the same keys reuses the partitioning and order.
+    Rows are shuffled and sorted once by the keys; a following join on the same keys
+    reuses partitioning and order. For wide rows that no join follows, see ``unique_keys``.
     """
-    values = [c for c in df.columns if c not in keys]
-    row = F.when(F.col("_n") == 1, F.col("_row")).otherwise(
-        F.raise_error(F.concat(F.lit("duplicate key: "), F.to_json(F.struct(*keys))))
+    rows = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    single = F.when(F.col("_n") == 1, F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit("duplicate key: "), F.to_json(F.struct(*keys)))).cast("boolean")
     )
-    return (
+    return df.withColumn("_n", rows).where(single).drop("_n")
+
+
+def unique_keys(df: DataFrame, *keys: str) -> DataFrame:
+    """The table itself, failing the job if a key occurs twice; only the keys are shuffled."""
+    repeated = (
         df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*(values or keys))).alias("_row"))
-        .select(*keys, row.alias("_row"))
-        .where(F.col("_row").isNotNull())
-        .select(*keys, *[F.col("_row")[c].alias(c) for c in values])
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > 1)
+        .agg(F.max(F.to_json(F.struct(*keys))).alias("_key"))
+        .scalar()
+    )
+    single = F.when(repeated.isNull(), F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit("duplicate key: "), repeated)).cast("boolean")
     )
+    return df.where(single)
+
+
+def same_groups(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join two results of the same grouping; a null group meets the null group."""
+    other = right.select(*[F.col(c).alias(f"_{c}") for c in by], *[c for c in right.columns if c not in by])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    return left.join(other, same, how).drop(*[f"_{c}" for c in by])
 
 
 def aligned(truth: DataFrame, predictions: DataFrame, key: str = "id") -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelloom.operators.joins import same_groups
+from labelloom.session import stored
 from labelloom.sizing import MAX_DIMENSION_ROWS, small_table
 
 BUCKETS = 1000
@@ -63,7 +65,7 @@ def exact_quantiles(
     # Two buckets per group and fraction at most: rows of all others stop at the join.
     hits = small_table(hits, MAX_DIMENSION_ROWS) if by else F.broadcast(hits)
     ranked = (
-        bucketed.join(hits, [*by, "_b"])
+        same_groups(bucketed, hits, [*by, "_b"])
         .groupBy(*by, "_b", "_start", "_total", "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_end", F.col("_start") + F.sum("_n").over(_running([*by, "_b"], "_v")))
@@ -88,12 +90,13 @@ def exact_quantiles(
 def running_totals(df: DataFrame, order: str, sums: dict[str, Column]) -> DataFrame:
     """For every distinct value of a numeric column, the sums over all rows up to it.
 
-    Rows with equal values are folded first. Each bucket is summed in its own
-    task, and bucket totals (a thousand rows) give the offsets.
+    Rows with equal values are folded and written first, so everything after reads the
+    folded rows only. Each bucket is summed in its own task, and bucket totals (a thousand
+    rows) give the offsets.
     """
     names = list(sums)
-    bucketed = with_bucket(df.where(F.col(order).isNotNull()), order)
-    per_value = bucketed.groupBy("_b", order).agg(*[total.alias(name) for name, total in sums.items()])
+    folded = df.where(F.col(order).isNotNull()).groupBy(order)
+    per_value = with_bucket(stored(folded.agg(*[total.alias(name) for name, total in sums.items()]), "folded"), order)
     offsets = per_value.groupBy("_b").agg(*[F.sum(n).alias(n) for n in names])
     offsets = offsets.select(
         "_b", *[(F.sum(n).over(_running((), "_b")) - F.col(n)).alias(f"_{n}_before") for n in names]

@@ -11,6 +11,7 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from operator import add
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -125,6 +126,18 @@ def argmax_class(probabilities: DataFrame) -> DataFrame:
     )
 
 
+def lexical_schema(key: T.DataType) -> T.StructType:
+    """Columns of ``lexical_scores`` for ids of a type, known without a plan."""
+    return T.StructType(
+        [
+            T.StructField("id", key),
+            T.StructField("prediction", T.StringType()),
+            T.StructField("probabilities", T.MapType(T.StringType(), T.DoubleType())),
+            T.StructField("confidence", T.DoubleType()),
+        ]
+    )
+
+
 def lexical_scores(
     inputs: DataFrame, classes: Classes, vocab: DataFrame, temperature: float = TEMPERATURE
 ) -> DataFrame:
@@ -225,6 +238,21 @@ def read_results(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
         return spark.createDataFrame([], schema)
 
 
+def result_schema(scored: T.StructType) -> T.StructType:
+    """Columns of the results table for a scorer's output: its own, then the folders' columns."""
+    folders = [T.StructField(c, T.StringType()) for c in ("scorer", "class_version", "job")]
+    return T.StructType([*scored.fields, *folders, T.StructField("run", T.IntegerType())])
+
+
+def run_folder(path: str, scorer: str, class_version: str, job: str, run: int) -> str:
+    """The folder that one run of one job of a scorer owns alone."""
+    parts = {"scorer": scorer, "class_version": class_version, "job": job}
+    if not all(parts.values()):
+        raise ValueError("scorer, class version and job need a name")
+    named = "/".join(f"{key}={quote(value, safe='')}" for key, value in parts.items())
+    return f"{path}/{named}/run={run}"
+
+
 def score_pending(
     inputs: DataFrame,
     score: Callable[[DataFrame], DataFrame],
@@ -233,31 +261,28 @@ def score_pending(
     class_version: str,
     run: int,
     restart: bool = False,
+    job: str = "batch",
+    schema: T.StructType | None = None,
 ) -> DataFrame:
     """Score the inputs without a result, append, and return the last result per id.
 
-    Results are keyed by scorer, class version and id, so different scorers share
-    a table. A run writes the folder ``run=<n>`` and replaces what a failed
-    attempt of the same run left there. ``restart`` ignores earlier results.
+    Results are keyed by scorer, class version and id, so different scorers and class
+    versions share a table. A run writes the folder of its scorer, class version, job and
+    number, and replaces only what a failed attempt of the same run left there. ``job`` tells
+    apart streams that number their runs alike. ``restart`` ignores earlier results. Reads are
+    pruned to the scorer's folders. ``schema`` is that of the scores; without it the
+    scorer is asked with no rows.
     """
     spark = inputs.sparkSession
-    scored = score(inputs.limit(0))
-    kept = [f for f in scored.schema.fields]
-    schema = T.StructType(
-        [T.StructField("scorer", T.StringType()), T.StructField("class_version", T.StringType()), *kept]
-    )
-    with_run = T.StructType([*schema.fields, T.StructField("run", T.IntegerType())])
+    fields = schema or score(inputs.limit(0)).schema
+    stored_schema = result_schema(fields)
     mine = (F.col("scorer") == scorer) & (F.col("class_version") == class_version)
+    own = (F.col("job") == job) & (F.col("run") == run)
 
-    earlier = read_results(spark, path, with_run).where(mine & (F.col("run") != run))
+    earlier = read_results(spark, path, stored_schema).where(mine & ~own)
     todo = inputs if restart else pending(inputs, earlier, "id")
-    (
-        score(todo)
-        .select(F.lit(scorer).alias("scorer"), F.lit(class_version).alias("class_version"), *scored.columns)
-        .write.mode("overwrite")
-        .parquet(f"{path}/run={run}")
-    )
-    results = read_results(spark, path, with_run).where(mine)
+    score(todo).select(*fields.names).write.mode("overwrite").parquet(run_folder(path, scorer, class_version, job, run))
+    results = read_results(spark, path, stored_schema).where(mine)
     if restart:
-        results = results.where(F.col("run") >= run)
-    return latest(results, KEYS, ["run"])
+        results = results.where((F.col("job") == job) & (F.col("run") >= run))
+    return latest(results, KEYS, ["run", "job"])

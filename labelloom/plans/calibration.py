@@ -23,7 +23,7 @@ bins AS (
 
 
 def _cases(spark: SparkSession, folder: str) -> DataFrame:
-    return calibration.calibration_cases(given.answered(spark, folder), given.truth(spark, folder), LABELS)
+    return calibration.calibration_cases(given.chosen(spark, folder), given.truth(spark, folder), LABELS)
 
 
 def _summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -210,7 +210,7 @@ entries AS (
 @query(f"{ENTRIES_SQL} SELECT id, label, round(raw, 9) AS p FROM entries")
 def probability_maps(spark: SparkSession, folder: str) -> DataFrame:
     """JSON to a map; classes missing in the JSON count 0."""
-    parsed = given.answered(spark, folder).select(
+    parsed = given.chosen(spark, folder).select(
         "id", P.probability_map(F.col("probabilities")).alias("m")
     )
     entries = F.arrays_zip(
@@ -222,7 +222,7 @@ def probability_maps(spark: SparkSession, folder: str) -> DataFrame:
 
 def _with_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return calibration.probability_columns(
-        given.answered(spark, folder).select("id", "prediction", "probabilities"), LABELS
+        given.chosen(spark, folder).select("id", "prediction", "probabilities"), LABELS
     )
 
 
@@ -246,7 +246,7 @@ def normalised_probabilities(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"{ENTRIES_SQL} SELECT id, label, CAST(label = truth AS DOUBLE) AS hot FROM entries")
 def one_hot_truth(spark: SparkSession, folder: str) -> DataFrame:
-    answered = given.answered(spark, folder).select("id")
+    answered = given.chosen(spark, folder).select("id")
     truth = given.truth(spark, folder).join(answered, "id", "left_semi")
     entries = F.arrays_zip(
         F.array(*[F.lit(x) for x in LABELS]).alias("label"),

@@ -236,13 +236,22 @@ def run_display_names(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     f"""WITH {EVENTS_SQL}, {RUNS_SQL}, wanted AS (
       SELECT * FROM (VALUES ('m0'), ('m1'), ('m2')) m(model), (VALUES (20), (100)) b(budget),
-                    (VALUES (1), (2), (3), (4), (5), (6)) d(draw))
-    SELECT model, budget, draw, CAST(0 AS BIGINT) AS results, 'missing' AS kind
-    FROM wanted ANTI JOIN runs USING (model, budget, draw)"""
+                    (VALUES (1), (2), (3), (4), (5), (6)) d(draw)),
+    written AS (SELECT model, budget, draw FROM runs UNION ALL SELECT model, budget, draw FROM runs WHERE draw = 2)
+    SELECT * FROM (
+      SELECT model, budget, draw, count(written.draw) AS results FROM wanted LEFT JOIN written USING (model, budget, draw)
+      GROUP BY ALL), LATERAL (SELECT CASE results WHEN 0 THEN 'missing' WHEN 2 THEN 'duplicate' END AS kind)
+    WHERE kind IS NOT NULL"""
 )
 def run_grid_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells without a run, and runs recorded twice in one file."""
+    path = new_path(spark, "metrics")
+    records = _run_metrics(spark, folder).withColumn("run", run_name(*[F.col(c) for c in runs.RUN]))
+    twice = records.unionByName(records.where("draw = 2")).repartition(4, "run")
+    write_records(twice.select("run", "macro_f1", "accuracy"), path, ["run"])
+    write_records(records.limit(1).select(F.lit("notes").alias("run"), "macro_f1"), path, ["run"], mode="append")
     grid = runs.run_grid(spark, ["m0", "m1", "m2"], given.BUDGETS, range(1, 7))
-    return runs.grid_gaps(grid, _run_metrics(spark, folder))
+    return runs.grid_gaps(grid, discover_runs(spark, f"{path}/run=*"))
 
 
 SUMMARY_SQL = f"""WITH {EVENTS_SQL}, {RUNS_SQL}, summary AS (

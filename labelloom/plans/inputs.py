@@ -45,7 +45,13 @@ def truth(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
-    """Responses of a made-up model to all events: prediction, confidence, probabilities, usage."""
+    """Responses of a made-up model to all events; some answers name no class."""
+    prediction = F.when(F.col("id") % 97 == 0, "INVALID").otherwise(F.col("prediction"))
+    return chosen(spark, folder).withColumn("prediction", prediction)
+
+
+def chosen(spark: SparkSession, folder: str) -> DataFrame:
+    """Prediction, confidence, probabilities and usage for every event, each with a class."""
     k = F.get_json_object("props", "$.k").cast("int")
     right = ((F.col("id") * 37 + 11) % 100) * 10 < 400 + 6 * F.col("k")
     best = (F.lit(0.3) + F.lit(0.6) * F.col("k") / 100) * F.col("scale")
@@ -70,9 +76,7 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
         .select(F.col("event_id").alias("id"), F.col("event_type").alias("truth"), k.alias("k"), "value")
         .withColumn(
             "prediction",
-            F.when(F.col("id") % 97 == 0, "INVALID")
-            .when(right, F.col("truth"))
-            .otherwise(_wrong(F.col("truth"))),
+            F.when(right, F.col("truth")).otherwise(_wrong(F.col("truth"))),
         )
         .withColumn("scale", F.when(F.col("id") % 10 == 0, 0.99).otherwise(1.0))
         .select(
@@ -89,7 +93,7 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def answered(spark: SparkSession, folder: str) -> DataFrame:
-    """Scored rows that name a class; the others have no selected probability."""
+    """Scored rows that name a class: predictions with gaps."""
     return scored(spark, folder).where(F.col("prediction") != "INVALID")
 
 
@@ -114,16 +118,17 @@ base AS (
   SELECT event_id AS id, event_type AS truth, value AS latency_ms, user_id,
          CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
   FROM events),
-scored AS (
-  SELECT *, CASE WHEN id % 97 = 0 THEN 'INVALID'
-                 WHEN ((id * 37 + 11) % 100) * 10 < 400 + 6 * k THEN truth
+chosen AS (
+  SELECT *, CASE WHEN ((id * 37 + 11) % 100) * 10 < 400 + 6 * k THEN truth
                  WHEN truth = 'click' THEN 'error' WHEN truth = 'error' THEN 'purchase'
                  WHEN truth = 'purchase' THEN 'signup' WHEN truth = 'signup' THEN 'view'
                  ELSE 'click' END AS prediction,
          CAST(k AS DOUBLE) / 100 AS confidence,
          CASE WHEN id % 10 = 0 THEN CAST(0.99 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS scale,
          CAST(0.3 AS DOUBLE) + CAST(0.6 AS DOUBLE) * k / 100 AS best
-  FROM base)"""
+  FROM base),
+scored AS (
+  SELECT * REPLACE (CASE WHEN id % 97 = 0 THEN 'INVALID' ELSE prediction END AS prediction) FROM chosen)"""
 
 def _raw_sql(label: str) -> str:
     return f"""CASE WHEN prediction = '{label}' THEN best * scale
@@ -141,7 +146,7 @@ parts AS (
               ELSE (1 - best) / 4 * scale END AS raw_true,
          {" + ".join(_raw_sql(label) for label in LABELS)} AS raw_total,
          CASE WHEN prediction <> truth AND id % 50 = 0 THEN 3 ELSE 4 END AS others
-  FROM scored WHERE prediction <> 'INVALID'),
+  FROM chosen),
 cases AS (
   SELECT *, raw_selected / raw_total AS selected, raw_true / raw_total AS p_true,
          pow(raw_selected / raw_total, 2) + others * pow((1 - best) / 4 * scale / raw_total, 2) AS squares
@@ -175,7 +180,9 @@ ORDER_TAXONOMY = {
     "mapping": {f"{p}/{s}": _assignment(p, s) for p in PRIORITIES for s in STATUSES},
 }
 AFFECTED = 3
-SAMPLE_SIZES = {"EXPEDITE": 40, "PRIORITY": 46, "REVIEW": 47, "SLOW": 135, "STANDARD": 78}
+# The frozen sample takes this share of every class, and of a small class this many rows.
+SAMPLE_SHARE = 0.02
+SAMPLE_FLOOR = 25
 BUDGETS = [20, 100]
 DRAWS = 5
 
@@ -237,9 +244,9 @@ def document_mapping(spark: SparkSession) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    """(id, text, intent, split); the split follows the md5 order of ids, one in five is test."""
+    """(id, text, intent, split); the split follows the md5 of the text, so copies share a side; one in five is test."""
     size = F.when(F.col("n_chars") < 500, "s").otherwise("l")
-    bucket = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 4), 16, 10).cast("int")
+    bucket = F.conv(F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 4), 16, 10).cast("int")
     return spread(table(spark, folder, "documents"), "doc_id").select(
         F.col("doc_id").alias("id"),
         "text",
@@ -252,7 +259,7 @@ DOCUMENTS_SQL = """
 corpus AS (
   SELECT doc_id AS id, text, lang || '_' || CASE WHEN n_chars < 500 THEN 's' ELSE 'l' END AS intent,
          upper(lang) AS v2_label,
-         CASE WHEN CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 4) AS INTEGER) % 5 = 0
+         CASE WHEN CAST('0x' || substr(md5(coalesce(text, '')), 1, 4) AS INTEGER) % 5 = 0
               THEN 'test' ELSE 'train' END AS split
   FROM documents)"""
 

@@ -9,7 +9,7 @@ from labelloom.functions.names import row_id
 from labelloom.operators import checks, joins, sampling, taxonomy
 from labelloom.operators.runs import run_cards
 from labelloom.plans import inputs as given
-from labelloom.plans.inputs import AFFECTED, BUDGETS, DRAWS, ORDERS_SQL, SAMPLE_SIZES
+from labelloom.plans.inputs import AFFECTED, BUDGETS, DRAWS, ORDERS_SQL, SAMPLE_FLOOR, SAMPLE_SHARE
 from labelloom.plans.registry import query, rounded
 from labelloom.session import new_path
 from labelloom.sizing import dimension
@@ -36,6 +36,13 @@ def _sets(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.adaptation_sets(_pool(spark, folder), BUDGETS, DRAWS, AFFECTED)
 
 
+def _sample(spark: SparkSession, folder: str) -> DataFrame:
+    """A share of every class, so that the sample keeps the classes' proportions, but enough rows of the small ones."""
+    labelled = _labelled(spark, folder)
+    sizes = sampling.proportional_sizes(labelled, "v2_label", SAMPLE_SHARE, SAMPLE_FLOOR)
+    return sampling.frozen_sample(labelled, "v2_label", sizes)
+
+
 def _topics(spark: SparkSession) -> DataFrame:
     return dimension(spark, [(i, f"topic_{i}") for i in range(10)], "label int, intent string")
 
@@ -59,15 +66,31 @@ def corpus_splits(spark: SparkSession, folder: str) -> DataFrame:
     return splits.select("doc_id", "lang", F.length("text").alias("characters"), "split")
 
 
-@query("SELECT doc_id, lang, source, n_chars, md5(text) AS digest, length(text) AS characters FROM documents")
+@query(
+    """SELECT doc_id, source, n_chars, md5(CASE doc_id % 5 WHEN 0 THEN '  ' || text WHEN 1 THEN text || ' ' || chr(9)
+             WHEN 2 THEN text WHEN 3 THEN '' END) AS digest,
+           CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN lang END AS lang,
+           coalesce(length(CASE doc_id % 5 WHEN 0 THEN '  ' || text WHEN 1 THEN text || ' ' || chr(9)
+             WHEN 2 THEN text WHEN 3 THEN '' END), -1) AS characters FROM documents"""
+)
 def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    """Whole texts, with quotes, commas and line ends, through CSV and back."""
-    documents = given.table(spark, folder, "documents")
+    """Whole texts, with quotes, commas, line ends and outer blanks, empty texts and nulls through CSV and back."""
+    rest, third = F.col("doc_id") % 5, F.col("doc_id") % 3
+    text = (
+        F.when(rest == 0, F.concat(F.lit("  "), "text"))
+        .when(rest == 1, F.concat("text", F.lit(" \t")))
+        .when(rest == 2, F.col("text"))
+        .when(rest == 3, "")
+    )
+    documents = given.table(spark, folder, "documents").withColumns(
+        {"text": text, "lang": F.when(third == 0, "").when(third == 1, F.col("lang"))}
+    )
     path = new_path(spark, "csv")
     write_csv(documents, path)
     back = read_csv(spark, path, documents.schema)
     return back.select(
-        "doc_id", "lang", "source", "n_chars", F.md5("text").alias("digest"), F.length("text").alias("characters")
+        "doc_id", "lang", "source", "n_chars", F.md5("text").alias("digest"),
+        F.coalesce(F.length("text"), F.lit(-1)).cast("bigint").alias("characters"),
     )
 
 
@@ -87,7 +110,7 @@ def queue_definitions(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""WITH {ORDERS_SQL}, ranked AS (
-      SELECT id, text, v2_label, row_number() OVER (PARTITION BY v2_label ORDER BY md5('242:' || id), id) AS r
+      SELECT id, text, v2_label, row_number() OVER (PARTITION BY v2_label ORDER BY md5('{sampling.SEED + 2 * sampling.DRAW_STEP}:' || id), id) AS r
       FROM corpus WHERE v1_label = 'FAST')
     SELECT 2 AS draw, 20 AS budget, id, text, v2_label FROM ranked WHERE r <= 20"""
 )
@@ -251,8 +274,8 @@ def label_cost(spark: SparkSession, folder: str) -> DataFrame:
 # -------------------------------------------------------------------- sampling
 
 SAMPLE_SQL = f"""{ORDERS_SQL}, allocation AS (
-  SELECT * FROM (VALUES {", ".join(f"('{c}', {n}, {42 + i})" for i, (c, n) in enumerate(SAMPLE_SIZES.items()))})
-    a(v2_label, size, seed)),
+  SELECT v2_label, least(count(*), greatest({SAMPLE_FLOOR}, CAST(ceil(count(*) * CAST({SAMPLE_SHARE} AS DOUBLE)) AS BIGINT))) AS size,
+         {sampling.SEED} + row_number() OVER (ORDER BY v2_label) - 1 AS seed FROM corpus GROUP BY v2_label),
 sample AS (
   SELECT * FROM (
     SELECT corpus.*, size, row_number() OVER (PARTITION BY v2_label ORDER BY md5(seed || ':' || id), id) AS r
@@ -260,7 +283,7 @@ sample AS (
 
 DRAWS_SQL = f"""{ORDERS_SQL}, drawn AS (
   SELECT draw, id, text, v2_label,
-         row_number() OVER (PARTITION BY draw, v2_label ORDER BY md5((42 + 100 * draw) || ':' || id), id) AS r
+         row_number() OVER (PARTITION BY draw, v2_label ORDER BY md5(({sampling.SEED} + {sampling.DRAW_STEP} * draw) || ':' || id), id) AS r
   FROM corpus, range(1, 6) d(draw) WHERE v1_label = 'FAST'),
 sets AS (
   SELECT CAST(draw AS INTEGER) AS draw, budget, id, text, v2_label
@@ -269,14 +292,12 @@ sets AS (
 
 @query(f"WITH {SAMPLE_SQL} SELECT id, v1_label, v2_label FROM sample")
 def frozen_test_sample(spark: SparkSession, folder: str) -> DataFrame:
-    sample = sampling.frozen_sample(_labelled(spark, folder), "v2_label", SAMPLE_SIZES)
-    return sample.select("id", "v1_label", "v2_label")
+    return _sample(spark, folder).select("id", "v1_label", "v2_label")
 
 
-@query(f"WITH {SAMPLE_SQL} SELECT id, text FROM sample ORDER BY md5('42:' || id), id")
+@query(f"WITH {SAMPLE_SQL} SELECT id, text FROM sample ORDER BY md5('{sampling.SEED}:' || id), id")
 def shuffled_sample(spark: SparkSession, folder: str) -> DataFrame:
-    sample = sampling.frozen_sample(_labelled(spark, folder), "v2_label", SAMPLE_SIZES)
-    return taxonomy.model_view(sampling.shuffled(sample))
+    return taxonomy.model_view(sampling.shuffled(_sample(spark, folder)))
 
 
 @query(f"WITH {DRAWS_SQL} SELECT draw, budget, id, text, v2_label FROM sets")
@@ -331,7 +352,7 @@ training AS (
 def training_set(spark: SparkSession, folder: str) -> DataFrame:
     cell = _sets(spark, folder).where((F.col("draw") == 3) & (F.col("budget") == 100))
     history = taxonomy.reusable_history(_labelled(spark, folder), given.order_mapping(spark))
-    return joins.one_row_per_key(training_rows(history, cell), "id")
+    return joins.unique_keys(training_rows(history, cell), "id")
 
 
 @query(

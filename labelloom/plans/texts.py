@@ -144,8 +144,8 @@ weights AS (SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) A
     "SELECT id, term, round(weight, 6) AS weight FROM weights"
 )
 def tfidf_weights(spark: SparkSession, folder: str) -> DataFrame:
-    terms = _terms(spark, folder)
-    weights = features.tfidf(terms, _frozen_vocabulary(spark, folder))
+    terms = stored(_terms(spark, folder), "terms")
+    weights = features.tfidf(terms, stored(features.vocabulary(terms), "vocabulary"))
     return rounded(weights.select("id", "term", "weight"), "weight")
 
 
@@ -194,14 +194,41 @@ def _text_predictions(spark: SparkSession, folder: str, label: str, balanced: bo
     return classifiers.predict_text(fitted, test)
 
 
-@query()
+def _judged(predictions: DataFrame, truth: DataFrame, label: str, classes: DataFrame) -> DataFrame:
+    """(id, known, above_majority): every predicted id, whether it got a class of the training data, and
+    whether the model is right more often than naming the commonest class would be."""
+    joined = stored(joins.aligned(truth.select("id", label), predictions), "judged")
+    hits = joined.agg(F.avg((F.col(label) == F.col("prediction")).cast("double")).alias("a")).scalar()
+    commonest = joined.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n") / F.sum("n")).scalar()
+    known = classes.select(F.col(label).alias("prediction"), F.lit(True).alias("known")).distinct()
+    return joined.join(known, "prediction", "left").select(
+        "id", F.coalesce("known", F.lit(False)).alias("known"), (hits > commonest).alias("above_majority")
+    )
+
+
+def _judged_text(spark: SparkSession, folder: str, label: str, balanced: bool) -> DataFrame:
+    labelled = _labelled(spark, folder)
+    found = _text_predictions(spark, folder, label, balanced)
+    return _judged(found, _split(labelled, "test"), label, _split(labelled, "train"))
+
+
+JUDGED_SQL = f"WITH {DOCUMENTS_SQL} SELECT id, true AS known, true AS above_majority FROM corpus WHERE split = 'test'"
+
+
+@query(JUDGED_SQL)
 def v1_text_classifier(spark: SparkSession, folder: str) -> DataFrame:
-    return _text_predictions(spark, folder, "v1_label", balanced=False)
+    return _judged_text(spark, folder, "v1_label", balanced=False)
 
 
-@query()
+@query(JUDGED_SQL)
 def balanced_text_classifier(spark: SparkSession, folder: str) -> DataFrame:
-    return _text_predictions(spark, folder, "v2_label", balanced=True)
+    return _judged_text(spark, folder, "v2_label", balanced=True)
+
+
+VECTORS_SQL = """corpus AS (
+  SELECT vec_id AS id, CAST(label AS VARCHAR) AS label,
+         CASE WHEN CAST('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 4) AS INTEGER) % 5 = 0
+              THEN 'test' ELSE 'train' END AS split FROM embeddings)"""
 
 
 def _vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -216,22 +243,55 @@ def _vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return labelled, rows.select(F.col("vec_id").alias("id"), "embedding")
 
 
-@query()
-def embedding_classifier(spark: SparkSession, folder: str) -> DataFrame:
+def _fitted_embeddings(spark: SparkSession, folder: str) -> tuple[classifiers.Classifier, DataFrame]:
     labelled, embeddings = _vectors(spark, folder)
     joined = stored(classifiers.embedding_vectors(labelled, embeddings), "vectors")
-    fitted = classifiers.fit(_split(joined, "train"), "label", balanced=True)
-    return classifiers.predict(fitted, _split(joined, "test"))
+    return classifiers.fit(_split(joined, "train"), "label", balanced=True), joined
+
+
+@query(f"WITH {VECTORS_SQL} SELECT id, true AS known FROM corpus WHERE split = 'test'")
+def embedding_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    fitted, joined = _fitted_embeddings(spark, folder)
+    found = classifiers.predict(fitted, _split(joined, "test"))
+    return _judged(found, _split(joined, "test"), "label", _split(joined, "train")).drop("above_majority")
+
+
+@query(f"WITH {VECTORS_SQL} SELECT label, 64 AS entries, true AS within_tolerance FROM corpus WHERE split = 'train' GROUP BY label")
+def classifier_gradient(spark: SparkSession, folder: str) -> DataFrame:
+    """The gradient of mean weighted log loss + |w|^2 / (2 N), summed in Spark, vanishes for every class."""
+    fitted, joined = _fitted_embeddings(spark, folder)
+    gradient = classifiers.gradient(fitted, _split(joined, "train"), "label", balanced=True)
+    return gradient.groupBy("label").agg(
+        F.count(F.lit(1)).cast("int").alias("entries"), (F.max(F.abs("slope")) < 5e-3).alias("within_tolerance")
+    )
 
 
 GRID_BUDGETS = (5, 10)
-GRID_DRAWS = (1, 2)
+GRID_DRAWS = (1, 2, 3, 4, 5)
 RUN = ("model", "budget", "draw")
 
 
-@query()
+def _grid_report(predictions: DataFrame, test: DataFrame) -> DataFrame:
+    """Metrics per cell, from one grouped pass over all predictions, checked against what any class list allows."""
+    outcomes = predictions.join(test.select("id", "v2_label"), "id")
+    metrics = evaluation.run_metrics(evaluation.confusion_counts(outcomes, "v2_label", RUN), "v2_label", RUN)
+    return metrics.select(
+        *RUN, "test_examples", (F.col("accuracy").between(0, 1) & F.col("macro_f1").between(0, 1)).alias("plausible"),
+        (F.col("accuracy") > F.lit(1.0) / test.agg(F.count_distinct("v2_label")).scalar()).alias("above_chance"),
+    )
+
+
+def _grid_sql(corpus: str, model: str) -> str:
+    return f"""WITH {corpus}, cells AS (
+      SELECT '{model}' AS model, budget, CAST(draw AS INTEGER) AS draw
+      FROM (VALUES {", ".join(f"({b})" for b in GRID_BUDGETS)}) b(budget), range(1, {len(GRID_DRAWS) + 1}) d(draw))
+    SELECT model, budget, draw, (SELECT count(*) FROM corpus WHERE split = 'test') AS test_examples,
+           true AS plausible, true AS above_chance FROM cells"""
+
+
+@query(_grid_sql(DOCUMENTS_SQL, "tfidf_lr_v2"))
 def experiment_grid(spark: SparkSession, folder: str) -> DataFrame:
-    """Macro-F1 and accuracy per cell of the grid, from one grouped pass over all predictions."""
+    """Every budget and draw of the text model."""
     labelled = _labelled(spark, folder)
     train, test = _split(labelled, "train"), _split(labelled, "test")
     mapping = given.document_mapping(spark)
@@ -243,8 +303,7 @@ def experiment_grid(spark: SparkSession, folder: str) -> DataFrame:
         GRID_BUDGETS,
         GRID_DRAWS,
     )
-    outcomes = predictions.join(test.select("id", "v2_label"), "id")
-    return evaluation.run_metrics(evaluation.confusion_counts(outcomes, "v2_label", RUN), "v2_label", RUN)
+    return _grid_report(predictions, test)
 
 
 TOPIC_OF = {str(i): ("LOW" if i < 4 else "MIDDLE" if i < 7 else "HIGH") for i in range(10)}
@@ -260,7 +319,7 @@ TOPIC_TAXONOMY = {
 }
 
 
-@query()
+@query(_grid_sql(VECTORS_SQL, "embedding_lr_v2"))
 def embedding_grid(spark: SparkSession, folder: str) -> DataFrame:
     """The grid on the given embeddings; three topics of one old class become classes of their own."""
     rows, embeddings = _vectors(spark, folder)
@@ -277,8 +336,7 @@ def embedding_grid(spark: SparkSession, folder: str) -> DataFrame:
         GRID_BUDGETS,
         GRID_DRAWS,
     )
-    outcomes = predictions.join(test.select("id", "v2_label"), "id")
-    return evaluation.run_metrics(evaluation.confusion_counts(outcomes, "v2_label", RUN), "v2_label", RUN)
+    return _grid_report(predictions, test)
 
 
 # ------------------------------------------------------------------- zero-shot
@@ -508,12 +566,39 @@ def streamed_scores(spark: SparkSession, folder: str) -> DataFrame:
         return scoring.lexical_scores(spread(rows, "id"), DOCUMENT_CLASSES, vocab)
 
     version = scoring.version_of(DOCUMENT_CLASSES)
-    score_stream(stream, score, results, checkpoint, "lexical", version).awaitTermination()
-    fields = [
-        T.StructField("scorer", T.StringType()),
-        T.StructField("class_version", T.StringType()),
-        *score(_texts(spark, folder)).schema.fields,
-        T.StructField("run", T.IntegerType()),
-    ]
-    found = scoring.read_results(spark, results, T.StructType(fields))
+    fields = scoring.lexical_schema(T.LongType())
+    score_stream(stream, score, results, checkpoint, "lexical", version, fields).awaitTermination()
+    found = scoring.read_results(spark, results, scoring.result_schema(fields))
     return _shown(scoring.latest(found, scoring.KEYS, ["run"]))
+
+
+@query(
+    f"""{MARKERS_SQL}, scored AS (SELECT id, prediction, upper(prediction) AS shouted FROM answers)
+    SELECT 'markers' AS scorer, '1' AS class_version, id, prediction FROM scored
+    UNION ALL SELECT 'markers', '2', id, prediction || '2' FROM scored
+    UNION ALL SELECT 'other/one', '1', id, 'x' || shouted FROM scored"""
+)
+def shared_results(spark: SparkSession, folder: str) -> DataFrame:
+    """Two scorers and two class versions share a table through streams of several files, run numbers alike."""
+    path, arriving = new_path(spark, "shared-results"), new_path(spark, "arriving")
+    texts = _texts(spark, folder)
+    texts.repartition(3, "id").write.parquet(arriving)
+
+    def scorer(change: Callable) -> Callable[[DataFrame], DataFrame]:
+        def score(rows: DataFrame) -> DataFrame:
+            answers = scoring.answers_of(rows, marker_scorer(DOCUMENT_CLASSES))
+            return answers.select("id", change(X.parsed_answer(F.col("raw_output"), CODES)).alias("prediction"))
+
+        return score
+
+    jobs = [
+        ("markers", "1", lambda c: c),
+        ("markers", "2", lambda c: F.concat(c, F.lit("2"))),
+        ("other/one", "1", lambda c: F.concat(F.lit("x"), F.upper(c))),
+    ]
+    fields = T.StructType([T.StructField("id", T.LongType()), T.StructField("prediction", T.StringType())])
+    for name, version, change in jobs:
+        stream = file_stream(spark, arriving, "id bigint, text string", files_per_batch=1)
+        score_stream(stream, scorer(change), path, new_path(spark, "checkpoint"), name, version, fields).awaitTermination()
+    found = scoring.read_results(spark, path, scoring.result_schema(fields))
+    return scoring.latest(found, scoring.KEYS, ["run"]).select("scorer", "class_version", "id", "prediction")

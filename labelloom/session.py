@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = "*", app: str = "labelloom") -> SparkSession:
+def local_session(cores: int | str = "*", app: str = "labelloom", memory: str = "8g") -> SparkSession:
     """Session for tests and benchmarks on one machine; clusters bring their own."""
     partitions = str(cores if isinstance(cores, int) else os.cpu_count() or 8)
     spark = (
@@ -18,7 +18,7 @@ def local_session(cores: int | str = "*", app: str = "labelloom") -> SparkSessio
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )

@@ -24,10 +24,9 @@ def dimension(spark: SparkSession, rows: Sequence[tuple], schema: str | T.Struct
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting that at most ``max_rows`` rows exist.
 
-    The count stops at the bound. Larger tables keep their shuffle join.
+    Pass a stored table, whose count reads file footers only. Larger tables keep their shuffle join.
     """
-    rows = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if rows <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:

@@ -9,8 +9,16 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
 
-# Quotes inside a field are doubled and fields may span lines.
-CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
+# Quotes inside a field are doubled, fields may span lines and keep their outer blanks. Null is a lone
+# control character (U+001A) and an empty string is quoted, so that both come back as they were.
+CSV_OPTIONS = {
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+    "nullValue": "\x1a",
+}
 
 
 def read_parquet(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -18,13 +26,14 @@ def read_parquet(spark: SparkSession, path: str, schema: str | T.StructType) ->
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give every core a share of a table that is stored in fewer pieces than there are cores.
+    """Give every core a share of a stored table that has fewer files than there are cores.
 
-    For costly work per row on small inputs. A large table has more pieces than
-    the cluster has cores and is left alone.
+    For costly work per row on small inputs. Only the list of files is asked for, so nothing
+    runs; a table of more files, or one that is no plain scan, is left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    files = len(df.inputFiles())
+    return df.repartition(cores, *keys) if 0 < files < cores else df
 
 
 def read_splits(spark: SparkSession, paths: dict[str, str], schema: str | T.StructType) -> DataFrame:
@@ -39,11 +48,11 @@ def read_splits(spark: SparkSession, paths: dict[str, str], schema: str | T.Stru
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
+    return spark.read.schema(schema).options(**CSV_OPTIONS, multiLine=True).csv(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).options(header=True, quote='"', escape='"', emptyValue="").csv(path)
+    df.write.mode(mode).options(**CSV_OPTIONS).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:

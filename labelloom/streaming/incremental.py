@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,17 +29,21 @@ def score_stream(
     checkpoint: str,
     scorer: str,
     class_version: str,
+    schema: T.StructType | None = None,
 ) -> StreamingQuery:
     """Score each new file once and add the results to a table; stops when none is left.
 
     Every batch writes its own folder, so a batch replayed after a failure
-    replaces its rows, and ids scored in earlier batches are skipped. ``score``
+    replaces its rows, and ids scored in earlier batches are skipped. Streams with
+    other checkpoints have folders of their own, as they number their batches alike. ``score``
     must not depend on the batch (freeze the vocabulary), so that the stream
     ends with the same table as one batch job.
     """
 
+    job = hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
+
     def batch(rows: DataFrame, number: int) -> None:
-        score_pending(rows, score, results, scorer, class_version, run=number)
+        score_pending(rows, score, results, scorer, class_version, run=number, job=job, schema=schema)
 
     return (
         stream.writeStream.foreachBatch(batch)

@@ -72,7 +72,7 @@ def test_study_stops_on_small_strata(spark, folder):
 
 def test_calibration_report(spark, folder):
     out = new_path(spark, "calibration")
-    answered, truth = given.answered(spark, folder), given.truth(spark, folder)
+    answered, truth = given.chosen(spark, folder), given.truth(spark, folder)
     summary = jobs.calibration_report(answered, truth, given.LABELS, out, expected_rows=answered.count()).first()
     assert 0 < summary.ece <= summary.mce
     assert spark.read.option("header", True).csv(f"{out}/reliability_bins").count() == 10

@@ -2,6 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelloom.operators import checks, evaluation, joins, taxonomy
+from labelloom.session import new_path
+from labelloom.sources.tables import read_csv, write_csv
 from labelloom.sources.taxonomy import class_definitions, mapping_from_table, mapping_table, queue_table
 
 TRUTH = [(1, "A"), (2, "B"), (3, "A")]
@@ -130,3 +132,18 @@ def test_class_definitions():
     assert class_definitions(config, 2) == [("A", "first"), ("B", "second")]
     with pytest.raises(ValueError, match="expected 9"):
         class_definitions(config, 9)
+
+
+def test_repeated_keys_fail_in_wide_and_narrow_form(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "id int, v string")
+    for check in (joins.one_row_per_key, joins.unique_keys):
+        with pytest.raises(Exception, match="duplicate key"):
+            check(rows, "id").collect()
+        assert check(rows.where("v <> 'c'"), "id").count() == 2
+
+
+def test_csv_keeps_blanks_empty_texts_and_nulls(spark):
+    rows = [(1, "  lead"), (2, "trail \t"), (3, ""), (4, "   "), (5, None), (6, 'a "quoted", line\nnext'), (7, "\\N")]
+    path = new_path(spark, "csv")
+    write_csv(spark.createDataFrame(rows, "id int, text string"), path)
+    assert sorted(tuple(r) for r in read_csv(spark, path, "id int, text string").collect()) == rows

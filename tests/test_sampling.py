@@ -22,7 +22,7 @@ def expected(rows, label, seed, size):
 def test_frozen_sample_equals_brute_force_and_ignores_partitioning(spark):
     sizes = {"hot": 200, "rare": 30, "some": 60}
     rows = corpus(spark).collect()
-    wanted = set().union(*(expected(rows, c, 42 + i, n) for i, (c, n) in enumerate(sizes.items())))
+    wanted = set().union(*(expected(rows, c, sampling.SEED + i, n) for i, (c, n) in enumerate(sizes.items())))
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         for shuffle, partitions in (("3", 1), ("11", 13)):
@@ -72,3 +72,16 @@ def test_approximations_are_close(spark):
     exact_row = accounting.latency_summary(rows, ["v2_label"], "id").orderBy("v2_label").first()
     near_row = accounting.latency_summary(rows, ["v2_label"], "id", approximate=True).orderBy("v2_label").first()
     assert near_row.mean == exact_row.mean and abs(near_row.p95 - exact_row.p95) < 60
+
+
+def test_sizes_follow_the_shares_with_a_floor(spark):
+    rows = corpus(spark)
+    counts = {r.v2_label: r["count"] for r in rows.groupBy("v2_label").count().collect()}
+    sizes = sampling.proportional_sizes(rows, "v2_label", 0.1, 90)
+    assert sizes == {c: min(n, max(90, -(-n // 10))) for c, n in counts.items()}
+
+
+def test_groups_that_are_null_or_without_latency_keep_their_row(spark):
+    rows = [("a", 1.0), ("a", 3.0), (None, 5.0), ("b", None)]
+    found = accounting.latency_summary(spark.createDataFrame(rows, "g string, latency_ms double"), ["g"]).collect()
+    assert {(r.g, r["mean"], r.p50) for r in found} == {("a", 2.0, 2.0), (None, 5.0, 5.0), ("b", None, None)}

@@ -99,6 +99,40 @@ def test_metric_files_are_found_by_name(spark, tmp_path):
     }
 
 
+def test_every_record_of_a_file_is_a_run(spark, tmp_path):
+    one = '{"macro_f1": 0.5, "accuracy": 0.25, "note": "a } { b"}'
+    (tmp_path / "m_b20_d01.json").write_text(f"{one}\n{one.replace('0.5', '0.75')}\n")
+    (tmp_path / "m_b20_d02.json").write_text('{\n "macro_f1": 1,\n "accuracy": 1\n}\n{\n "macro_f1": 0\n}')
+    (tmp_path / "m_b20_d03.json").write_text('[{"macro_f1": 0.1}, {"macro_f1": 0.2}]')
+    found = discover_runs(spark, f"{tmp_path}/*.json").collect()
+    assert sorted((r.draw, r.macro_f1) for r in found) == [(1, 0.5), (1, 0.75), (2, 0.0), (2, 1.0), (3, 0.1), (3, 0.2)]
+    (tmp_path / "m_b20_d04.json").write_text('{"macro_f1": 0.1')
+    with pytest.raises(Exception):
+        discover_runs(spark, f"{tmp_path}/m_b20_d04.json").collect()
+
+
+def test_scorers_and_class_versions_share_run_numbers(spark):
+    path = new_path(spark, "results")
+    rows = texts(spark, [(1, "a"), (2, "b")])
+    for scorer, version in (("s", "1"), ("t/u=v", "1"), ("s", "2"), ("s", "1")):
+        assert scoring.score_pending(rows, answers, path, scorer, version, run=1).count() == 2
+    schema = scoring.result_schema(answers(rows).schema)
+    found = scoring.read_results(spark, path, schema).groupBy("scorer", "class_version").count().collect()
+    assert {(r.scorer, r.class_version): r["count"] for r in found} == {("s", "1"): 2, ("t/u=v", "1"): 2, ("s", "2"): 2}
+    with pytest.raises(ValueError, match="need a name"):
+        scoring.score_pending(rows, answers, path, "", "1", run=1)
+
+
+def test_a_second_stream_keeps_the_first_ones_results(spark):
+    results, arriving = new_path(spark, "results"), new_path(spark, "arriving")
+    for turn, rows in enumerate(([(1, "a"), (2, "b")], [(3, "c")])):
+        texts(spark, rows).write.mode("append").parquet(arriving)
+        stream = file_stream(spark, arriving, "id int, text string")
+        score_stream(stream, answers, results, new_path(spark, f"checkpoint-{turn}"), "s", "1").awaitTermination()
+    schema = scoring.result_schema(answers(texts(spark, [])).schema)
+    assert {r.id for r in scoring.read_results(spark, results, schema).collect()} == {1, 2, 3}
+
+
 def test_large_class_lists_are_refused():
     with pytest.raises(ValueError, match="too large"):
         scoring.checked_classes([("A", "x" * 20_000_000)])
