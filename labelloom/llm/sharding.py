@@ -55,7 +55,8 @@ def propagated(state: DataFrame, capacity: float, shards: int, rounds: int = ROU
     Only the load of each shard reaches the driver.
     """
     for turn in range(rounds):
-        wishes = stored(state.join(preferences(state), "anchor").where("shard <> best"), "shard-wishes")
+        wanted = stored(preferences(state), "shard-preferences")
+        wishes = stored(state.join(wanted, "anchor").where("shard <> best"), "shard-wishes")
         loads = dict(state.groupBy("shard").agg(F.sum("size")).collect())
         room = {s: float(max(0.0, capacity - (loads.get(s) or 0))) for s in range(shards)}
         moves = stored(admitted(wishes, room), "shard-moves")
@@ -102,7 +103,9 @@ def balanced(rows: DataFrame, shards: int = 8, rounds: int = ROUNDS) -> DataFram
     total = rows.agg(F.sum("size")).first()[0] or 0
     capacity = total / shards
     groups = stored(rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "shard-groups")
-    linked = rows.join(groups, "anchor", "left_semi").groupBy("key", "anchor").agg(F.sum("size").alias("size"))
+    # Written before it is grouped, so that Spark may split the rows of a large group.
+    linked = stored(rows.join(groups, "anchor", "left_semi").select("key", "anchor", "size"), "shard-links")
+    linked = linked.groupBy("key", "anchor").agg(F.sum("size").alias("size"))
     first = F.pmod(F.xxhash64("key", F.lit("first")), F.lit(shards)).cast("int")
     state = propagated(stored(linked.withColumn("shard", first), "shard-state"), capacity, shards, rounds)
     loads = dict(state.groupBy("shard").agg(F.sum("size")).collect())
