@@ -107,15 +107,16 @@ class LanguageModel:
         return [self.languages[b] if known else UNKNOWN for b, known in zip(best, lettered)], scores
 
 
-def fit(docs: DataFrame, most: int = 4000) -> LanguageModel:
+def fit(docs: DataFrame, most: int = 4000, languages: int = 500) -> LanguageModel:
     """Learn from texts with a language, at most about ``most`` documents of each language.
 
-    Which documents are taken follows from a hash of their id and text. Counts are summed per task and by
-    key before they reach the driver: languages x 2^16 numbers at most.
+    Which documents are taken follows from a hash of their id; of more than ``languages`` languages the most
+    frequent are learned. Counts are summed per task and by key before they reach the driver:
+    languages x 2^16 numbers at most.
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     known = known.where(~held_out())
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
     share = F.least(F.lit(1.0), F.lit(float(most)) / F.col("n"))
     taken = known.join(F.broadcast(sizes), "lang").where(unit_hash("doc_id", salt="language") < share)
 

@@ -16,8 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import running_total, square_root_buckets, word_count
+from labelloom.session import stored
 
 WEIGHTS = (5, 2, 1)
+# Sources that may be sent to every task, and parts of a source's rows where there are more.
+MOST_SENT = 100_000
+SALTS = 64
 # Weights at equal steps of progress, for the sources in turn: early, steady, late.
 SCHEDULES = ((3.0, 2.0, 1.0), (1.0, 1.0, 1.0), (1.0, 2.0, 3.0))
 
@@ -120,8 +124,7 @@ def mixed(
     targets = source_targets(totals, weights, share, passes, len(schedules))
     per_schedule = [F.sum(F.when(F.col("schedule") == j, F.col("target")).otherwise(0.0)).over(Window.partitionBy()) for j in range(len(schedules))]
     targets = targets.withColumns({f"words_{j}": total for j, total in enumerate(per_schedule)})
-    named = targets.withColumnRenamed("source", "_source")
-    joined = rows.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    joined = with_source(rows, stored(targets, "source-targets"))
     buckets = square_root_buckets(rows.count())
     placed = running_total(joined, "source_index", "key", {"before": "size"}, buckets, [F.col("doc_id"), F.col("size")])
     full = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(passes))).otherwise(0)
@@ -141,6 +144,18 @@ def mixed(
     )
 
 
+def with_source(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """Rows with their source's columns. A list of sources beyond ``MOST_SENT`` is not broadcast: it is
+    copied for each of ``SALTS`` parts of a source's rows, so that a large source meets it in many tasks."""
+    named = targets.withColumnRenamed("source", "_source")
+    same = F.col("source").eqNullSafe(F.col("_source"))
+    if targets.count() <= MOST_SENT:
+        return rows.join(F.broadcast(named), same).drop("_source")
+    copies = named.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    parts = rows.withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    return parts.join(copies, same & (F.col("_salt") == F.col("_part"))).drop("_source", "_part", "_salt")
+
+
 def choose(options: list[Column]) -> Column:
     found = options[-1]
     for j, option in reversed(list(enumerate(options[:-1]))):

@@ -71,6 +71,14 @@ def test_mix_does_not_depend_on_buckets_or_partitions(spark, monkeypatch):
     assert one.exceptAll(other).isEmpty() and one.count() == other.count()
 
 
+def test_many_sources_meet_their_rows_without_a_broadcast(spark, monkeypatch, odd_documents):
+    rows = stored(mixing.sized(odd_documents), "sizes")
+    one = mixing.mixed(rows)
+    monkeypatch.setattr(mixing, "MOST_SENT", 0)
+    other = mixing.mixed(rows)
+    assert one.exceptAll(other).isEmpty() and one.count() == other.count() == rows.count()
+
+
 def test_curriculum_reads_early_sources_first(spark):
     rows = [(i, f"s{i % 3}", 10) for i in range(900)]
     sized = spark.createDataFrame(rows, "doc_id long, source string, size long").withColumn("key", F.md5(F.col("doc_id").cast("string").cast("binary")))
