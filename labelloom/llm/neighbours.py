@@ -23,9 +23,15 @@ from labelloom.session import stored
 
 TABLES = 2
 ROTATIONS = 3
-GROUP_ROWS = 4096
+# Rows of a bucket on average, beyond which buckets are pairs of axes.
+BUCKET_ROWS = 4096
+# Rows of one group of buckets, and at most of one block of it: 16 MB of vectors of 64 components. A query answers
+# with one list per group, so larger groups mean fewer rows to merge.
+GROUP_ROWS = 32768
 BLOCK_ROWS = 32768
 QUERY_ROWS = 16384
+# Inner products held at a time.
+HELD = 1 << 22
 RESULT = "query_id long, rank int, vec_id long, score double"
 HITS = "query long, rep long, score double, ids array<long>"
 
@@ -256,7 +262,7 @@ def nearest(
     if not queries:
         return spark.createDataFrame([], RESULT)
     width = 2 << size.bit_length()
-    hashes = CrossPolytope(size, axes or (1 if total <= GROUP_ROWS * width else 2))
+    hashes = CrossPolytope(size, axes or (1 if total <= BUCKET_ROWS * width else 2))
     most = band_norms(distinct, size)
     probes = needed_probes(hashes, distinct, asked, most, keep, recall, sample)
     groups = min(hashes.buckets, 1 + total // GROUP_ROWS)
@@ -321,30 +327,26 @@ def nearest(
         reps, bucket = left["rep"].to_numpy(), left["bucket"].to_numpy()
         here, starts = np.unique(bucket, return_index=True)
         ends = np.append(starts[1:], len(bucket))
-        visits = pd.DataFrame({"at": np.arange(len(right)), "bucket": right["buckets"]}).explode("bucket")
-        scores = np.full((len(right), len(left)), -np.inf) if len(right) * len(left) <= 1 << 24 else None
-        found: dict[int, list[np.ndarray]] = {}
-        for value, group in visits.groupby("bucket"):
-            k = np.searchsorted(here, value)
-            if k == len(here) or here[k] != value:
-                continue
-            at = group["at"].to_numpy()
-            dots = wanted[at] @ held[starts[k] : ends[k]].T
-            if scores is not None:
-                scores[at, starts[k] : ends[k]] = dots
-            else:
-                for i, row in zip(at, dots):
-                    found.setdefault(i, []).append(starts[k] + best(row, reps[starts[k] : ends[k]], keep))
+        columns: dict[int, slice] = {v: slice(x, y) for v, x, y in zip(here.tolist(), starts.tolist(), ends.tolist())}
         out = []
-        for i, query in enumerate(right["query"]):
-            if scores is not None:
+        step = max(1, HELD // len(left))
+        for at in range(0, len(right), step):
+            some = right.iloc[at : at + step]
+            asked = wanted[at : at + step]
+            scores = np.full((len(some), len(left)), -np.inf)
+            visits: dict[int, list[int]] = {}
+            for i, buckets in enumerate(some["buckets"]):
+                for value in buckets.tolist():
+                    if value in columns:
+                        visits.setdefault(value, []).append(i)
+            for value, who in visits.items():
+                scores[who, columns[value]] = asked[who] @ held[columns[value]].T
+            for i, query in enumerate(some["query"]):
                 seen = np.flatnonzero(scores[i] > -np.inf)
                 places = seen[best(scores[i][seen], reps[seen], keep)]
-            else:
-                places = np.concatenate(found.get(i, [np.zeros(0, dtype=np.int64)]))
-            exact = exact_scores(wanted[i], held[places])
-            top = best(exact, reps[places], keep)
-            out.append(pd.DataFrame({"query": query, "rep": reps[places][top], "score": exact[top], "ids": left["ids"].to_numpy()[places][top]}))
+                exact = exact_scores(asked[i], held[places])
+                top = places[best(exact, reps[places], keep)]
+                out.append(pd.DataFrame({"query": query, "rep": reps[top], "score": exact_scores(asked[i], held[top]), "ids": left["ids"].to_numpy()[top]}))
         return pd.concat(out)
 
     keys = ["band", "table", "part", "block", "turn"]

@@ -71,7 +71,7 @@ def test_norms_copies_and_rows_without_part(spark, axes):
 def test_blocks_and_turns_change_nothing(spark, monkeypatch):
     rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(3).normal(size=(300, 5)))]
     whole = listed(neighbours.nearest(frame(spark, rows), recall=1.0))
-    for name, value in (("GROUP_ROWS", 40), ("BLOCK_ROWS", 20), ("QUERY_ROWS", 4)):
+    for name, value in (("GROUP_ROWS", 40), ("BLOCK_ROWS", 20), ("QUERY_ROWS", 4), ("HELD", 64)):
         monkeypatch.setattr(neighbours, name, value)
     assert listed(neighbours.nearest(frame(spark, rows), recall=1.0, axes=1)) == whole
 
