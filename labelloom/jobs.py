@@ -12,10 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.functions.names import row_id
-from labelloom.operators import calibration, checks, evaluation, joins, runs, sampling, taxonomy
+from labelloom.operators import (
+    accounting,
+    calibration,
+    checks,
+    classifiers,
+    evaluation,
+    joins,
+    runs,
+    sampling,
+    scoring,
+    taxonomy,
+)
+from labelloom.operators.features import document_terms
 from labelloom.session import stored
 from labelloom.sources.runs import discover_runs
-from labelloom.sources.tables import write_adaptation_sets, write_csv, write_parquet, write_records
+from labelloom.sources.tables import training_rows, write_adaptation_sets, write_csv, write_parquet, write_records
 from labelloom.sources.taxonomy import mapping_table, queue_table
 
 
@@ -38,17 +50,21 @@ def ground_truth(
     folder: str,
     expected_queues: dict[str, int] | None = None,
     expected_intents: int | None = None,
+    version: str | None = None,
+    dataset: str | None = None,
 ) -> DataFrame:
     """Relabel a raw corpus (``split, position, text, label``) under both taxonomy versions.
 
     ``names`` (``label, intent``) decodes the class index. The taxonomy is checked
-    against the intents of the corpus first. Returns the table written to ``folder``.
+    against the intents of the corpus first, and its header against ``version`` and ``dataset`` if given. Returns the table written to ``folder``.
     """
     mapping = mapping_table(spark, config)
     intents = names.select("intent")
+    named_as = {k: v if v is not None else config.get(k) for k, v in (("version", version), ("dataset", dataset))}
+    header = checks.taxonomy_header_violations(config, **named_as)
     require_empty(
         checks.taxonomy_violations(
-            queue_table(spark, config), mapping, intents, expected_queues, expected_intents
+            queue_table(spark, config), mapping, intents, expected_queues, expected_intents, header
         ),
         "taxonomy",
     )
@@ -119,6 +135,66 @@ def evaluate(
     return metrics
 
 
+def fit_predict_record(
+    history: DataFrame,
+    cell: DataFrame,
+    test: DataFrame,
+    model: str,
+    budget: int,
+    draw: int,
+    folder: str,
+    label: str = "v2_label",
+) -> DataFrame:
+    """Train the text classifier on history and one cell of new labels; write predictions and the record of the fit.
+
+    Folders: ``predictions/model=/budget=/draw=`` (``id, prediction``) and ``records/run=``. Returns the record:
+    training size, classes, new labels, vocabulary and iterations.
+    """
+    training = joins.unique_keys(training_rows(history, cell, label), "id")
+    terms = stored(document_terms(training), "training-terms")
+    fitted = classifiers.fit_text(terms, label, balanced=True)
+    predictions = classifiers.predict_text(fitted, document_terms(taxonomy.model_view(test)))
+    write_parquet(predictions, f"{folder}/predictions/model={model}/budget={budget}/draw={draw}")
+    card = runs.run_cards(terms, [], label).select(
+        F.lit(model).alias("model"),
+        F.lit(budget).alias("budget"),
+        F.lit(draw).alias("draw"),
+        "*",
+        F.lit(fitted.features).alias("terms"),
+        F.lit(fitted.model.summary.totalIterations).alias("iterations"),
+    )
+    record = stored(card, "record")
+    write_records(record, f"{folder}/records/run={model}_b{budget}_d{draw:02d}")
+    return record
+
+
+def finish_zero_shot(
+    results: DataFrame,
+    inputs: DataFrame,
+    order: str,
+    method: str,
+    task: str,
+    requested_model: str,
+    usd_per_million: float,
+    folder: str,
+) -> DataFrame:
+    """Close a zero-shot run: requested ids only, the last response of each, then predictions and the run's record.
+
+    ``order`` is the column that grows with time. A requested id without a response fails the job.
+    Writes ``predictions`` (``id, prediction``), ``responses`` and ``record``; returns the record.
+    """
+    columns = ("id", "prediction", "latency_ms", "response_model", "input_tokens", "output_tokens")
+    checks.require_columns(results, order, *columns)
+    last = scoring.latest(joins.requested(results, inputs), ["id"], [order])
+    kept = stored(last.select(*columns), "responses")
+    require_empty(joins.pending(inputs.select("id"), kept, "id"), "inputs without a response")
+    write_csv(kept.select("id", "prediction"), f"{folder}/predictions")
+    write_parquet(kept, f"{folder}/responses")
+    record = accounting.run_record(kept, method, task, requested_model, usd_per_million)
+    write_records(record, f"{folder}/record")
+    return record
+
+
 def summarise_runs(
     spark: SparkSession, paths: str, names: DataFrame, grid: DataFrame, cost: DataFrame, folder: str
 ) -> DataFrame:

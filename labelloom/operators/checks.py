@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from labelloom.operators.joins import coverage, labels_outside, unknown, unpredicted
 from labelloom.operators.taxonomy import queue_status
+from labelloom.sizing import dimension
 
 # Kinds of change an intent can undergo.
 CHANGES = ("split", "move", "unchanged")
@@ -33,9 +34,14 @@ def taxonomy_violations(
     corpus_intents: DataFrame | None = None,
     expected_queues: dict[str, int] | None = None,
     expected_intents: int | None = None,
+    header: Sequence[tuple[str, str]] = (),
 ) -> DataFrame:
-    """All broken rules of a taxonomy as ``rule, key, message``."""
-    found = []
+    """All broken rules of a taxonomy as ``rule, key, message``.
+
+    ``header`` takes what ``taxonomy_header_violations`` found, so that one table holds every violation.
+    """
+    rows = [("header", field, message) for field, message in header]
+    found = [dimension(queues.sparkSession, rows, "rule string, key string, message string")]
     blank = queues.where(F.coalesce(F.trim("description"), F.lit("")) == "")
     found.append(
         blank.select(
@@ -102,10 +108,10 @@ def taxonomy_violations(
     return reduce(DataFrame.unionByName, found)
 
 
-def taxonomy_header_violations(config: dict, version: str, dataset: str) -> list[str]:
-    """Broken rules of the two header fields of a taxonomy configuration."""
+def taxonomy_header_violations(config: dict, version: str, dataset: str) -> list[tuple[str, str]]:
+    """Field and message for each of the two header fields of a configuration that is not as expected."""
     expected = {"version": version, "dataset": dataset}
-    return [f"{field} is not {value!r}" for field, value in expected.items() if config.get(field) != value]
+    return [(field, f"is not {value}") for field, value in expected.items() if config.get(field) != value]
 
 
 def count_violations(

@@ -11,13 +11,14 @@ from pyspark.sql import types as T
 
 from labelloom.functions import text as X
 from labelloom.functions.vectors import unit_vector
-from labelloom.operators import classifiers, evaluation, experiments, features, joins, sampling, scoring, taxonomy
+from labelloom.operators import checks, classifiers, evaluation, experiments, features, joins, sampling, scoring, taxonomy
 from labelloom.plans import inputs as given
 from labelloom.plans.inputs import DOCUMENT_CLASSES, DOCUMENTS_SQL, TERMS_SQL, VOCABULARY_SQL
 from labelloom.plans.registry import query, rounded, short
 from labelloom.session import new_path, stored
-from labelloom.sources.tables import spread
-from labelloom.sources.taxonomy import mapping_table
+from labelloom.sources.tables import read_parquet, spread, write_parquet
+from labelloom.sources.taxonomy import class_definitions as definitions
+from labelloom.sources.taxonomy import class_table, mapping_table
 from labelloom.streaming.incremental import file_stream, score_stream
 
 TASK = "Name the language of the message. Choose exactly one class from the list below."
@@ -96,6 +97,31 @@ def class_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.with_classes(_texts(spark, folder).select("id"), DOCUMENT_CLASSES)
 
 
+@query(
+    f"""SELECT label, description, (SELECT count(*) FROM documents WHERE upper(lang) = label) AS rows
+    FROM (VALUES {CLASS_VALUES}) c(label, description)"""
+)
+def class_definitions(spark: SparkSession, folder: str) -> DataFrame:
+    """Class definitions with blanks around them, counted and trimmed, next to the size of each class."""
+    config = {"classes": {label: {"description": f"  {text}\n"} for label, text in DOCUMENT_CLASSES}}
+    classes = class_table(spark, definitions(config, expected=len(DOCUMENT_CLASSES)))
+    sizes = given.table(spark, folder, "documents").groupBy(F.upper("lang").alias("label")).count()
+    joined = classes.join(sizes, "label", "left")
+    return joined.select("label", "description", F.coalesce("count", F.lit(0)).alias("rows"))
+
+
+@query("SELECT count(*) AS rows, 'missing columns: [''label'', ''title'']' AS message FROM documents")
+def required_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """A table that has its columns passes; one that lacks some is refused before any job."""
+    documents = checks.require_columns(given.table(spark, folder, "documents"), "doc_id", "text")
+    message = ""
+    try:
+        checks.require_columns(documents, "doc_id", "title", "label")
+    except ValueError as error:
+        message = str(error)
+    return documents.agg(F.count(F.lit(1)).alias("rows")).withColumn("message", F.lit(message))
+
+
 @query(
     f"""WITH {DOCUMENTS_SQL} SELECT id, len(w) AS words, md5(array_to_string(w, ' ')) AS digest
     FROM (SELECT id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM corpus)"""
@@ -547,8 +573,8 @@ def appended_results(spark: SparkSession, folder: str) -> DataFrame:
     path = new_path(spark, "appended")
     ids = _texts(spark, folder).select("id")
     for n in (1, 2):
-        ids.withColumn("n", F.lit(n)).write.mode("append").parquet(path)
-    results = spark.read.schema("id bigint, n int").parquet(path)
+        write_parquet(ids.withColumn("n", F.lit(n)), path, mode="append")
+    results = read_parquet(spark, path, "id bigint, n int")
     return results.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("results"), F.max("n").alias("n"))
 
 

@@ -81,3 +81,36 @@ def test_calibration_report(spark, folder):
         jobs.calibration_report(given.scored(spark, folder), truth, given.LABELS, out)
     with pytest.raises(jobs.CheckFailed, match="cases"):
         jobs.calibration_report(answered, truth, given.LABELS, out, expected_rows=1)
+
+
+def test_fit_predict_record(spark, folder):
+    labelled = taxonomy.relabelled(given.documents(spark, folder), mapping_table(spark, CONFIG)).where("length(text) < 2000")
+    train, test = (labelled.where(F.col("split") == split) for split in ("train", "test"))
+    history, cell = (train.where(F.col("v1_label") == v1) for v1 in ("EN", "ROMANCE"))
+    out = new_path(spark, "fit")
+    record = jobs.fit_predict_record(history, cell, test, "tfidf_lr_v2", 5, 1, out).first()
+    assert (record.training_examples, record.new_labels) == (history.count() + cell.count(), cell.count())
+    assert record.classes == 3 and record.terms > 0 and record.iterations > 0
+    found = spark.read.parquet(f"{out}/predictions/model=tfidf_lr_v2/budget=5/draw=1")
+    assert found.count() == test.count()
+    with pytest.raises(Exception, match="duplicate key"):
+        jobs.fit_predict_record(history, history, test, "tfidf_lr_v2", 5, 1, out)
+
+
+def test_finish_zero_shot(spark, folder):
+    results = given.scored(spark, folder).withColumn("seq", F.col("id"))
+    again = results.where("id % 7 = 0").withColumns({"seq": F.col("seq") + 10**6, "prediction": F.lit("view")})
+    inputs = results.select("id").where("id % 2 = 0")
+    out = new_path(spark, "zero-shot")
+    record = jobs.finish_zero_shot(results.unionByName(again), inputs, "seq", "service", "v2", "m", 0.5, out).first()
+    assert record.test_examples == inputs.count() and record.response_models == ["m0"]
+    last = {r.id: r.prediction for r in spark.read.parquet(f"{out}/responses").collect()}
+    assert len(last) == inputs.count() and all(p == "view" for i, p in last.items() if i % 7 == 0)
+    with pytest.raises(jobs.CheckFailed, match="without a response"):
+        jobs.finish_zero_shot(results.where("id > 10"), inputs, "seq", "service", "v2", "m", 0.5, out)
+
+
+def test_a_header_that_is_not_expected_stops_the_study(spark, folder):
+    raw, names = raw_corpus(spark, folder)
+    with pytest.raises(jobs.CheckFailed, match="is not 2.0"):
+        jobs.ground_truth(spark, raw, names, CONFIG, new_path(spark, "truth"), version="2.0")

@@ -88,7 +88,7 @@ def rules(spark, config, intents=None):
 def test_valid_taxonomy_has_no_violations(spark):
     assert rules(spark, broken()) == set()
     assert checks.taxonomy_header_violations(CONFIG, "1.0", "d") == []
-    assert checks.taxonomy_header_violations(CONFIG, "2.0", "d") == ["version is not '2.0'"]
+    assert checks.taxonomy_header_violations(CONFIG, "2.0", "d") == [("version", "is not 2.0")]
 
 
 def test_taxonomy_violations(spark):
