@@ -262,3 +262,32 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
                 yield batch.filter(pa.array(judged_texts(strings(batch.column("text")), path, blocks, window)[1] == 0))
 
     return docs.mapInArrow(keep, docs.schema)
+
+
+def digest(found: DataFrame) -> DataFrame:
+    return found.drop("spans")
+
+
+_WORDS = (
+    "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+SQL = f"""
+    WITH listed AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+    items AS (SELECT item_id, w, least({WINDOW}, len(w)) AS k FROM listed WHERE len(w) > 0),
+    windows AS (
+        SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS phrase
+        FROM items, unnest(range(1, len(w) - k + 2)) AS t(i)),
+    sizes AS (SELECT DISTINCT k FROM windows),
+    docs AS (SELECT doc_id, row_number() OVER () AS row, coalesce({_WORDS}, []) AS w FROM documents),
+    places AS (
+        SELECT row, i, k, array_to_string(w[i : i + k - 1], ' ') AS phrase
+        FROM docs, sizes, unnest(range(1, len(w) - k + 2)) AS t(i)),
+    hits AS (SELECT row, i, k, item_id FROM places JOIN windows USING (k, phrase)),
+    words AS (SELECT DISTINCT row, p FROM hits, unnest(range(i, i + k)) AS t(p)),
+    counted AS (SELECT row, count(*) AS n_hit FROM words GROUP BY row),
+    ids AS (SELECT DISTINCT row, item_id::VARCHAR AS id FROM hits WHERE item_id IS NOT NULL),
+    found AS (SELECT row, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM ids GROUP BY row)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM docs LEFT JOIN counted USING (row) LEFT JOIN found USING (row)"""

@@ -78,9 +78,10 @@ def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.found(table(spark, folder, "documents"))
 
 
-@query()
+@query(decontamination.SQL)
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    found = decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return decontamination.digest(found)
 
 
 @query()
