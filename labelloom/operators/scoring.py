@@ -168,7 +168,7 @@ def lexical_scores(
         for i in range(len(labels))
     ]
     sums = (
-        raw_weights(document_terms(inputs.select("id", "text")), vocab)
+        raw_weights(document_terms(inputs.select("id", "text")), vocab, every=True)
         .join(class_terms, "term", "left")
         .groupBy("id")
         .agg(F.sqrt(F.sum(raw * raw)).alias("_length"), *products)
@@ -176,9 +176,7 @@ def lexical_scores(
     cosines = [F.coalesce(F.col(f"_dot{i}") / F.col("_length"), F.lit(0.0)) for i in range(len(labels))]
     odds = [F.exp(c / temperature) for c in cosines]
     return (
-        inputs.select("id")
-        .join(sums, "id", "left")
-        .select("id", F.array(*odds).alias("_odds"))
+        sums.select("id", F.array(*odds).alias("_odds"))
         .withColumn("_sum", reduce(add, [F.get("_odds", F.lit(i)) for i in range(len(labels))]))
         .select(
             "id",

@@ -38,6 +38,9 @@ def test_salted_join_equals_broadcast(spark, folder, monkeypatch):
     salted = features.raw_weights(terms, vocab).select(columns)
     assert direct.count() == salted.count()
     assert direct.exceptAll(salted).isEmpty()
+    whole = features.raw_weights(terms, vocab, every=True)
+    assert whole.where("raw IS NOT NULL").count() == direct.count()
+    assert whole.select("id").distinct().count() == terms.count()
 
 
 def test_resume_skips_done_ids_and_restart_rescores(spark):
