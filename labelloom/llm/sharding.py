@@ -145,9 +145,3 @@ def sharded(docs: DataFrame, shards: int = 8) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
-
-
-def cut(found: DataFrame) -> DataFrame:
-    """``groups, split``: groups of equal texts and those whose rows lie in more than one shard."""
-    each = found.groupBy("text_crc32", "size").agg(F.count("*").alias("n"), F.count_distinct("shard").alias("places"))
-    return each.where("n > 1").agg(F.count("*").alias("groups"), F.sum((F.col("places") > 1).cast("long")).alias("split"))
