@@ -19,7 +19,10 @@ INNER = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Terms to look for. A strict term rejects alone; distinct soft terms reject when their weights reach ``limit``."""
+    """Terms to look for. A strict term rejects alone; distinct soft terms reject when their weights reach ``limit``.
+
+    A negative weight speaks against a rejection.
+    """
 
     strict: Sequence[str]
     soft: Sequence[tuple[str, int]]
@@ -46,10 +49,44 @@ class Rule:
         return self.host + self.path
 
 
+# Terms of each category by weight; weight 0 marks strict terms. Words that are also plain topics never block alone,
+# and the words of "context" speak against a block (adult education is no adult site).
+CATEGORIES: dict[str, dict[int, str]] = {
+    "gambling": {
+        0: "casino casinos sportsbook sportsbooks sportsbetting",
+        2: "baccarat bet bets betting bettor bettors bingo blackjack bookie bookies bookmaker bookmakers gamble gambler gamblers gambling"
+        " jackpot jackpots lotteries lottery lotto poker roulette slots tipster tipsters wager wagering wagers",
+        1: "odds spin spins slot stakes win winner winners winning wins",
+    },
+    "adult": {
+        0: "adults-only camgirl camgirls hentai milf milfs nsfw porn porno pornos pornstar pornstars sexcam sexcams x-rated xrated xvideos xxx",
+        3: "adult",
+        2: "cams erotic erotica escort escorts fetish fetishes hardcore hookup hookups nude nudes pornography sex sexy",
+        1: "adults dating naked rated singles webcam webcams",
+    },
+    "ads and tracking": {
+        0: "adclick adclicks adserver adservers adserving adtrack adtracker adtracking clicktrack clicktracker clicktracking doubleclick"
+        " popunder popunders",
+        2: "ads advert advertisement advertisements advertiser advertisers advertising adverts affiliate affiliates popup popups"
+        " retargeting sponsored tracker trackers tracking",
+        1: "ad banner banners beacon beacons impressions pixel pixels promo promos telemetry track tracked tracks",
+    },
+    "pharmacy": {
+        0: "cialis levitra no-prescription viagra without-prescription",
+        2: "meds pill pills rx tramadol xanax",
+        1: "drug drugs drugstore generics pharma pharmacies pharmacy prescription prescriptions",
+    },
+    "spam": {
+        0: "keygen keygens phish phishing warez",
+        2: "backlink backlinks cheap cheapest clickbait payday replica replicas scam scams spam spammer spammers spamming",
+        1: "bonus bonuses cash click clicks coupon coupons discount discounts farm farms free giveaway giveaways loan loans prize prizes",
+    },
+    "context": {-1: "education fiction learning literacy literature"},
+}
 VOCABULARY = Vocabulary(
-    strict=("casino", "cheap-pills", "phishing", "porn", "spam-farm", "viagra", "xxx"),
-    soft=(("bet", 1), ("bonus", 1), ("cheap", 2), ("click", 1), ("coupon", 1), ("farm", 1), ("free", 1), ("pills", 2), ("poker", 2), ("spam", 2), ("win", 1)),
-)
+    strict=tuple(term for weights in CATEGORIES.values() for term in weights.get(0, "").split()),
+    soft=tuple((t, w) for weights in CATEGORIES.values() for w, terms in weights.items() if w for t in terms.split()),
+)
 
 
 def split_url(url: str | None) -> tuple[str, str]:

@@ -55,6 +55,31 @@ def test_urls_against_brute_force(spark):
     assert urls.judged(pages.limit(0), URL_RULES).count() == 0
 
 
+# Hosts that the vocabulary was not written from and that no rule names.
+UNWANTED = [
+    "lucky-jackpot-slots.biz", "bookmaker-odds-betting.info", "online-casinos.co", "gambling-bonuses.io", "poker-wins.tv", "adult-cams.tv",
+    "sexy-singles-hookups.biz", "nude-webcams.info", "erotic-escorts.co", "adserver.media.io", "banners-advertising.biz", "pixel-tracking.io",
+    "popups-affiliates.co", "discount-meds-rx.biz", "xanax-pharmacy.info", "generics-pills.co", "viagra.biz", "backlinks-cash.info",
+    "payday-loans.biz", "replica-discounts.co", "warez.biz",
+]
+WANTED = [
+    "adult-education.edu", "young-adult-fiction.info", "vaccines-for-adults.gov", "order-tracking.co", "railway-tracks.info", "free-range-farms.co",
+    "pharmacy-school.edu", "sussex.ac.uk", "betty-winslow.info", "adsorption.info", "hospital-drugs.gov", "cash-prizes-law.info", "cheapside.london",
+    "alphabets.info", "bonn.de", "music-awards-winners.tv", "bug-tracker.io",
+]
+
+
+@pytest.mark.parametrize("host", UNWANTED + WANTED)
+def test_vocabulary_on_other_hosts(host):
+    row = urls.Judge((), urls.VOCABULARY).row(f"https://www.{host}/en/12.html?page=2&ref=x")
+    assert row[3] == ("block" if host in UNWANTED else "allow")
+
+
+def test_terms_of_the_vocabulary_are_listed_once():
+    terms = [*urls.VOCABULARY.strict, *(t for t, _ in urls.VOCABULARY.soft)]
+    assert len(terms) == len(set(terms)) and "" not in terms
+
+
 def brute_base(text):
     spans = [
         (m.start(), 0, m.end())
