@@ -1,22 +1,29 @@
-"""Sharding by balanced label propagation.
-
-Rows of one group (linked documents) start in shards drawn by hash. In each round a group's rows are
-counted by shard, and those outside its fullest shard ask to move there; a shard admits
-groups in the order of a hash until its quota is used, the last one in part. So links cut become fewer
-while no shard's linked rows exceed an even share. Rows without links then fill the shards up to
-one level, which makes the sizes even.
+"""Sharding of linked rows under quotas.
+
+Rows of one group (linked documents) are all neighbours of each other, so the labels that propagation with
+quotas can end in are known without its rounds: every group whole in one shard that has room for it. Large groups
+are placed first, on the driver, each in the tightest shard that holds it; one that no shard holds takes as
+few shards as it needs. Groups smaller than a thousandth of an even share, whose number has no bound, then fill the
+shards by a running total; the few that would lie across two shards are placed like large ones. No shard's
+linked rows exceed an even share by more than half a row for each group split in it. Rows without links then
+fill the shards up to one level, which makes the sizes even.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import running_total, square_root_buckets, unit_hash
+from labelloom.llm.common import running_total, square_root_buckets
 from labelloom.session import stored
 
-ROUNDS = 6
-STATE = ["key", "anchor", "size", "shard"]
+# Groups of at least an even share divided by this are placed on the driver, so at most so many times the shards.
+FRACTION = 1024
+
+Sizes = list[tuple[str, int]]
+Parts = dict[str, list[float]]
 
 
 def sharded_rows(docs: DataFrame) -> DataFrame:
@@ -30,48 +37,85 @@ def sharded_rows(docs: DataFrame) -> DataFrame:
     ).withColumn("key", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "anchor").cast("binary")))
 
 
-def preferences(state: DataFrame) -> DataFrame:
-    """``anchor, best``: the shard that holds most of a group's size, ties by a hash that differs between groups."""
-    held = state.groupBy("anchor", "shard").agg(F.sum("size").alias("held"))
-    strongest = F.max(F.struct("held", F.xxhash64("anchor", "shard").alias("tie"), "shard"))
-    return held.groupBy("anchor").agg(strongest.alias("most")).select("anchor", F.col("most.shard").alias("best"))
-
-
-def admitted(wishes: DataFrame, room: dict[int, float]) -> DataFrame:
-    """``anchor, best, share``: the part of each group's wish that its shard's room admits."""
-    totals = wishes.groupBy("anchor", "best").agg(F.sum("size").alias("size"))
-    order = F.md5(F.concat_ws(":", "best", "anchor").cast("binary"))
-    placed = running_total(
-        totals.withColumn("order", order), "best", "order", {"before": "size"}, square_root_buckets(totals.count())
-    )
-    left = F.element_at(F.create_map(*[F.lit(x) for kv in room.items() for x in kv]), F.col("best")) - F.col("before")
-    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), left / F.col("size")))
-    return placed.select("anchor", "best", share.alias("share")).where("share > 0")
-
-
-def propagated(state: DataFrame, capacity: float, shards: int, rounds: int = ROUNDS) -> DataFrame:
-    """Move linked rows towards their neighbours' shard until nobody wants to or may; one table per round.
-
-    Only the load of each shard reaches the driver.
-    """
-    for turn in range(rounds):
-        wanted = stored(preferences(state), "shard-preferences")
-        wishes = stored(state.join(wanted, "anchor").where("shard <> best"), "shard-wishes")
-        loads = dict(state.groupBy("shard").agg(F.sum("size")).collect())
-        room = {s: float(max(0.0, capacity - (loads.get(s) or 0))) for s in range(shards)}
-        moves = stored(admitted(wishes, room), "shard-moves")
-        accepted = (
-            wishes.join(moves, ["anchor", "best"])
-            .where(unit_hash("key", salt=f"move-{turn}") < F.col("share"))
-            .select("key", F.col("best").alias("to"))
-        )
-        moved = stored(accepted, "shard-moved")
-        if moved.isEmpty():
-            return state
-        state = stored(
-            state.join(moved, "key", "left").withColumn("shard", F.coalesce("to", "shard")).select(*STATE), "shard-state"
-        )
-    return state
+def best_fit(groups: Sizes, room: list[float]) -> Parts:
+    """What each group takes of each shard, largest first, in the tightest shard that holds it (or its rest); uses up ``room``."""
+    parts = {}
+    for anchor, size in sorted(groups, key=lambda g: (-g[1], g[0])):
+        taken, left = [0.0] * len(room), float(size)
+        while left > 0:
+            holding = [s for s, r in enumerate(room) if r >= left]
+            if holding:
+                shard = min(holding, key=lambda s: (room[s], s))
+            else:
+                shard = max(range(len(room)), key=lambda s: (room[s], -s))
+            # Sums of floats may miss the last piece of a byte.
+            piece = left if room[shard] < 1 else min(left, room[shard])
+            taken[shard], room[shard], left = taken[shard] + piece, room[shard] - piece, left - piece
+        parts[anchor] = taken
+    return parts
+
+
+def in_a_row(groups: Sizes, room: list[float]) -> Parts:
+    """What each group takes of each shard if they follow each other; one more shard than the least at most, from equal rooms."""
+    parts, shard = {}, 0
+    for anchor, size in sorted(groups, key=lambda g: (-g[1], g[0])):
+        taken, left = [0.0] * len(room), float(size)
+        while left > 0:
+            piece = left if shard == len(room) - 1 else min(left, room[shard])
+            taken[shard], room[shard], left = taken[shard] + piece, room[shard] - piece, left - piece
+            if room[shard] <= 0 and shard < len(room) - 1:
+                shard += 1
+        parts[anchor] = taken
+    return parts
+
+
+def large_parts(groups: Sizes, capacity: float, shards: int) -> tuple[Parts, list[float]]:
+    """Parts of the large groups and the room they leave; a group takes one shard more than the least at most."""
+    room = [capacity] * shards
+    parts = best_fit(groups, room)
+    most = {anchor: math.ceil(size / capacity) + 1 for anchor, size in groups}
+    if any(sum(x > 0 for x in taken) > most[anchor] for anchor, taken in parts.items()):
+        room = [capacity] * shards
+        parts = in_a_row(groups, room)
+    return parts, room
+
+
+def grouped(rows: DataFrame, capacity: float, shards: int) -> tuple[DataFrame, Parts]:
+    """``anchor, shard`` of the groups that stay whole, and the parts of those that do not."""
+    totals = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("size").alias("size")).where("n > 1")
+    groups = stored(totals.select("anchor", "size"), "shard-groups")
+    large = F.col("size") >= capacity / FRACTION
+    parts, room = large_parts([tuple(r) for r in groups.where(large).collect()], capacity, shards)
+    small = groups.where(~large).withColumn("all", F.lit(0))
+    count, size = small.agg(F.count("*"), F.sum("size")).first()
+    quotas = level([capacity - r for r in room], size or 0)
+    order = F.md5(F.concat(F.lit("group:"), "anchor").cast("binary"))
+    found = running_total(small.withColumn("order", order), "all", "order", {"before": "size"}, square_root_buckets(count))
+    found = found.select(
+        "anchor", "size", by_quota(F.col("before"), quotas).alias("shard"),
+        by_quota(F.col("before") + F.col("size") - 0.5, quotas).alias("last"),
+    )
+    found = stored(found, "shard-small")
+    inside = found.where("shard = last")
+    for shard, load in inside.groupBy("shard").agg(F.sum("size")).collect():
+        room[shard] -= load
+    parts |= best_fit([tuple(r) for r in found.where("shard <> last").select("anchor", "size").collect()], room)
+    whole = [(anchor, taken.index(max(taken))) for anchor, taken in parts.items() if sum(x > 0 for x in taken) == 1]
+    split = {anchor: taken for anchor, taken in parts.items() if sum(x > 0 for x in taken) > 1}
+    placed = rows.sparkSession.createDataFrame(whole, "anchor string, shard int")
+    return inside.select("anchor", "shard").unionByName(placed), split
+
+
+def divided(rows: DataFrame, split: Parts) -> DataFrame:
+    """``key, shard`` of the rows of groups that need several shards, in the order of their keys."""
+    numbers = rows.sparkSession.createDataFrame([(a, i) for i, a in enumerate(split)], "anchor string, part int")
+    nodes = rows.join(F.broadcast(numbers), "anchor").groupBy("key", "part").agg(F.sum("size").alias("size"))
+    nodes = stored(nodes, "shard-split")
+    found = running_total(nodes, "part", "key", {"before": "size"}, square_root_buckets(nodes.count()))
+    place, shard = F.col("before") + F.col("size") / 2, F.lit(None).cast("int")
+    for i, taken in enumerate(split.values()):
+        shard = F.when(F.col("part") == i, by_quota(place, taken)).otherwise(shard)
+    return found.select("key", shard.alias("shard"))
 
 
 def level(loads: list[float], free: int) -> list[float]:
@@ -93,26 +137,22 @@ def by_quota(place: Column, quotas: list[float]) -> Column:
     return found
 
 
-def balanced(rows: DataFrame, shards: int = 8, rounds: int = ROUNDS) -> DataFrame:
+def balanced(rows: DataFrame, shards: int = 8) -> DataFrame:
     """Add ``shard`` to stored ``rows`` of ``sharded_rows``: sizes are even up to one row, groups stay together.
 
-    A group larger than an even share is split over as many shards as it needs. Equal rows (id and text)
-    are one node and stay together. Null texts are empty ones, a null doc_id is an id like any other,
+    A group larger than an even share is split over as many shards as it needs, at most one more where other
+    groups leave it no better; a smaller one is split only if no shard has room for it. Equal rows (id and
+    text) are one node and stay together. Null texts are empty ones, a null doc_id is an id like any other,
     no rows give no rows.
     """
     total = rows.agg(F.sum("size")).first()[0] or 0
-    capacity = total / shards
-    groups = stored(rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "shard-groups")
-    # Written before it is grouped, so that Spark may split the rows of a large group.
-    linked = stored(rows.join(groups, "anchor", "left_semi").select("key", "anchor", "size"), "shard-links")
-    linked = linked.groupBy("key", "anchor").agg(F.sum("size").alias("size"))
-    first = F.pmod(F.xxhash64("key", F.lit("first")), F.lit(shards)).cast("int")
-    state = propagated(stored(linked.withColumn("shard", first), "shard-state"), capacity, shards, rounds)
-    loads = dict(state.groupBy("shard").agg(F.sum("size")).collect())
-    over = {s: max(0.0, 1 - capacity / loads[s]) if loads.get(s) else 0.0 for s in range(shards)}
-    spill = F.element_at(F.create_map(*[F.lit(x) for kv in over.items() for x in kv]), F.col("shard"))
-    state = stored(state.where(unit_hash("key", salt="spill") >= spill).select("key", "shard"), "shard-linked")
-    placed = stored(rows.join(state, "key", "left"), "shard-rows")
+    whole, split = grouped(rows, total / shards, shards)
+    # Joined from a written table, so that Spark may split the rows of a large group.
+    placed = stored(rows.join(whole, "anchor", "left"), "shard-rows")
+    if split:
+        found = stored(divided(rows, split).withColumnRenamed("shard", "part"), "shard-parts")
+        placed = placed.join(found, "key", "left").withColumn("shard", F.coalesce("shard", "part")).drop("part")
+        placed = stored(placed, "shard-rows")
     large = 2 * total / max(1, rows.count())
     for size in (F.col("size") > large, F.col("size") <= large):
         placed = stored(filled(placed, size, shards), "shard-rows")

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -140,6 +141,38 @@ def test_large_groups_are_split_and_sizes_stay_even(spark):
     assert sum(1 for (_, crc), n in copies.items() if crc == first and n > 0) <= 8
 
 
+@pytest.mark.parametrize("fraction", [sharding.FRACTION, 8])
+def test_groups_stay_together_where_shards_have_room(spark, monkeypatch, fraction):
+    monkeypatch.setattr(sharding, "FRACTION", fraction)
+    texts = ["copy of one hot text"] * 500 + [f"text of group {g} " + "word " * (g % 7) for g in range(150) for _ in range(2 + g % 5)]
+    texts += [f"single text number {i}" for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = sharding.sharded(docs).collect()
+    check_shards(found, list(enumerate(texts)))
+    load, places, sizes = defaultdict(int), defaultdict(set), defaultdict(int)
+    for r in found:
+        load[r.shard] += r.size
+        places[r.text_crc32].add(r.shard)
+        sizes[r.text_crc32] += r.size
+    capacity = sum(load.values()) / 8
+    hot = zlib.crc32(b"copy of one hot text")
+    assert sizes[hot] > 8 * capacity / 4
+    assert len(places[hot]) <= math.ceil(sizes[hot] / capacity) + 1
+    assert all(len(p) == 1 for crc, p in places.items() if crc != hot)
+    assert max(load.values()) - min(load.values()) <= 2 * max(r.size for r in found)
+
+
+@pytest.mark.parametrize("sizes", [[160] * 5, [250, 250, 100, 100, 100], [799, 1], [30] * 20, [333, 90, 80, 70, 60, 50, 40], [100] * 8])
+def test_parts_of_large_groups(sizes):
+    groups = [(f"{i:032x}", size) for i, size in enumerate(sizes)]
+    parts, room = sharding.large_parts(groups, 100.0, 8)
+    for anchor, size in groups:
+        assert sum(parts[anchor]) == pytest.approx(size)
+        assert sum(x > 0 for x in parts[anchor]) <= math.ceil(size / 100) + 1
+    assert all(r >= -1e-6 for r in room)
+    assert [100 - sum(p[s] for p in parts.values()) for s in range(8)] == pytest.approx(room)
+
+
 def test_odd_documents_in_shards(spark, odd_documents, odd_rows, no_documents):
     check_shards(sharding.sharded(odd_documents).collect(), odd_rows)
     assert sharding.sharded(no_documents).count() == 0
