@@ -1,8 +1,10 @@
 """Secret scans through nested encodings.
 
 A worklist holds layers: the text itself and whatever decodes out of it. Each layer is scanned, then
-unwrapped: percent and Unicode escapes give one layer of the whole text, every base64 run and every
-compressed block a layer of its own. Each character of a layer knows the stretch of the
+unwrapped: percent and Unicode escapes give one layer of the whole text, every base64 run (over line ends
+too, and from each of its four alignments, so that letters before it do no harm) and every
+compressed block a layer of its own. Bytes that are no UTF-8 are read as Latin-1 where that holds
+anything to find. Each character of a layer knows the stretch of the
 text it came from, so that what is found inside is reported where it stands. A layer with the
 content and the stretch of an earlier one is not entered again, which ends cycles; the list runs empty
 because every step but a compressed one shortens its layer.
@@ -15,6 +17,7 @@ import bz2
 import hashlib
 import lzma
 import re
+import urllib.parse
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,6 +44,13 @@ ESCAPE = re.compile(
 )
 ALPHABETS = (re.compile(r"[A-Za-z0-9+/]{16,}"), re.compile(r"[A-Za-z0-9_-]{16,}"))
 SHORTEST = 16
+# What stands in a percent-encoded token, and lines that end and begin with base64.
+TOKEN = re.compile(r"(?:[!#$&-;=?-Z\[\]_a-z~]++|%[0-9A-Fa-f]{2})++")
+LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++")
+# Without one of these, bytes hold no match and nothing to unwrap.
+HINT = re.compile(rb"[A-Za-z0-9+/_-]{16}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|[pP][aA][sS][sS][wW]|[sS][eE][cC][rR]|[tT][oO][kK]|[aA][pP][iI]")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 # A compressed layer is unwrapped up to this many bytes, so that a small text cannot fill the memory.
 MOST_BYTES = 64 << 20
 PRINTABLE = 0.9
@@ -109,40 +119,61 @@ def found_in(text: str) -> list[Span]:
     return sorted(spans)
 
 
-def inflated(data: bytes) -> bytes | None:
-    """What a gzip, zlib, bzip2, xz or zstandard block holds; None for other bytes."""
+def inflated(data: bytes) -> tuple[bytes, int] | None:
+    """What the gzip, zlib, bzip2, xz or zstandard block at the start of ``data`` holds, and its length; None for other bytes."""
     try:
         if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, MOST_BYTES)
-        if data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(data, MOST_BYTES)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, MOST_BYTES)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, MOST_BYTES)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
+            stream = zlib.decompressobj(31)
+        elif data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
+            stream = zlib.decompressobj()
+        elif data[:3] == b"BZh":
+            stream = bz2.BZ2Decompressor()
+        elif data[:6] == b"\xfd7zXZ\x00":
+            stream = lzma.LZMADecompressor()
+        elif data[:4] == b"\x28\xb5\x2f\xfd":
             with zstandard.ZstdDecompressor().stream_reader(data) as reader:
-                return reader.read(MOST_BYTES)
+                return reader.read(MOST_BYTES), len(data)
+        else:
+            return None
+        held = stream.decompress(data, MOST_BYTES)
+        return held, len(data) - len(stream.unused_data)
     except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
-        pass
-    return None
+        return None
 
 
-def readable(data: bytes) -> str | None:
-    """The bytes as text, if they are UTF-8 and mostly printable."""
+def read_as(data: bytes) -> tuple[str, bool, bool]:
+    """The bytes as UTF-8, or as Latin-1 where that fails; whether they are UTF-8, and mostly printable UTF-8."""
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
-        return None
+        return data.decode("latin-1"), False, False
     shown = sum(c.isprintable() or c in "\t\n\r" for c in text)
-    return text if text and shown >= PRINTABLE * len(text) else None
-
-
-def unpacked(data: bytes) -> str | None:
-    held = inflated(data)
-    while held is not None:
-        data, held = held, inflated(held) if held != data else None
-    return readable(data)
+    return text, True, bool(text) and shown >= PRINTABLE * len(text)
+
+
+def promising(data: bytes, text: str) -> bool:
+    """Whether bytes that are no plain text, read as ``text``, hold a match or anything to unwrap."""
+    if HINT.search(data) is None:
+        return False
+    return bool(found_in(text)) or next(runs_of(text), None) is not None or ESCAPE.search(text) is not None
+
+
+def compressed(data: bytes) -> Iterator[tuple[int, int, str]]:
+    """Start, end and innermost content of the compressed blocks among the bytes."""
+    after = 0
+    for m in MAGIC.finditer(data):
+        if m.start() < after:
+            continue
+        block = inflated(data[m.start() :])
+        if block is None:
+            continue
+        inner, used = block
+        while (deeper := inflated(inner)) is not None and deeper[0] != inner:
+            inner = deeper[0]
+        text, _, plain = read_as(inner)
+        if plain or promising(inner, text):
+            after = m.start() + used
+            yield m.start(), after, text
 
 
 def char_bytes(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -153,6 +184,25 @@ def char_bytes(text: str) -> tuple[np.ndarray, np.ndarray]:
     return ends - sizes, ends
 
 
+def without_percent_blocks(layer: Layer) -> Iterator[Layer]:
+    """A layer for each compressed block in a percent-encoded token, whose plain letters are bytes as well."""
+    if "%" not in layer.text:
+        return
+    for m in TOKEN.finditer(layer.text):
+        if "%" not in m[0]:
+            continue
+        escaped = np.frombuffer(m[0].encode("ascii"), dtype=np.uint8) == ord("%")
+        digit = np.zeros(len(escaped), dtype=bool)
+        digit[1:] |= escaped[:-1]
+        digit[2:] |= escaped[:-2]
+        starts = m.start() + np.flatnonzero(~digit)
+        ends = np.append(starts[1:], m.end())
+        # A plus is itself, or a space in the encoding of forms.
+        for token in dict.fromkeys((m[0], m[0].replace("+", " "))):
+            for first, last, inner in compressed(urllib.parse.unquote_to_bytes(token)):
+                yield layer.below(inner, *whole(int(starts[first]), int(ends[last - 1]), inner))
+
+
 def without_escapes(layer: Layer) -> Iterator[Layer]:
     """The layer with its percent and Unicode escapes decoded, and compressed blocks among the former."""
     text = layer.text
@@ -161,13 +211,11 @@ def without_escapes(layer: Layer) -> Iterator[Layer]:
     parts: list[str] = []
     starts: list[np.ndarray] = []
     ends: list[np.ndarray] = []
+    yield from without_percent_blocks(layer)
     at = 0
     for m in ESCAPE.finditer(text):
         if m[1]:
             data = bytes.fromhex(m[1].replace("%", ""))
-            block = inflated(data)
-            if block is not None and (inner := unpacked(block)) is not None:
-                yield layer.below(inner, *whole(m.start(), m.end(), inner))
             decoded = data.decode("utf-8", "replace")
             if "�" in decoded:
                 decoded = data.decode("latin-1")
@@ -197,26 +245,79 @@ def whole(start: int, end: int, inner: str) -> tuple[np.ndarray, np.ndarray]:
     return np.broadcast_to(np.int64(start), len(inner)), np.broadcast_to(np.int64(end), len(inner))
 
 
+def wrapped(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Stretches of the lines of each base64 block over several lines: all as long but the first and the last."""
+    if "\n" not in text:
+        return
+    for m in LINES.finditer(text):
+        lines = [x.span() for x in LINE.finditer(text, m.start(), m.end())]
+        at = 0
+        while at < len(lines):
+            taken, width = [lines[at]], lines[at][1] - lines[at][0]
+            for start, end in (lines[i] for i in range(at + 1, len(lines))):
+                size = end - start
+                width = max(width, size) if len(taken) == 1 else width
+                if size > width:
+                    break
+                taken.append((start, end))
+                if size < width:
+                    break
+            if len(taken) > 1:
+                yield taken
+            at += len(taken)
+
+
+def stops(last: np.ndarray, size: int, places: np.ndarray, ended: int) -> np.ndarray:
+    """Where bytes that end at ``last`` of ``size`` end in the text, from the places of their letters."""
+    return np.where(last == size, ended, places[np.minimum((last * 4 + 2) // 3, len(places)) - 1] + 1)
+
+
+def decoded_base64(layer: Layer, packed: str, places: np.ndarray, other: bytes | None) -> Iterator[Layer]:
+    """Layers of base64 letters that stand at ``places``: from the first alignment that gives plain text or one whole block, else from all."""
+    after = int(places[-1]) + 1
+    end = after + len(layer.text[after : after + 2]) - len(layer.text[after : after + 2].lstrip("="))
+    for skip in range(4):
+        piece, at = packed[skip:], places[skip:]
+        if len(piece) % 4 == 1:
+            piece, at = piece[:-1], at[:-1]
+        data = base64.b64decode(piece + "=" * (-len(piece) % 4), altchars=other)
+        ended = end if len(at) + skip == len(places) else int(at[-1]) + 1
+        rest = data
+        for first, last, inner in compressed(data):
+            rest = rest[:first] + bytes(last - first) + rest[last:]
+            yield layer.below(inner, *whole(int(at[first * 4 // 3]), int(stops(np.array(last), len(data), at, ended)), inner))
+        if not any(rest):
+            return
+        inner, utf8, plain = read_as(rest)
+        if plain or promising(rest, inner):
+            first = np.arange(len(data))
+            first, last = char_bytes(inner) if utf8 else (first, first + 1)
+            yield layer.below(inner, at[first * 4 // 3], stops(last, len(data), at, ended))
+            if plain:
+                return
+
+
 def without_base64(layer: Layer) -> Iterator[Layer]:
-    """A layer for each run, in the plain or the URL alphabet, that decodes to text or to a compressed block."""
-    text = layer.text
+    """The layers of each run, in the plain or the URL alphabet, that decodes to text or to a compressed block."""
+    text, joined = layer.text, set()
+    for lines in wrapped(text):
+        packed = "".join(text[a:b] for a, b in lines)
+        url = "-" in packed or "_" in packed
+        if url and ("+" in packed or "/" in packed):
+            continue
+        places = np.concatenate([np.arange(a, b) for a, b in lines])
+        for inner in decoded_base64(layer, packed, places, b"-_" if url else None):
+            joined.update(a for a, _ in lines)
+            yield inner
     for place, run in runs_of(text):
+        if place in joined:
+            continue
         for alphabet, other in zip(ALPHABETS, (None, b"-_")):
             for m in alphabet.finditer(run):
-                packed, at = m[0], place + m.start()
-                if len(packed) % 4 == 1 or (other and "-" not in packed and "_" not in packed):
+                if other and "-" not in m[0] and "_" not in m[0]:
                     continue
-                data = base64.b64decode(packed + "=" * (-len(packed) % 4), altchars=other)
-                end = at + len(packed)
-                end += len(text[end : end + 2]) - len(text[end : end + 2].lstrip("="))
-                if inflated(data) is not None:
-                    inner = unpacked(data)
-                    if inner is not None:
-                        yield layer.below(inner, *whole(at, end, inner))
-                elif (inner := readable(data)) is not None:
-                    first, last = char_bytes(inner)
-                    stops = np.where(last == len(data), end, at + (last * 4 + 2) // 3)
-                    yield layer.below(inner, at + first * 4 // 3, stops)
+                at = place + m.start()
+                yield from decoded_base64(layer, m[0], np.arange(at, at + len(m[0])), other)
 
 
 def scanned(text: str) -> tuple[list[Span], list[Span], int]:

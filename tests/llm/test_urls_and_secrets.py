@@ -135,6 +135,50 @@ def test_secrets_in_layers_are_mapped_to_the_text(kind):
     assert added == [(9, 0, 9 + len(inner))]
 
 
+LONG = "".join(f"line {i} of {hashlib.sha256(str(i).encode()).hexdigest()[:20]}\n" for i in range(12)) + SECRET
+PACKERS = {"gzip": gzip.compress, "zlib": zlib.compress, "bzip2": bz2.compress, "xz": lzma.compress, "zstandard": zstandard.compress}
+
+
+@pytest.mark.parametrize("encode", [urllib.parse.quote, urllib.parse.quote_plus, lambda b: urllib.parse.quote(b, safe="")])
+@pytest.mark.parametrize("kind", PACKERS)
+def test_compressed_blocks_as_url_encoders_write_them(kind, encode):
+    inner = encode(PACKERS[kind](LONG.encode()))
+    text = f"see https://a.b/c?data={inner} after"
+    assert (23, 0, 23 + len(inner)) in secrets.scanned(text)[1]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n    "])
+@pytest.mark.parametrize("width", [64, 76])
+def test_secrets_over_the_line_ends_of_base64(width, end):
+    for shift in range(60):
+        lines = re.findall(f".{{1,{width}}}", base64.b64encode(b"x" * shift + b" " + SECRET.encode() + b" and more " * 20).decode())
+        text = "Some words:\n" + end.join(lines) + "\nafter it"
+        spans = secrets.scanned(text)[1]
+        assert len(spans) == 1 and spans[0][1] == 0
+        stretch = re.sub(r"\s", "", text[spans[0][0] : spans[0][2]])
+        assert stretch in "".join(lines) and len(SECRET) * 4 // 3 <= len(stretch) <= len(SECRET) * 4 // 3 + 4
+
+
+@pytest.mark.parametrize("kind", PACKERS)
+def test_compressed_blocks_over_the_line_ends_of_base64(kind):
+    block = base64.encodebytes(PACKERS[kind](LONG.encode())).decode()
+    assert (9, 0, 9 + len(block) - 1) in secrets.scanned(f"é before\n{block}\nafter")[1]
+
+
+@pytest.mark.parametrize("prefix", ["", "a", "ab", "abc", "abcd", "path/to/", "key-", "my_key_", "a/b-c_"])
+@pytest.mark.parametrize("kind", ["base64", "base64 twice", "gzip", "bzip2", "xz", "zstandard"])
+def test_base64_after_letters_of_its_alphabet(kind, prefix):
+    inner = packed(kind)
+    spans = secrets.scanned(f"é {prefix}{inner} after")[1]
+    start = 2 + len(prefix)
+    assert (start, 0, start + len(inner)) in spans
+
+
+def test_layers_that_are_no_utf8():
+    for block in (base64.b64encode(f"Schl\u00fcssel {SECRET} \u00e4".encode("latin-1")), base64.b64encode(gzip.compress(b"\xff\xfe\x00 " + SECRET.encode()))):
+        assert [s[1] for s in secrets.scanned(f"a {block.decode()} z")[1]] == [0]
+
+
 def test_two_equal_blocks_are_both_found():
     block = packed("base64")
     _, spans, _ = secrets.scanned(f"{block} and {block}")
