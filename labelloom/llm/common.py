@@ -53,6 +53,14 @@ def small_slices(batches: Iterable[pa.RecordBatch], column: str, most: int) -> I
             yield batch.slice(start)
 
 
+def in_pieces(batches: Iterable[pa.RecordBatch], width: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that a piece of rows with ``width`` numbers each holds about ``most`` numbers."""
+    step = max(1, most // max(1, width))
+    for batch in batches:
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
+
+
 def square_root_buckets(rows: int) -> int:
     """So many buckets that neither a bucket nor the list of buckets grows faster than the root of the rows."""
     return max(1, math.isqrt(rows))

@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelloom.llm import decontamination, language, mixing, neighbours, quality, secrets, sharding, simhash, token_files, urls
+from labelloom.llm import (
+    decontamination,
+    language,
+    lexical_search,
+    line_dedup,
+    mixing,
+    neighbours,
+    quality,
+    secrets,
+    sharding,
+    simhash,
+    token_files,
+    urls,
+    vector_codes,
+)
 from labelloom.llm.common import table
 from labelloom.session import stored
 
@@ -92,3 +106,19 @@ def op9_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, folder, "documents")))
+
+
+@query(vector_codes.sql())
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, folder, "embeddings"))
+
+
+@query(lexical_search.SQL)
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query(line_dedup.sql())
+def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return line_dedup.digest(line_dedup.cut(docs, line_dedup.indexed(docs)))
