@@ -14,8 +14,7 @@ from operator import add
 from urllib.parse import quote
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +22,7 @@ from labelloom.functions.text import system_message, user_message
 from labelloom.operators.features import document_terms, raw_weights, tfidf
 from labelloom.operators.joins import pending
 from labelloom.sizing import MAX_CLASSES, dimension
+from labelloom.sources.results import ADDED, ResultsTable, last_rows
 
 Classes = Sequence[tuple[str, str]]
 Scorer = Callable[[list[str]], list[str]]
@@ -30,6 +30,9 @@ Scorer = Callable[[list[str]], list[str]]
 MAX_DEFINITION_CHARACTERS = 10_000_000
 TEMPERATURE = 0.1
 KEYS = ("scorer", "class_version", "id")
+# Of several results for one key the last in this order counts.
+ORDER = ("run", "job", "seen")
+SHARED = T.StructType([T.StructField(c, T.StringType()) for c in ("scorer", "class_version")])
 
 
 def checked_classes(classes: Classes) -> list[tuple[str, str]]:
@@ -222,33 +225,28 @@ def answers_of(inputs: DataFrame, make_scorer: Callable[[], Scorer]) -> DataFram
 
 def latest(results: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Last row per key in the order of the given columns."""
-    last = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return results.withColumn("_n", F.row_number().over(last)).where(F.col("_n") == 1).drop("_n")
+    return last_rows(results, keys, order)
+
+
+def results_table(spark: SparkSession, path: str, scored: T.StructType) -> ResultsTable:
+    """The table that scorers with this output share: their columns, the scorer and the class version."""
+    own = [field for field in scored.fields if field.name not in (*SHARED.names, *ADDED.names)]
+    return ResultsTable(spark, path, T.StructType([*own, *SHARED.fields]), ["id"])
 
 
 def read_results(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Results written so far; an empty table before the first run."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+    return results_table(spark, path, schema).read()
 
 
 def result_schema(scored: T.StructType) -> T.StructType:
-    """Columns of the results table for a scorer's output: its own, then the folders' columns."""
-    folders = [T.StructField(c, T.StringType()) for c in ("scorer", "class_version", "job")]
-    return T.StructType([*scored.fields, *folders, T.StructField("run", T.IntegerType())])
+    """Columns of the results table for a scorer's output: its own, then who wrote them and when."""
+    return T.StructType([*scored.fields, *SHARED.fields, *ADDED.fields])
 
 
-def run_folder(path: str, scorer: str, class_version: str, job: str, run: int) -> str:
-    """The folder that one run of one job of a scorer owns alone."""
-    parts = {"scorer": scorer, "class_version": class_version, "job": job}
-    if not all(parts.values()):
-        raise ValueError("scorer, class version and job need a name")
-    named = "/".join(f"{key}={quote(value, safe='')}" for key, value in parts.items())
-    return f"{path}/{named}/run={run}"
+def result_group(scorer: str, class_version: str) -> str:
+    """The part of the results table that holds one scorer's answers for one class version."""
+    return "/".join(quote(value, safe="") for value in (scorer, class_version))
 
 
 def score_pending(
@@ -261,26 +259,34 @@ def score_pending(
     restart: bool = False,
     job: str = "batch",
     schema: T.StructType | None = None,
+    own_history: bool = True,
 ) -> DataFrame:
     """Score the inputs without a result, append, and return the last result per id.
 
     Results are keyed by scorer, class version and id, so different scorers and class
-    versions share a table. A run writes the folder of its scorer, class version, job and
-    number, and replaces only what a failed attempt of the same run left there. ``job`` tells
-    apart streams that number their runs alike. ``restart`` ignores earlier results. Reads are
-    pruned to the scorer's folders. ``schema`` is that of the scores; without it the
-    scorer is asked with no rows.
+    versions share a table. The results of a run become visible at once, in one commit, in place of what an
+    earlier attempt of the same job and run committed; a run that stops before leaves nothing visible. ``job``
+    tells apart streams that number their runs alike. ``restart`` ignores earlier results; a caller that knows
+    that none of the inputs was scored by its own job says so by ``own_history``. Earlier results are read from the
+    scorer's folders only, and of merged ones from the buckets that may hold an input. ``schema`` is that of the scores; without
+    it the scorer is asked with no rows.
     """
-    spark = inputs.sparkSession
+    if not (scorer and class_version and job):
+        raise ValueError("scorer, class version and job need a name")
+    spark, group = inputs.sparkSession, result_group(scorer, class_version)
     fields = schema or score(inputs.limit(0)).schema
-    stored_schema = result_schema(fields)
-    mine = (F.col("scorer") == scorer) & (F.col("class_version") == class_version)
-    own = (F.col("job") == job) & (F.col("run") == run)
-
-    earlier = read_results(spark, path, stored_schema).where(mine & ~own)
-    todo = inputs if restart else pending(inputs, earlier, "id")
-    score(todo).select(*fields.names).write.mode("overwrite").parquet(run_folder(path, scorer, class_version, job, run))
-    results = read_results(spark, path, stored_schema).where(mine)
+    table = results_table(spark, path, fields)
+    todo = inputs
+    if not restart:
+        leave_out = {"without_run": (job, run)} if own_history else {"without_job": job}
+        if any(part.group == group and (own_history or part.jobs != (job,)) for part in table.snapshot()[1]):
+            todo = pending(inputs, table.read(group, asked=inputs, **leave_out), "id")
+    scored = score(todo).select(*fields.names)
+    named = scored.withColumns({"scorer": F.lit(scorer), "class_version": F.lit(class_version)})
+    table.append(named, group, job, run)
+    while table.merge(group):
+        pass
+    results = table.read(group)
     if restart:
         results = results.where((F.col("job") == job) & (F.col("run") >= run))
-    return latest(results, KEYS, ["run", "job"])
+    return latest(results, KEYS, ORDER)

@@ -16,7 +16,8 @@ from labelloom.plans import inputs as given
 from labelloom.plans.inputs import DOCUMENT_CLASSES, DOCUMENTS_SQL, TERMS_SQL, VOCABULARY_SQL
 from labelloom.plans.registry import query, rounded, short
 from labelloom.session import new_path, stored
-from labelloom.sources.tables import read_parquet, spread, write_parquet
+from labelloom.sources.results import Part, ResultsTable
+from labelloom.sources.tables import spread
 from labelloom.sources.taxonomy import class_definitions as definitions
 from labelloom.sources.taxonomy import class_table, mapping_table
 from labelloom.streaming.incremental import file_stream, score_stream
@@ -565,17 +566,26 @@ def choice_requests(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id AS id, 2 AS results, max(n) AS n FROM (
-      SELECT doc_id, 1 AS n FROM documents UNION ALL SELECT doc_id, 2 FROM documents) GROUP BY doc_id"""
+    """SELECT doc_id AS id, 1 + CAST(doc_id % 2 = 0 AS INT) + CAST(doc_id % 3 = 0 AS INT) AS results,
+    CASE WHEN doc_id % 3 = 0 THEN 3 WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS n, 1 AS kept FROM documents"""
 )
 def appended_results(spark: SparkSession, folder: str) -> DataFrame:
-    """Two runs appended to one table."""
-    path = new_path(spark, "appended")
+    """Runs appended to one table: two at once, one that stops half-way and is repeated; then merged to the last per id."""
     ids = _texts(spark, folder).select("id")
-    for n in (1, 2):
-        write_parquet(ids.withColumn("n", F.lit(n)), path, mode="append")
-    results = read_parquet(spark, path, "id bigint, n int")
-    return results.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("results"), F.max("n").alias("n"))
+    results = ResultsTable(spark, new_path(spark, "appended"), T.StructType.fromDDL("id bigint, n int"))
+
+    def written(rows: DataFrame, n: int, run: int) -> Part:
+        return results.write(rows.withColumn("n", F.lit(n)), "all", "batch", run)
+
+    together = [written(ids, 1, 1), written(ids.where("id % 2 = 0"), 2, 2)]
+    for part in together:
+        results.add(part)
+    written(ids, 99, 3)
+    results.add(written(ids.where("id % 3 = 0"), 3, 3))
+    before = results.read("all").groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("results"))
+    results.merge("all", everything=True)
+    after = results.read("all").groupBy("id").agg(F.max("n").alias("n"), F.count(F.lit(1)).cast("int").alias("kept"))
+    return before.join(after, "id")
 
 
 @query(f"WITH {SCORES_SQL} SELECT id, prediction, probability, confidence FROM scores")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -11,6 +12,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from labelloom.operators.scoring import score_pending
 
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
 
 def file_stream(
     spark: SparkSession, path: str, schema: str | T.StructType, files_per_batch: int | None = None
@@ -33,21 +39,37 @@ def score_stream(
 ) -> StreamingQuery:
     """Score each new file once and add the results to a table; stops when none is left.
 
-    Every batch writes its own folder, so a batch replayed after a failure
-    replaces its rows, and ids scored in earlier batches are skipped. Streams with
-    other checkpoints have folders of their own, as they number their batches alike. ``score``
+    The ids that the stream has seen are keyed state of Spark, kept in RocksDB and saved as changes, so a batch
+    looks up its own ids and never reads what the stream wrote before. Results of other jobs, such as an earlier stream
+    with another checkpoint, are read where they may hold an id of the batch. Every batch is one
+    commit under its number, so a batch replayed after a failure replaces its rows. ``score``
     must not depend on the batch (freeze the vocabulary), so that the stream
-    ends with the same table as one batch job.
+    ends with the same table as one batch job. Of rows with equal ids the first one counts.
     """
 
     job = hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
 
     def batch(rows: DataFrame, number: int) -> None:
-        score_pending(rows, score, results, scorer, class_version, run=number, job=job, schema=schema)
+        score_pending(rows, score, results, scorer, class_version, run=number, job=job, schema=schema, own_history=False)
 
-    return (
-        stream.writeStream.foreachBatch(batch)
+    writer = (
+        stream.dropDuplicates(["id"])
+        .writeStream.foreachBatch(batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start()
     )
+    with _settings(stream.sparkSession, STATE):
+        return writer.start()
+
+
+@contextmanager
+def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Settings that a query takes along when it starts, where the session has none of its own."""
+    added = {key: value for key, value in wanted.items() if key not in spark.conf.getAll}
+    for key, value in added.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key in added:
+            spark.conf.unset(key)

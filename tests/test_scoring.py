@@ -73,7 +73,7 @@ def test_stream_stopped_and_resumed_equals_batch(spark, folder):
         if part % 2:
             stream = file_stream(spark, arriving, documents.schema, files_per_batch=1)
             score_stream(stream, score, results, checkpoint, "lexical", "1").awaitTermination()
-    schema = spark.read.parquet(results).schema
+    schema = scoring.result_schema(score(documents).schema)
     found = scoring.read_results(spark, results, schema)
     assert found.count() == documents.count()
     assert found.select("run").distinct().count() == 4
