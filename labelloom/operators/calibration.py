@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions.binning import fixed_bin, quantile_bucket, unit_edges
@@ -23,9 +23,10 @@ from labelloom.functions.probabilities import (
     ratio,
 )
 from labelloom.operators.evaluation import correct
-from labelloom.operators.joins import matched
-from labelloom.operators.ordering import exact_quantiles, running_totals, value_at
-from labelloom.sizing import dimension, small_table
+from labelloom.operators.joins import matched, same_groups
+from labelloom.operators.ordering import exact_quantiles, prefix_sums, running_totals
+from labelloom.session import stored
+from labelloom.sizing import MAX_DIMENSION_ROWS, small_table
 
 # Number of bins and quantiles, review fractions, and the smallest
 # probability that enters a logarithm (double precision epsilon).
@@ -68,15 +69,15 @@ def calibration_cases(
     )
 
 
-def bin_totals(cases: DataFrame, classes: int, bins: int = BINS) -> DataFrame:
-    """All sums of the calibration report, per fixed probability bin."""
+def bin_totals(cases: DataFrame, classes: int, bins: int = BINS, by: Sequence[str] = ()) -> DataFrame:
+    """All sums of the calibration report, per group and fixed probability bin."""
     selected = F.col("selected_probability")
     squares = reduce(add, [F.pow(F.get("p", F.lit(i)), 2) for i in range(classes)])
     brier = squares - 2 * F.col("true_probability") + 1
     loss = -F.log(F.greatest("true_probability", F.lit(LOG_CLIP)))
     return (
         cases.withColumn("bin", fixed_bin(selected, unit_edges(bins)))
-        .groupBy("bin")
+        .groupBy(*by, "bin")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.sum("correct").alias("correct"),
@@ -96,17 +97,19 @@ def bin_totals(cases: DataFrame, classes: int, bins: int = BINS) -> DataFrame:
     )
 
 
-def reliability_bins(totals: DataFrame, bins: int = BINS) -> DataFrame:
-    """Count, mean probability, accuracy and gap for every bin; empty bins hold nulls."""
+def reliability_bins(totals: DataFrame, bins: int = BINS, by: Sequence[str] = ()) -> DataFrame:
+    """Count, mean probability, accuracy and gap for every bin of every group; empty bins hold nulls."""
     edges = unit_edges(bins)
-    grid = dimension(
-        totals.sparkSession,
-        [(i + 1, edges[i], edges[i + 1]) for i in range(bins)],
-        "bin int, lower double, upper double",
+    grid = F.array(
+        *[F.struct(F.lit(i + 1).alias("bin"), F.lit(edges[i]).alias("lower"), F.lit(edges[i + 1]).alias("upper")) for i in range(bins)]
     )
-    mean, share = F.col("selected") / F.col("n"), F.col("correct") / F.col("n")
     # Computed first: a join would push "bin is not null" down to the parsed probabilities.
-    return grid.join(small_table(totals, bins), "bin", "left").select(
+    known = small_table(totals, MAX_DIMENSION_ROWS)
+    groups = known.select(*by).distinct() if by else totals.sparkSession.range(1)
+    cells = groups.select(*by, F.inline(grid))
+    mean, share = F.col("selected") / F.col("n"), F.col("correct") / F.col("n")
+    return same_groups(cells, known, [*by, "bin"], "left").select(
+        *by,
         "bin",
         "lower",
         "upper",
@@ -117,11 +120,11 @@ def reliability_bins(totals: DataFrame, bins: int = BINS) -> DataFrame:
     )
 
 
-def calibration_summary(totals: DataFrame) -> DataFrame:
-    """One row with accuracy, diagnostics, ECE, MCE, Brier scores and log loss."""
+def calibration_summary(totals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row per group with accuracy, diagnostics, ECE, MCE, Brier scores and log loss."""
     n = F.sum("n")
     gap = F.abs(F.col("selected") - F.col("correct"))
-    return totals.agg(
+    return totals.groupBy(*by).agg(
         n.alias("examples"),
         F.sum("correct").alias("correct"),
         (n - F.sum("correct")).alias("errors"),
@@ -142,24 +145,23 @@ def calibration_summary(totals: DataFrame) -> DataFrame:
     )
 
 
-def with_quantile(df: DataFrame, column: str, quantiles: int = QUANTILES) -> DataFrame:
-    """Add the 1-based ``quantile`` bucket; equal edges are merged, ties stay together."""
+def with_quantile(df: DataFrame, column: str, quantiles: int = QUANTILES, by: Sequence[str] = ()) -> DataFrame:
+    """Add the 1-based ``quantile`` bucket of its group; equal edges are merged, ties stay together."""
     steps = [i / quantiles for i in range(quantiles + 1)]
-    edges = exact_quantiles(df, column, steps).select(F.array_distinct("quantiles")).scalar()
-    bucket = quantile_bucket(F.col(column), F.col("_edges"), quantiles)
-    return (
-        df.where(F.col(column).isNotNull())
-        .withColumn("_edges", edges)
-        .withColumn("quantile", bucket)
-        .drop("_edges")
-    )
+    edges = exact_quantiles(df, column, steps, by).select(*by, F.array_distinct("quantiles").alias("_edges"))
+    known = df.where(F.col(column).isNotNull())
+    if by:
+        with_edges = same_groups(known, small_table(edges, MAX_DIMENSION_ROWS), by)
+    else:
+        with_edges = known.withColumn("_edges", edges.scalar())
+    return with_edges.withColumn("quantile", quantile_bucket(F.col(column), F.col("_edges"), quantiles)).drop("_edges")
 
 
-def confidence_quantiles(cases: DataFrame, quantiles: int = QUANTILES) -> DataFrame:
-    """Count, confidence range and accuracy per confidence quantile."""
+def confidence_quantiles(cases: DataFrame, quantiles: int = QUANTILES, by: Sequence[str] = ()) -> DataFrame:
+    """Count, confidence range and accuracy per confidence quantile, within each group."""
     return (
-        with_quantile(cases, "api_confidence", quantiles)
-        .groupBy("quantile")
+        with_quantile(cases, "api_confidence", quantiles, by)
+        .groupBy(*by, "quantile")
         .agg(
             F.count(F.lit(1)).alias("count"),
             F.min("api_confidence").alias("min_confidence"),
@@ -171,127 +173,103 @@ def confidence_quantiles(cases: DataFrame, quantiles: int = QUANTILES) -> DataFr
     )
 
 
-def _curve(cases: DataFrame) -> DataFrame:
-    """Running totals over confidences; a case without a confidence has no place and fails the job."""
-    confidence = F.coalesce(
-        "api_confidence",
-        F.raise_error(F.concat(F.lit("no confidence for id "), F.coalesce(F.col("id").cast("string"), F.lit("null")))).cast("double"),
-    )
-    return running_totals(
-        cases.select(confidence.alias("api_confidence"), "correct"),
-        "api_confidence",
-        {"cases": F.count(F.lit(1)), "errors": F.sum(1 - F.col("correct"))},
-    )
+def _confidence() -> Column:
+    """The confidence; a case without one has no place in any order and fails the job."""
+    missing = F.concat(F.lit("no confidence for id "), F.coalesce(F.col("id").cast("string"), F.lit("null")))
+    return F.coalesce("api_confidence", F.raise_error(missing).cast("double"))
 
 
-def risk_coverage(cases: DataFrame) -> DataFrame:
-    """For every confidence: cases up to it, errors among them, and both as shares."""
-    total = cases.agg(
-        F.struct(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("correct")).alias("errors")).alias("t")
-    ).scalar()
-    return _curve(cases).select(
+def risk_coverage(cases: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """For every confidence of a group: cases up to it, errors among them, and both as shares."""
+    curve = running_totals(
+        cases.select(*by, _confidence().alias("api_confidence"), "correct"),
+        "api_confidence",
+        {"cases": F.count(F.lit(1)), "errors": F.sum(1 - F.col("correct")).cast("long")},
+        by,
+    )
+    return curve.select(
+        *by,
         F.col("api_confidence"),
         F.col("cases_up_to").alias("reviewed_cases"),
         F.col("errors_up_to").alias("errors_caught"),
-        (F.col("cases_up_to") / total["n"]).alias("review_fraction"),
-        ratio(F.col("errors_up_to"), total["errors"]).alias("error_capture_rate"),
+        (F.col("cases_up_to") / F.col("cases_total")).alias("review_fraction"),
+        ratio(F.col("errors_up_to"), F.col("errors_total")).alias("error_capture_rate"),
         (F.col("errors_up_to") / F.col("cases_up_to")).alias("reviewed_error_rate"),
     )
 
 
-def review_cuts(cases: DataFrame, fractions: Sequence[float] = REVIEW_FRACTIONS) -> DataFrame:
-    """Where the lowest-confidence share of all cases ends, one row per fraction.
+def review_order(cases: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``by, api_confidence, id, error, place, caught`` with ``place_total, caught_total``: the order of review, stored.
 
-    Holds the number of cases to review, the confidence of the last one, what
-    lies strictly below it, and the group of equal confidence it cuts through.
+    ``place`` numbers the cases of a group by (confidence, id), ``caught`` counts the errors up to there. One
+    shuffle of these columns answers every fraction.
     """
-    totals = cases.agg(
-        F.struct(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("correct")).alias("errors")).alias("t")
-    ).scalar()
-    needed = {f: F.ceil(totals["n"] * F.lit(f)) for f in fractions}
-    at = F.struct("api_confidence", "cases", "errors", "cases_up_to", "errors_up_to")
-    cuts = [
-        F.struct(
-            F.lit(f).alias("review_fraction"),
-            F.first(k).alias("reviewed_cases"),
-            F.first(totals["errors"]).alias("total_errors"),
-            F.min(F.when(F.col("cases_up_to") >= k, at)).alias("cut"),
-        )
-        for f, k in needed.items()
-    ]
-    below = F.col("cut.cases_up_to") - F.col("cut.cases")
-    return (
-        _curve(cases)
-        .agg(F.array(*cuts).alias("cuts"))
-        .select(F.inline("cuts"))
-        .select(
-            "review_fraction",
-            "reviewed_cases",
-            "total_errors",
-            F.col("cut.api_confidence").alias("cut_confidence"),
-            (F.col("cut.errors_up_to") - F.col("cut.errors")).alias("errors_below"),
-            F.col("cut.cases").alias("tied_cases"),
-            F.col("cut.errors").alias("tied_errors"),
-            (F.col("reviewed_cases") - below).alias("tied_needed"),
-        )
-    )
+    narrow = cases.select(
+        *by, _confidence().alias("api_confidence"), "id",
+        (1 - F.col("correct")).cast("long").alias("error"), F.lit(1).cast("long").alias("one"),
+    )
+    return stored(prefix_sums(narrow, by, ["api_confidence", "id"], {"place": "one", "caught": "error"}).drop("one"), "review-order")
 
 
-def _reviewed(cases: DataFrame, cut: Row) -> Column:
-    """Whether a case comes no later than a cut in the order (confidence, id)."""
-    confidence = F.col("api_confidence")
-    if cut["tied_needed"] == cut["tied_cases"]:
-        return confidence <= cut["cut_confidence"]
-    tied = cases.where(confidence == cut["cut_confidence"])
-    last = value_at(tied, "id", cut["tied_needed"], cut["tied_cases"])
-    return (confidence < cut["cut_confidence"]) | (
-        (confidence == cut["cut_confidence"]) & (F.col("id") <= last)
+def review_cuts(ordered: DataFrame, fractions: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """The last case of each group's lowest-confidence share: a row of ``review_order`` and its ``review_fraction``.
+
+    A share covers ``ceil(cases * fraction)`` cases.
+    """
+    wanted = F.filter(
+        F.array(*[F.struct(F.lit(f).alias("f"), F.ceil(F.col("place_total") * F.lit(f)).alias("k")) for f in fractions]),
+        lambda x: x["k"] == F.col("place"),
     )
+    return ordered.withColumn("_cut", F.explode(wanted)).withColumn("review_fraction", F.col("_cut.f")).drop("_cut")
 
 
-def review_table(cases: DataFrame, fractions: Sequence[float] = REVIEW_FRACTIONS) -> DataFrame:
-    """Errors caught when the least confident share of cases is reviewed.
+def review_table(cases: DataFrame, fractions: Sequence[float] = REVIEW_FRACTIONS, by: Sequence[str] = ()) -> DataFrame:
+    """Errors caught when the least confident share of each group's cases is reviewed.
 
-    ``cases`` is read several times; pass a stored table. Order is (confidence, id). Since
-    the cut may fall inside a group of equal confidence, the least and most errors any
-    other order could catch are given too. All fractions are counted in one pass.
+    Order is (confidence, id). Since the cut may fall inside a run of equal confidence, the least and most errors any
+    other order could catch are given too. All groups and fractions come from one ordering of the cases.
     """
-    cuts = review_cuts(cases, fractions).collect()  # one row per fraction
-    error = 1 - F.col("correct")
-    rows = []
-    for cut in cuts:
-        least = max(cut["tied_needed"] - (cut["tied_cases"] - cut["tied_errors"]), 0)
-        most = min(cut["tied_needed"], cut["tied_errors"])
-        caught = F.sum(F.when(_reviewed(cases, cut), error).otherwise(F.lit(0)))
-        rows.append(
-            F.struct(
-                F.lit(cut["review_fraction"]).alias("review_fraction"),
-                F.lit(cut["reviewed_cases"]).cast("bigint").alias("reviewed_cases"),
-                F.lit(cut["total_errors"]).cast("bigint").alias("total_errors"),
-                caught.alias("errors_caught"),
-                F.lit(cut["cut_confidence"]).alias("max_confidence_reviewed"),
-                F.lit(cut["errors_below"] + least).cast("bigint").alias("errors_caught_least"),
-                F.lit(cut["errors_below"] + most).cast("bigint").alias("errors_caught_most"),
-            )
+    ordered = review_order(cases, by)
+    found = review_cuts(ordered, fractions, by)
+    cuts = small_table(found, MAX_DIMENSION_ROWS)
+    tie = [*by, "api_confidence"]
+    cut_runs = cuts.select(*tie).distinct()
+    runs = (
+        same_groups(ordered, cut_runs if cuts is found else F.broadcast(cut_runs), tie)
+        .groupBy(*tie)
+        .agg(
+            F.count(F.lit(1)).alias("tied"),
+            F.sum("error").alias("tied_errors"),
+            F.min("place").alias("first"),
+            F.min(F.col("caught") - F.col("error")).alias("errors_below"),
         )
-    counted = cases.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
-    return counted.select(
+    )
+    needed = F.col("place") - F.col("first") + 1
+    least = F.greatest(needed - (F.col("tied") - F.col("tied_errors")), F.lit(0))
+    return same_groups(cuts, runs, tie).select(
+        *by,
         "review_fraction",
         (F.col("review_fraction") * 100).alias("review_percentage"),
-        "reviewed_cases",
-        "total_errors",
-        "errors_caught",
-        ratio(F.col("errors_caught"), F.col("total_errors")).alias("error_capture_rate"),
-        (F.col("errors_caught") / F.col("reviewed_cases")).alias("reviewed_error_rate"),
-        "max_confidence_reviewed",
-        "errors_caught_least",
-        "errors_caught_most",
+        F.col("place").alias("reviewed_cases"),
+        F.col("caught_total").alias("total_errors"),
+        F.col("caught").alias("errors_caught"),
+        ratio(F.col("caught"), F.col("caught_total")).alias("error_capture_rate"),
+        (F.col("caught") / F.col("place")).alias("reviewed_error_rate"),
+        F.col("api_confidence").alias("max_confidence_reviewed"),
+        (F.col("errors_below") + least).alias("errors_caught_least"),
+        (F.col("errors_below") + F.least(needed, F.col("tied_errors"))).alias("errors_caught_most"),
     )
 
 
-def lowest_confidence(cases: DataFrame, fraction: float) -> DataFrame:
-    """The cases to review: the least confident share in the order (confidence, id).
+def lowest_confidence(cases: DataFrame, fraction: float, by: Sequence[str] = ()) -> DataFrame:
+    """The cases to review: the least confident share of each group in the order (confidence, id).
 
-    ``cases`` is read several times; pass a stored table.
+    ``cases`` is read twice; only the columns of the order are shuffled.
     """
-    return cases.where(_reviewed(cases, review_cuts(cases, [fraction]).first()))
+    last = F.struct(F.col("api_confidence").alias("confidence"), "id").alias("_last")
+    cuts = small_table(review_cuts(review_order(cases, by), [fraction], by).select(*by, last), MAX_DIMENSION_ROWS)
+    if by:
+        bounded = same_groups(cases, cuts, by)
+    else:
+        bounded = cases.withColumn("_last", cuts.scalar())
+    return bounded.where(F.struct(F.col("api_confidence").alias("confidence"), "id") <= F.col("_last")).drop("_last")

@@ -9,7 +9,7 @@ from labelloom.functions import probabilities as P
 from labelloom.functions.binning import fixed_bin, unit_edges
 from labelloom.operators import calibration, checks
 from labelloom.plans import inputs as given
-from labelloom.plans.inputs import CASES_SQL, LABELS
+from labelloom.plans.inputs import CASES_SQL, LABELS, RUN_SQL
 from labelloom.plans.registry import query, rounded, short
 from labelloom.session import stored
 
@@ -195,6 +195,123 @@ def risk_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(curve, "review_fraction", "error_capture_rate", "reviewed_error_rate")
 
 
+# ------------------------------------------------- per model, budget and draw
+
+RUN = ("model", "budget", "draw")
+RUNS_SQL = f"{CASES_SQL}, runs AS (SELECT *, {RUN_SQL} FROM cases)"
+
+
+def _run_cases(spark: SparkSession, folder: str) -> DataFrame:
+    return given.run_of(_cases(spark, folder))
+
+
+def _run_review(spark: SparkSession, folder: str) -> DataFrame:
+    return stored(_run_cases(spark, folder).select(*RUN, "id", "api_confidence", "correct"), "run-cases")
+
+
+RUN_BINS_SQL = f"""{RUNS_SQL}, binned AS (SELECT *, CAST({BIN_SQL} AS INTEGER) AS bin FROM runs),
+bins AS (
+  SELECT model, budget, draw, bin, count(*) AS n, avg(selected) AS mean, avg(CAST(correct AS DOUBLE)) AS acc
+  FROM binned GROUP BY ALL)"""
+
+
+@query(
+    f"""WITH {RUN_BINS_SQL}, errors AS (
+      SELECT model, budget, draw, sum(n * abs(mean - acc)) / sum(n) AS ece, max(abs(mean - acc)) AS mce FROM bins GROUP BY ALL)
+    SELECT model, budget, draw, count(*) AS examples, round(avg(CAST(correct AS DOUBLE)), 6) AS accuracy,
+           round(any_value(ece), 6) AS ece, round(any_value(mce), 6) AS mce,
+           round(avg(pow(selected - correct, 2)), 6) AS top_label_brier, round(avg(squares - 2 * p_true + 1), 6) AS multiclass_brier,
+           round(avg(-ln(greatest(p_true, 2.220446049250313e-16::DOUBLE))), 6) AS log_loss, min(confidence) AS min_confidence
+    FROM runs JOIN errors USING (model, budget, draw) GROUP BY ALL"""
+)
+def calibration_by_run(spark: SparkSession, folder: str) -> DataFrame:
+    summary = calibration.calibration_summary(calibration.bin_totals(_run_cases(spark, folder), len(LABELS), by=RUN), RUN)
+    names = ("accuracy", "ece", "mce", "top_label_brier", "multiclass_brier", "log_loss")
+    return rounded(summary.select(*RUN, "examples", *names, "min_confidence"), *names)
+
+
+@query(
+    f"""WITH {RUN_BINS_SQL}, grid AS (
+      SELECT model, budget, draw, CAST(i AS INTEGER) AS bin, (i - 1) * CAST(0.1 AS DOUBLE) AS lower,
+             CASE WHEN i = 10 THEN CAST(1 AS DOUBLE) ELSE i * CAST(0.1 AS DOUBLE) END AS upper
+      FROM (SELECT DISTINCT model, budget, draw FROM runs), range(1, 11) r(i))
+    SELECT model, budget, draw, bin, lower, upper, coalesce(n, 0) AS count, round(mean, 6) AS mean_probability,
+           round(acc, 6) AS accuracy, round(abs(mean - acc), 6) AS absolute_gap
+    FROM grid LEFT JOIN bins USING (model, budget, draw, bin)"""
+)
+def reliability_by_run(spark: SparkSession, folder: str) -> DataFrame:
+    totals = calibration.bin_totals(_run_cases(spark, folder), len(LABELS), by=RUN)
+    return rounded(calibration.reliability_bins(totals, by=RUN), "mean_probability", "accuracy", "absolute_gap")
+
+
+@query(
+    f"""WITH {RUNS_SQL}, edges AS (
+      SELECT model, budget, draw, list_sort(list_distinct(quantile_cont(confidence,
+        [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS e FROM runs GROUP BY ALL),
+    bucketed AS (
+      SELECT *, CAST(1 + len(list_filter(e[2:len(e) - 1], lambda x: confidence > x)) AS INTEGER) AS quantile
+      FROM runs JOIN edges USING (model, budget, draw))
+    SELECT model, budget, draw, quantile, count(*) AS count, min(confidence) AS min_confidence,
+           max(confidence) AS max_confidence, round(avg(confidence), 6) AS mean_confidence,
+           round(avg(CAST(correct AS DOUBLE)), 6) AS accuracy, round(1 - avg(CAST(correct AS DOUBLE)), 6) AS error_rate
+    FROM bucketed GROUP BY ALL"""
+)
+def confidence_quantiles_by_run(spark: SparkSession, folder: str) -> DataFrame:
+    table = calibration.confidence_quantiles(_run_review(spark, folder), by=RUN)
+    return rounded(table, "mean_confidence", "accuracy", "error_rate")
+
+
+RANKED_RUNS_SQL = f"""{RUNS_SQL}, ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY model, budget, draw ORDER BY confidence, id) AS r,
+         count(*) OVER (PARTITION BY model, budget, draw) AS total FROM runs),
+wanted AS (SELECT CAST(f AS DOUBLE) AS f FROM (VALUES (0.1), (0.2), (0.3)) v(f))"""
+
+
+@query(
+    f"""WITH {RANKED_RUNS_SQL}, cuts AS (
+      SELECT model, budget, draw, f, count(*) FILTER (r <= ceil(total * f)) AS k,
+             sum(1 - correct) FILTER (r <= ceil(total * f)) AS errors, sum(1 - correct) AS all_errors,
+             max(confidence) FILTER (r <= ceil(total * f)) AS c FROM ranked, wanted GROUP BY ALL),
+    tied AS (
+      SELECT cuts.model, cuts.budget, cuts.draw, f, count(*) FILTER (confidence < c) AS below,
+             sum(1 - correct) FILTER (confidence < c) AS errors_below, count(*) FILTER (confidence = c) AS n_tied,
+             sum(1 - correct) FILTER (confidence = c) AS errors_tied
+      FROM runs JOIN cuts USING (model, budget, draw) GROUP BY ALL)
+    SELECT model, budget, draw, f AS review_fraction, k AS reviewed_cases, CAST(all_errors AS BIGINT) AS total_errors,
+           CAST(errors AS BIGINT) AS errors_caught, round(CAST(errors AS DOUBLE) / all_errors, 6) AS error_capture_rate,
+           c AS max_confidence_reviewed,
+           CAST(coalesce(errors_below, 0) + greatest(k - below - (n_tied - errors_tied), 0) AS BIGINT) AS errors_caught_least,
+           CAST(coalesce(errors_below, 0) + least(k - below, errors_tied) AS BIGINT) AS errors_caught_most
+    FROM cuts JOIN tied USING (model, budget, draw, f)"""
+)
+def review_by_run(spark: SparkSession, folder: str) -> DataFrame:
+    table = calibration.review_table(_run_review(spark, folder), by=RUN)
+    return rounded(table.drop("review_percentage", "reviewed_error_rate"), "error_capture_rate")
+
+
+@query(
+    f"""WITH {RANKED_RUNS_SQL} SELECT model, budget, draw, id, confidence AS api_confidence, correct
+    FROM ranked WHERE r <= ceil(total * CAST(0.2 AS DOUBLE))"""
+)
+def lowest_confidence_by_run(spark: SparkSession, folder: str) -> DataFrame:
+    return calibration.lowest_confidence(_run_review(spark, folder), 0.2, RUN)
+
+
+@query(
+    f"""WITH {RUNS_SQL}, levels AS (
+      SELECT model, budget, draw, confidence, count(*) AS n, sum(1 - correct) AS e FROM runs GROUP BY ALL)
+    SELECT model, budget, draw, confidence AS api_confidence,
+           CAST(sum(n) OVER w AS BIGINT) AS reviewed_cases, CAST(sum(e) OVER w AS BIGINT) AS errors_caught,
+           round(CAST(sum(n) OVER w AS DOUBLE) / sum(n) OVER g, 6) AS review_fraction,
+           round(CAST(sum(e) OVER w AS DOUBLE) / sum(e) OVER g, 6) AS error_capture_rate,
+           round(CAST(sum(e) OVER w AS DOUBLE) / sum(n) OVER w, 6) AS reviewed_error_rate
+    FROM levels WINDOW g AS (PARTITION BY model, budget, draw), w AS (PARTITION BY model, budget, draw ORDER BY confidence)"""
+)
+def risk_coverage_by_run(spark: SparkSession, folder: str) -> DataFrame:
+    curve = calibration.risk_coverage(_run_review(spark, folder), RUN)
+    return rounded(curve, "review_fraction", "error_capture_rate", "reviewed_error_rate")
+
+
 # ----------------------------------------------------------- probability values
 
 
