@@ -172,8 +172,8 @@ weights AS (SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) A
 )
 def tfidf_weights(spark: SparkSession, folder: str) -> DataFrame:
     terms = stored(_terms(spark, folder), "terms")
-    weights = features.tfidf(terms, stored(features.vocabulary(terms), "vocabulary"))
-    return rounded(weights.select("id", "term", "weight"), "weight")
+    weights = features.tfidf(terms, stored(features.vocabulary(terms), "vocabulary"), ["id", "term"])
+    return rounded(weights, "weight")
 
 
 @query(
@@ -196,7 +196,7 @@ def held_out_weights(spark: SparkSession, folder: str) -> DataFrame:
     train = features.document_terms(_split(docs, "train").select("id", "text"))
     test = features.document_terms(_split(docs, "test").select("id", "text"))
     vocab = stored(features.vocabulary(train), "vocabulary")
-    return rounded(features.tfidf(test, vocab).select("id", "term", "weight"), "weight")
+    return rounded(features.tfidf(test, vocab, ["id", "term"]), "weight")
 
 
 # ---------------------------------------------------------------- classifiers
@@ -293,7 +293,8 @@ def classifier_gradient(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-GRID_BUDGETS = (5, 10)
+TEXT_BUDGETS = (20, 100)
+VECTOR_BUDGETS = (5, 10)
 GRID_DRAWS = (1, 2, 3, 4, 5)
 RUN = ("model", "budget", "draw")
 
@@ -308,15 +309,15 @@ def _grid_report(predictions: DataFrame, test: DataFrame) -> DataFrame:
     )
 
 
-def _grid_sql(corpus: str, model: str) -> str:
+def _grid_sql(corpus: str, model: str, budgets: tuple[int, ...]) -> str:
     return f"""WITH {corpus}, cells AS (
       SELECT '{model}' AS model, budget, CAST(draw AS INTEGER) AS draw
-      FROM (VALUES {", ".join(f"({b})" for b in GRID_BUDGETS)}) b(budget), range(1, {len(GRID_DRAWS) + 1}) d(draw))
+      FROM (VALUES {", ".join(f"({b})" for b in budgets)}) b(budget), range(1, {len(GRID_DRAWS) + 1}) d(draw))
     SELECT model, budget, draw, (SELECT count(*) FROM corpus WHERE split = 'test') AS test_examples,
            true AS plausible, true AS above_chance FROM cells"""
 
 
-@query(_grid_sql(DOCUMENTS_SQL, "tfidf_lr_v2"))
+@query(_grid_sql(DOCUMENTS_SQL, "tfidf_lr_v2", TEXT_BUDGETS))
 def experiment_grid(spark: SparkSession, folder: str) -> DataFrame:
     """Every budget and draw of the text model."""
     labelled = _labelled(spark, folder)
@@ -325,9 +326,9 @@ def experiment_grid(spark: SparkSession, folder: str) -> DataFrame:
     pool = taxonomy.candidates(train, mapping)
     predictions = experiments.text_grid(
         taxonomy.reusable_history(train, mapping),
-        sampling.adaptation_sets(pool, GRID_BUDGETS, len(GRID_DRAWS), classes=2),
+        sampling.adaptation_sets(pool, TEXT_BUDGETS, len(GRID_DRAWS), classes=2),
         test,
-        GRID_BUDGETS,
+        TEXT_BUDGETS,
         GRID_DRAWS,
     )
     return _grid_report(predictions, test)
@@ -346,7 +347,7 @@ TOPIC_TAXONOMY = {
 }
 
 
-@query(_grid_sql(VECTORS_SQL, "embedding_lr_v2"))
+@query(_grid_sql(VECTORS_SQL, "embedding_lr_v2", VECTOR_BUDGETS))
 def embedding_grid(spark: SparkSession, folder: str) -> DataFrame:
     """The grid on the given embeddings; three topics of one old class become classes of their own."""
     rows, embeddings = _vectors(spark, folder)
@@ -357,10 +358,10 @@ def embedding_grid(spark: SparkSession, folder: str) -> DataFrame:
     pool = taxonomy.candidates(train, mapping)
     predictions = experiments.embedding_grid(
         taxonomy.reusable_history(train, mapping),
-        sampling.adaptation_sets(pool, GRID_BUDGETS, len(GRID_DRAWS), classes=3),
+        sampling.adaptation_sets(pool, VECTOR_BUDGETS, len(GRID_DRAWS), classes=3),
         test,
         embeddings,
-        GRID_BUDGETS,
+        VECTOR_BUDGETS,
         GRID_DRAWS,
     )
     return _grid_report(predictions, test)
