@@ -1,28 +1,21 @@
-"""Sharding of linked rows under quotas.
-
-Rows of one group (linked documents) are all neighbours of each other, so the labels that propagation with
-quotas can end in are known without its rounds: every group whole in one shard that has room for it. Large groups
-are placed first, on the driver, each in the tightest shard that holds it; one that no shard holds takes as
-few shards as it needs. Groups smaller than a thousandth of an even share, whose number has no bound, then fill the
-shards by a running total; the few that would lie across two shards are placed like large ones. No shard's
-linked rows exceed an even share by more than half a row for each group split in it. Rows without links then
-fill the shards up to one level, which makes the sizes even.
+"""Sharding by balanced label propagation under quotas.
+
+Linked rows (equal texts) are each other's neighbours. They start in shards drawn by a hash, and rounds of Spark
+joins move each group towards the shard that holds most of it and has room. A shard's quota is an even share of all
+rows; an overfull shard keeps its largest groups and turns others away, which then try the next one. So no group is cut
+that a shard has room for, and a group larger than a shard fills whole shards and takes one more for its rest. Rows
+without links, which have no neighbours to follow, then fill the shards up to one level, which makes the sizes even.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import running_total, square_root_buckets
+from labelloom.operators.ordering import prefix_sums
 from labelloom.session import stored
 
-# Groups of at least an even share divided by this are placed on the driver, so at most so many times the shards.
-FRACTION = 1024
-
-Sizes = list[tuple[str, int]]
 Parts = dict[str, list[float]]
 
 
@@ -37,73 +30,119 @@ def sharded_rows(docs: DataFrame) -> DataFrame:
     ).withColumn("key", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "anchor").cast("binary")))
 
 
-def best_fit(groups: Sizes, room: list[float]) -> Parts:
-    """What each group takes of each shard, largest first, in the tightest shard that holds it (or its rest); uses up ``room``."""
-    parts = {}
-    for anchor, size in sorted(groups, key=lambda g: (-g[1], g[0])):
-        taken, left = [0.0] * len(room), float(size)
-        while left > 0:
-            holding = [s for s, r in enumerate(room) if r >= left]
-            if holding:
-                shard = min(holding, key=lambda s: (room[s], s))
-            else:
-                shard = max(range(len(room)), key=lambda s: (room[s], -s))
-            # Sums of floats may miss the last piece of a byte.
-            piece = left if room[shard] < 1 else min(left, room[shard])
-            taken[shard], room[shard], left = taken[shard] + piece, room[shard] - piece, left - piece
-        parts[anchor] = taken
-    return parts
-
-
-def in_a_row(groups: Sizes, room: list[float]) -> Parts:
-    """What each group takes of each shard if they follow each other; one more shard than the least at most, from equal rooms."""
-    parts, shard = {}, 0
-    for anchor, size in sorted(groups, key=lambda g: (-g[1], g[0])):
-        taken, left = [0.0] * len(room), float(size)
-        while left > 0:
-            piece = left if shard == len(room) - 1 else min(left, room[shard])
-            taken[shard], room[shard], left = taken[shard] + piece, room[shard] - piece, left - piece
-            if room[shard] <= 0 and shard < len(room) - 1:
-                shard += 1
-        parts[anchor] = taken
-    return parts
-
-
-def large_parts(groups: Sizes, capacity: float, shards: int) -> tuple[Parts, list[float]]:
-    """Parts of the large groups and the room they leave; a group takes one shard more than the least at most."""
-    room = [capacity] * shards
-    parts = best_fit(groups, room)
-    most = {anchor: math.ceil(size / capacity) + 1 for anchor, size in groups}
-    if any(sum(x > 0 for x in taken) > most[anchor] for anchor, taken in parts.items()):
-        room = [capacity] * shards
-        parts = in_a_row(groups, room)
-    return parts, room
-
-
-def grouped(rows: DataFrame, capacity: float, shards: int) -> tuple[DataFrame, Parts]:
-    """``anchor, shard`` of the groups that stay whole, and the parts of those that do not."""
-    totals = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("size").alias("size")).where("n > 1")
-    groups = stored(totals.select("anchor", "size"), "shard-groups")
-    large = F.col("size") >= capacity / FRACTION
-    parts, room = large_parts([tuple(r) for r in groups.where(large).collect()], capacity, shards)
-    small = groups.where(~large).withColumn("all", F.lit(0))
-    count, size = small.agg(F.count("*"), F.sum("size")).first()
-    quotas = level([capacity - r for r in room], size or 0)
-    order = F.md5(F.concat(F.lit("group:"), "anchor").cast("binary"))
-    found = running_total(small.withColumn("order", order), "all", "order", {"before": "size"}, square_root_buckets(count))
-    found = found.select(
-        "anchor", "size", by_quota(F.col("before"), quotas).alias("shard"),
-        by_quota(F.col("before") + F.col("size") - 0.5, quotas).alias("last"),
+def labelled_groups(rows: DataFrame, shards: int) -> DataFrame:
+    """``anchor, size, prefs`` of every group of linked rows: all shards, those first that hold most of the group.
+
+    Rows start in shards drawn by a hash; shards that hold equally much follow a hash of group and shard.
+    """
+    label = F.pmod(F.xxhash64("key", F.lit("first")), F.lit(shards)).cast("int").alias("label")
+    held = rows.groupBy("anchor", label).agg(F.sum("size").alias("held"), F.count("*").alias("n"))
+    groups = held.groupBy("anchor").agg(
+        F.sum("held").alias("size"), F.sum("n").alias("n"),
+        F.map_from_entries(F.collect_list(F.struct("label", "held"))).alias("held"),
     )
-    found = stored(found, "shard-small")
-    inside = found.where("shard = last")
-    for shard, load in inside.groupBy("shard").agg(F.sum("size")).collect():
-        room[shard] -= load
-    parts |= best_fit([tuple(r) for r in found.where("shard <> last").select("anchor", "size").collect()], room)
-    whole = [(anchor, taken.index(max(taken))) for anchor, taken in parts.items() if sum(x > 0 for x in taken) == 1]
-    split = {anchor: taken for anchor, taken in parts.items() if sum(x > 0 for x in taken) > 1}
-    placed = rows.sparkSession.createDataFrame(whole, "anchor string, shard int")
-    return inside.select("anchor", "shard").unionByName(placed), split
+    near = F.transform(
+        F.sequence(F.lit(0), F.lit(shards - 1)),
+        lambda s: F.struct(
+            (-F.coalesce(F.element_at("held", s), F.lit(0))).alias("held"), F.xxhash64("anchor", s).alias("tie"), s.alias("shard")
+        ),
+    )
+    return groups.where("n > 1").select("anchor", "size", F.sort_array(near)["shard"].alias("prefs"))
+
+
+def units_of(groups: DataFrame, capacity: int) -> DataFrame:
+    """``anchor, unit, size, prefs``: groups cut into as many whole shards as they fill, and a rest.
+
+    At most one whole shard for each shard exists. The units of one group begin with different shards.
+    """
+    whole = (F.col("size") / F.lit(capacity)).cast("long")
+    cut = groups.withColumn("whole", whole).withColumn("unit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole"))))
+    size = F.when(F.col("unit") < F.col("whole"), F.lit(capacity)).otherwise(F.col("size") - F.col("whole") * F.lit(capacity))
+    turn = F.pmod(F.col("unit"), F.size("prefs")).cast("int")
+    turned = F.concat(F.slice("prefs", turn + 1, F.size("prefs")), F.slice("prefs", F.lit(1), turn))
+    return cut.select("anchor", "unit", size.cast("long").alias("size"), turned.alias("prefs")).where("size > 0")
+
+
+def propagated(units: DataFrame, capacity: int, shards: int) -> tuple[DataFrame, DataFrame, list[int]]:
+    """``anchor, unit, size, shard`` of the units that find a shard, those that find none, and the room left.
+
+    Rounds of two kinds, each a written table; only one load per shard reaches the driver. First every unit asks the shard
+    that holds most of its neighbours, of those that have not refused it. An overfull shard keeps the largest
+    units that fit, one after the other, and refuses, for good, all units larger than the room this leaves; so a large unit
+    evicts smaller ones. When no shard is overfull, units that all have refused ask again, wherever room is left
+    for them, the tightest shard first, until none fits. Less than one unit per shard remains: each is larger than every
+    room, and together they fit all rooms.
+    """
+    held = stored(units, "shard-units")
+    while True:
+        asking = held.where(F.size("prefs") > 0).withColumn("shard", F.col("prefs")[0])
+        loads = _loads(asking, shards)
+        over = [s for s in range(shards) if loads[s] > capacity]
+        if not over:
+            break
+        judged = stored(_by_size(asking.where(F.col("shard").isin(over))), "shard-wishes")
+        room = {s: capacity for s in over}
+        room |= {s: capacity - most for s, most in judged.where(F.col("upto") <= capacity).groupBy("shard").agg(F.max("upto")).collect()}
+        refused = (F.col("upto") > capacity) & (F.col("size") > _number(room))
+        answered = judged.withColumn("prefs", F.when(refused, F.slice("prefs", 2, shards)).otherwise(F.col("prefs")))
+        rest = held.where((F.size("prefs") == 0) | ~F.col("prefs")[0].isin(over))
+        held = stored(rest.unionByName(answered.select(*rest.columns)), "shard-units")
+    placed = asking.select("anchor", "unit", "size", "shard")
+    room = [capacity - load for load in loads]
+    left = held.where(F.size("prefs") == 0).select("anchor", "unit", "size")
+    while True:
+        tight = sorted(range(shards), key=lambda s: (room[s], s))
+        fits = F.filter(F.array(*[F.lit(s) for s in tight]), lambda s: F.element_at(F.array(*[F.lit(r) for r in room]), s + 1) >= F.col("size"))
+        asking = stored(left.withColumn("shard", F.get(fits, F.lit(0))), "shard-left")
+        if asking.where("shard IS NOT NULL").isEmpty():
+            return placed, asking.drop("shard"), room
+        judged = stored(_by_size(asking.where("shard IS NOT NULL")), "shard-wishes")
+        taken = F.col("upto") <= _number(dict(enumerate(room)))
+        found = judged.where(taken).select("anchor", "unit", "size", "shard")
+        placed = placed.unionByName(found)
+        for s, load in enumerate(_loads(found, shards)):
+            room[s] -= load
+        left = asking.where("shard IS NULL").drop("shard").unionByName(judged.where(~taken).select("anchor", "unit", "size"))
+
+
+def _by_size(asking: DataFrame) -> DataFrame:
+    """Add ``upto``: the size of all units that ask the same shard, from the largest to this one."""
+    return prefix_sums(asking.withColumn("less", -F.col("size")), ["shard"], ["less", "anchor", "unit"], {"upto": "size"}).drop("less", "upto_total")
+
+
+def _loads(placed: DataFrame, shards: int) -> list[int]:
+    found = dict(placed.groupBy("shard").agg(F.sum("size")).collect())
+    return [found.get(s, 0) for s in range(shards)]
+
+
+def _number(values: dict[int, int]) -> Column:
+    """The value of the row's shard."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("shard"))
+
+
+def grouped(rows: DataFrame, capacity: int, shards: int) -> tuple[DataFrame, Parts]:
+    """``anchor, shard`` of the groups that stay whole, and the parts of those that do not.
+
+    Groups are split only if they fill a shard, or if no shard has room for what is left of them: less than two for
+    each shard.
+    """
+    groups = stored(labelled_groups(rows, shards), "shard-groups")
+    placed, left, room = propagated(units_of(groups, capacity), capacity, shards)
+    placed = stored(placed, "shard-placed")
+    parts: Parts = {}
+    for unit in left.orderBy(F.desc("size"), "anchor").collect():
+        taken, open_size = parts.setdefault(unit["anchor"], [0.0] * shards), unit["size"]
+        while open_size > 0:
+            shard = max(range(shards), key=lambda s: (room[s], -s))
+            piece = min(open_size, room[shard])
+            taken[shard], room[shard], open_size = taken[shard] + piece, room[shard] - piece, open_size - piece
+    # Groups that fill a shard, or have a part left: their other units are looked up.
+    large = groups.where(F.col("size") > capacity).select("anchor").collect()
+    several = rows.sparkSession.createDataFrame([(a,) for a in {r["anchor"] for r in large} | set(parts)], "anchor string")
+    for unit in placed.join(F.broadcast(several), "anchor").collect():
+        taken = parts.setdefault(unit["anchor"], [0.0] * shards)
+        taken[unit["shard"]] += unit["size"]
+    return placed.join(F.broadcast(several), "anchor", "left_anti").select("anchor", "shard"), parts
 
 
 def divided(rows: DataFrame, split: Parts) -> DataFrame:
@@ -140,13 +179,13 @@ def by_quota(place: Column, quotas: list[float]) -> Column:
 def balanced(rows: DataFrame, shards: int = 8) -> DataFrame:
     """Add ``shard`` to stored ``rows`` of ``sharded_rows``: sizes are even up to one row, groups stay together.
 
-    A group larger than an even share is split over as many shards as it needs, at most one more where other
-    groups leave it no better; a smaller one is split only if no shard has room for it. Equal rows (id and
+    A group larger than an even share is split over as many shards as it needs, its rest over further ones only where no
+    shard has room for it; a smaller group is split only if no shard has room for it. Equal rows (id and
     text) are one node and stay together. Null texts are empty ones, a null doc_id is an id like any other,
     no rows give no rows.
     """
     total = rows.agg(F.sum("size")).first()[0] or 0
-    whole, split = grouped(rows, total / shards, shards)
+    whole, split = grouped(rows, max(1, -(-total // shards)), shards)
     # Joined from a written table, so that Spark may split the rows of a large group.
     placed = stored(rows.join(whole, "anchor", "left"), "shard-rows")
     if split:
@@ -173,9 +212,10 @@ def filled(placed: DataFrame, chosen: Column, shards: int) -> DataFrame:
 
 
 def numbered(placed: DataFrame) -> DataFrame:
-    """Add ``slot``, gapless from 0 within each shard, in the order of the rows' keys."""
-    rows = stored(placed.withColumn("one", F.lit(1).cast("long")), "sharded")
-    return running_total(rows, "shard", "key", {"slot": "one"}, square_root_buckets(rows.count())).drop("one")
+    """Add ``slot``, gapless from 0 within each shard, in the order of the rows' keys; equal rows in any order."""
+    rows = placed.withColumns({"one": F.lit(1).cast("long"), "copy": F.monotonically_increasing_id()})
+    found = prefix_sums(stored(rows, "sharded"), ["shard"], ["key", "copy"], {"place": "one"})
+    return found.withColumn("slot", F.col("place") - 1).drop("one", "copy", "place", "place_total")
 
 
 def sharded(docs: DataFrame, shards: int = 8) -> DataFrame:

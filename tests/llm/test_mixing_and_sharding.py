@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -137,13 +138,12 @@ def test_large_groups_are_split_and_sizes_stay_even(spark):
         copies[r.shard, r.text_crc32] += 1
     mean = sum(load.values()) / 8
     assert all(abs(v - mean) < 0.1 * mean for v in load.values())
-    first = zlib.crc32(b"copy of one text")
-    assert sum(1 for (_, crc), n in copies.items() if crc == first and n > 0) <= 8
+    for text, n in (("copy of one text", 300), ("other copy here", 100)):
+        crc, size = zlib.crc32(text.encode()), n * (len(text) + 1)
+        assert len([1 for s, c in copies if c == crc]) <= math.ceil(size / mean) + 1
 
 
-@pytest.mark.parametrize("fraction", [sharding.FRACTION, 8])
-def test_groups_stay_together_where_shards_have_room(spark, monkeypatch, fraction):
-    monkeypatch.setattr(sharding, "FRACTION", fraction)
+def test_groups_stay_together_where_shards_have_room(spark):
     texts = ["copy of one hot text"] * 500 + [f"text of group {g} " + "word " * (g % 7) for g in range(150) for _ in range(2 + g % 5)]
     texts += [f"single text number {i}" for i in range(400)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -162,15 +162,91 @@ def test_groups_stay_together_where_shards_have_room(spark, monkeypatch, fractio
     assert max(load.values()) - min(load.values()) <= 2 * max(r.size for r in found)
 
 
+def plain_propagation(units, capacity, shards):
+    """The same rounds in plain Python: (anchor, unit) -> shard, and the sizes of those without one."""
+    prefs = {u[:2]: list(u[3]) for u in units}
+    size = {u[:2]: u[2] for u in units}
+    while True:
+        asking = defaultdict(list)
+        for u, wanted in prefs.items():
+            if wanted:
+                asking[wanted[0]].append(u)
+        over = [s for s in asking if sum(size[u] for u in asking[s]) > capacity]
+        if not over:
+            break
+        for s in over:
+            total, kept = 0, 0
+            ordered = sorted(asking[s], key=lambda u: (-size[u], u))
+            outside = []
+            for u in ordered:
+                total += size[u]
+                if total <= capacity:
+                    kept = total
+                else:
+                    outside.append(u)
+            for u in outside:
+                if size[u] > capacity - kept:
+                    prefs[u].pop(0)
+    placed = {u: wanted[0] for u, wanted in prefs.items() if wanted}
+    room = [capacity - sum(size[u] for u, p in placed.items() if p == s) for s in range(shards)]
+    left = [u for u in prefs if u not in placed]
+    while True:
+        asking = defaultdict(list)
+        for u in left:
+            fits = [s for s in sorted(range(shards), key=lambda s: (room[s], s)) if room[s] >= size[u]]
+            if fits:
+                asking[fits[0]].append(u)
+        if not asking:
+            return placed, sorted(size[u] for u in left)
+        before = list(room)
+        for s, wanted in asking.items():
+            total = 0
+            for u in sorted(wanted, key=lambda u: (-size[u], u)):
+                total += size[u]
+                if total <= before[s]:
+                    placed[u] = s
+                    room[s] -= size[u]
+        left = [u for u in left if u not in placed]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_propagation_equals_plain_rounds(spark, seed):
+    """Tight and loose quotas, equal sizes, and groups larger than a shard."""
+    draw = random.Random(seed)
+    sizes = [draw.choice([3, 10, 10, 40, 95, 260]) + draw.randint(0, 2) * (seed % 2) for _ in range(60)]
+    capacity = -(-sum(sizes) * [100, 104, 130, 100][seed] // 800)
+    rows = [(f"{i:032x}", size, draw.sample(range(8), 8)) for i, size in enumerate(sizes)]
+    units = stored(sharding.units_of(spark.createDataFrame(rows, "anchor string, size long, prefs array<int>"), capacity), "units")
+    held = [tuple(r) for r in units.collect()]
+    assert sum(u[2] for u in held) == sum(sizes) and max(u[2] for u in held) <= capacity
+    placed, left, room = sharding.propagated(units, capacity, 8)
+    expected, remaining = plain_propagation(held, capacity, 8)
+    assert {(r.anchor, r.unit): r.shard for r in placed.collect()} == expected
+    assert sorted(r["size"] for r in left.collect()) == remaining and len(remaining) < 8
+    load = defaultdict(int)
+    for u in held:
+        if u[:2] in expected:
+            load[expected[u[:2]]] += u[2]
+    assert [capacity - load[s] for s in range(8)] == room and min(room) >= 0
+
+
 @pytest.mark.parametrize("sizes", [[160] * 5, [250, 250, 100, 100, 100], [799, 1], [30] * 20, [333, 90, 80, 70, 60, 50, 40], [100] * 8])
-def test_parts_of_large_groups(sizes):
-    groups = [(f"{i:032x}", size) for i, size in enumerate(sizes)]
-    parts, room = sharding.large_parts(groups, 100.0, 8)
-    for anchor, size in groups:
-        assert sum(parts[anchor]) == pytest.approx(size)
-        assert sum(x > 0 for x in parts[anchor]) <= math.ceil(size / 100) + 1
-    assert all(r >= -1e-6 for r in room)
-    assert [100 - sum(p[s] for p in parts.values()) for s in range(8)] == pytest.approx(room)
+def test_parts_of_large_groups(spark, sizes):
+    """Rows of size 1 without other rows: a group takes as few shards as it needs, one more at most."""
+    rows = [(f"{g:032x}", f"{g:04x}{i:028x}", 1) for g, size in enumerate(sizes) for i in range(size)]
+    held = stored(spark.createDataFrame(rows, "anchor string, key string, size long"), "rows")
+    whole, split = sharding.grouped(held, 100, 8)
+    load = defaultdict(float)
+    placed = {r.anchor: r.shard for r in whole.collect()}
+    for g, size in enumerate(sizes):
+        anchor = f"{g:032x}"
+        if size > 1:
+            assert (anchor in placed) != (anchor in split)
+            taken = split.get(anchor) or [float(size) if s == placed[anchor] else 0.0 for s in range(8)]
+            assert sum(taken) == size and sum(x > 0 for x in taken) <= math.ceil(size / 100) + 1
+            for s, x in enumerate(taken):
+                load[s] += x
+    assert max(load.values()) <= 100
 
 
 def test_odd_documents_in_shards(spark, odd_documents, odd_rows, no_documents):
