@@ -5,9 +5,14 @@ unwrapped: percent and Unicode escapes give one layer of the whole text, every b
 too, and from each of its four alignments, so that letters before it do no harm) and every
 compressed block a layer of its own. Bytes that are no UTF-8 are read as Latin-1 where that holds
 anything to find. Each character of a layer knows the stretch of the
-text it came from, so that what is found inside is reported where it stands. A layer with the
-content and the stretch of an earlier one is not entered again, which ends cycles; the list runs empty
-because every step but a compressed one shortens its layer.
+text it came from, so that what is found inside is reported where it stands.
+
+Compressed content comes as a stream of all members or frames of its block, whatever its size, and is scanned in windows
+that overlap; what follows a block, and blocks within blocks, are part of the layer around them. All
+that is found in it stands for the whole stretch of its block.
+
+A layer with the content and the stretch of an earlier one is not entered again, and no block that begins like
+one it came out of, which ends cycles; every step but a compressed one shortens its layer.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ import lzma
 import re
 import urllib.parse
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,10 +55,17 @@ LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[ \t]*+\r?\n[ \
 # Without one of these, bytes hold no match and nothing to unwrap.
 HINT = re.compile(rb"[A-Za-z0-9+/_-]{16}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|[pP][aA][sS][sS][wW]|[sS][eE][cC][rR]|[tT][oO][kK]|[aA][pP][iI]")
 LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+# Read backwards: a word, run or escape, and lines of base64 before it.
+RUN_OR_LINES = re.compile(rb"[A-Za-z0-9+/_=%\\&#;-]++(?:[ \t]*+\n\r?+[ \t]*+[A-Za-z0-9+/_-]{16,}+)*+")
 MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
-# A compressed layer is unwrapped up to this many bytes, so that a small text cannot fill the memory.
-MOST_BYTES = 64 << 20
 PRINTABLE = 0.9
+# Compressed content is read in windows of this size, which overlap, so that no match and no run is cut; only a run longer
+# than LONGEST is read in parts. FEED bytes at most are decompressed at a time, and fewer where nothing bounds the output.
+WINDOW = 2 << 20
+OVERLAP = 4096
+LONGEST = 16 << 20
+FEED, FEED_UNBOUNDED = 1 << 16, 512
+HEAD = 1 << 16
 
 RUN_BYTE = np.zeros(256, dtype=bool)
 RUN_BYTE[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")] = True
@@ -119,26 +131,150 @@ def found_in(text: str) -> list[Span]:
     return sorted(spans)
 
 
-def inflated(data: bytes) -> tuple[bytes, int] | None:
-    """What the gzip, zlib, bzip2, xz or zstandard block at the start of ``data`` holds, and its length; None for other bytes."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            stream = zlib.decompressobj(31)
-        elif data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            stream = zlib.decompressobj()
-        elif data[:3] == b"BZh":
-            stream = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            stream = lzma.LZMADecompressor()
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(data) as reader:
-                return reader.read(MOST_BYTES), len(data)
+class Source:
+    """Bytes that arrive piece by piece; the last ones taken may be put back."""
+
+    def __init__(self, pieces: Iterable[bytes | memoryview]):
+        self.pieces, self.held, self.at, self.taken = iter(pieces), memoryview(b""), 0, 0
+
+    def take(self, most: int) -> bytes:
+        """At most so many bytes; none only at the end."""
+        while self.at >= len(self.held):
+            piece = next(self.pieces, None)
+            if piece is None:
+                return b""
+            self.held, self.at = memoryview(piece), 0
+        found = bytes(self.held[self.at : self.at + most])
+        self.at += len(found)
+        self.taken += len(found)
+        return found
+
+    def put_back(self, data: bytes) -> None:
+        self.taken -= len(data)
+        if self.at >= len(data):
+            self.at -= len(data)
         else:
-            return None
-        held = stream.decompress(data, MOST_BYTES)
-        return held, len(data) - len(stream.unused_data)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
-        return None
+            self.held, self.at = memoryview(data + bytes(self.held[self.at :])), 0
+
+    def fill(self, size: int) -> bytes:
+        """So many bytes, or all that are left."""
+        parts, missing = [], size
+        while missing and (part := self.take(missing)):
+            parts.append(part)
+            missing -= len(part)
+        return b"".join(parts)
+
+    def ended(self) -> bool:
+        piece = self.take(1)
+        self.put_back(piece)
+        return not piece
+
+
+class Unpacking:
+    """The content of a compressed block, as pieces: all its members or frames, one after the other.
+
+    ``used`` bytes of the source held whole members; ``broken`` is set where bytes are no such block (any more), and
+    where neither is, the source ended inside a member.
+    """
+
+    def __init__(self, source: Source):
+        self.source, self.used, self.broken = source, 0, False
+
+    def __iter__(self) -> Iterator[bytes]:
+        began, first = self.source.taken, None
+        while True:
+            head = self.source.fill(6)
+            self.source.put_back(head)
+            opened = decoder(head)
+            if opened is None or first not in (None, opened[0]):
+                self.broken = self.broken or first is None
+                return
+            first, stream = opened
+            try:
+                yield from self._member(first, stream)
+            except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
+                self.broken = True
+                return
+            if not stream.eof:
+                return
+            self.source.put_back(stream.unused_data)
+            self.used = self.source.taken - began
+
+    def _member(self, kind: str, stream) -> Iterator[bytes]:
+        # A few bytes of zstandard may stand for any number, and its decoder does not stop on the way.
+        feed = FEED_UNBOUNDED if kind == "zstandard" else FEED
+        while not stream.eof and (data := self.source.take(feed)):
+            if kind == "zstandard":
+                yield stream.decompress(data)
+                continue
+            yield stream.decompress(data, WINDOW)
+            if kind in ("gzip", "zlib"):
+                self.source.put_back(stream.unconsumed_tail)
+            else:
+                while not (stream.eof or stream.needs_input):
+                    yield stream.decompress(b"", WINDOW)
+
+
+def decoder(head: bytes):
+    """What kind of compressed block begins so, and a new decoder; None for other bytes."""
+    if head[:2] == b"\x1f\x8b":
+        return "gzip", zlib.decompressobj(31)
+    if head[:1] == b"\x78" and len(head) > 2 and (head[0] * 256 + head[1]) % 31 == 0:
+        return "zlib", zlib.decompressobj()
+    if head[:3] == b"BZh":
+        return "bzip2", bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\x00":
+        return "xz", lzma.LZMADecompressor()
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        return "zstandard", zstandard.ZstdDecompressor().decompressobj()
+    return None
+
+
+@dataclass
+class Block:
+    """A compressed block at ``start`` to ``end`` of some bytes, what it holds, and a mark of its first bytes.
+
+    Its end is unknown (``open``) if the bytes end before it does.
+    """
+
+    start: int
+    end: int
+    content: Source
+    mark: bytes
+    open: bool = False
+
+
+def blocks_in(data: bytes, above: frozenset[bytes], start: int = 0) -> Iterator[Block]:
+    """Compressed blocks among the bytes from ``start`` on, but for those that they themselves came out of (``above``).
+
+    A block that fails on the way gives what it held up to there, and the search goes on behind its first byte.
+    """
+    after = start
+    for m in MAGIC.finditer(data, start):
+        if m.start() < after:
+            continue
+        at = m.start()
+        mark = hashlib.blake2b(data[at : at + HEAD], digest_size=16).digest()
+        if mark in above:
+            continue
+        block = Unpacking(Source([memoryview(data)[at:]]))
+        content = Source(block)
+        begin = content.fill(WINDOW)
+        if not begin:
+            continue
+        if content.ended():
+            held = Source([begin])
+        else:
+            while content.take(WINDOW):
+                pass
+            held = Source(Unpacking(Source([memoryview(data)[at:]])))
+        unended = not block.used and not block.broken
+        text, _, plain = read_as(begin)
+        if block.used or plain or promising(begin, text):
+            end = at + block.used if block.used else len(data)
+            if block.used or (unended and plain):
+                after = end
+            yield Block(at, end, held, mark, unended)
 
 
 def read_as(data: bytes) -> tuple[str, bool, bool]:
@@ -158,24 +294,6 @@ def promising(data: bytes, text: str) -> bool:
     return bool(found_in(text)) or next(runs_of(text), None) is not None or ESCAPE.search(text) is not None
 
 
-def compressed(data: bytes) -> Iterator[tuple[int, int, str]]:
-    """Start, end and innermost content of the compressed blocks among the bytes."""
-    after = 0
-    for m in MAGIC.finditer(data):
-        if m.start() < after:
-            continue
-        block = inflated(data[m.start() :])
-        if block is None:
-            continue
-        inner, used = block
-        while (deeper := inflated(inner)) is not None and deeper[0] != inner:
-            inner = deeper[0]
-        text, _, plain = read_as(inner)
-        if plain or promising(inner, text):
-            after = m.start() + used
-            yield m.start(), after, text
-
-
 def char_bytes(text: str) -> tuple[np.ndarray, np.ndarray]:
     """First and last byte (exclusive) of each character in UTF-8."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
@@ -184,8 +302,8 @@ def char_bytes(text: str) -> tuple[np.ndarray, np.ndarray]:
     return ends - sizes, ends
 
 
-def without_percent_blocks(layer: Layer) -> Iterator[Layer]:
-    """A layer for each compressed block in a percent-encoded token, whose plain letters are bytes as well."""
+def without_percent_blocks(layer: Layer, above: frozenset[bytes]) -> Iterator[Stream]:
+    """The content of each compressed block in a percent-encoded token, whose plain letters are bytes as well."""
     if "%" not in layer.text:
         return
     for m in TOKEN.finditer(layer.text):
@@ -199,45 +317,59 @@ def without_percent_blocks(layer: Layer) -> Iterator[Layer]:
         ends = np.append(starts[1:], m.end())
         # A plus is itself, or a space in the encoding of forms.
         for token in dict.fromkeys((m[0], m[0].replace("+", " "))):
-            for first, last, inner in compressed(urllib.parse.unquote_to_bytes(token)):
-                yield layer.below(inner, *whole(int(starts[first]), int(ends[last - 1]), inner))
+            for block in blocks_in(urllib.parse.unquote_to_bytes(token), above):
+                yield Stream.of(layer, int(starts[block.start]), int(ends[block.end - 1]), block, above)
 
 
-def without_escapes(layer: Layer) -> Iterator[Layer]:
+def without_escapes(layer: Layer, above: frozenset[bytes]) -> Iterator[Layer | Stream]:
     """The layer with its percent and Unicode escapes decoded, and compressed blocks among the former."""
     text = layer.text
     if not ("%" in text or "\\" in text or "&#" in text):
         return
+    yield from without_percent_blocks(layer, above)
     parts: list[str] = []
-    starts: list[np.ndarray] = []
-    ends: list[np.ndarray] = []
-    yield from without_percent_blocks(layer)
+    # Stretches of characters: how many, where the first came from, how far apart, and how wide each.
+    counts: list[int] = []
+    firsts: list[int] = []
+    apart: list[int] = []
+    widths: list[int] = []
+
+    def add(decoded: str, count: int, first: int, step: int, width: int) -> None:
+        parts.append(decoded)
+        counts.append(count)
+        firsts.append(first)
+        apart.append(step)
+        widths.append(width)
+
     at = 0
     for m in ESCAPE.finditer(text):
+        start, end = m.span()
         if m[1]:
             data = bytes.fromhex(m[1].replace("%", ""))
             decoded = data.decode("utf-8", "replace")
-            if "�" in decoded:
+            if "\ufffd" in decoded:
                 decoded = data.decode("latin-1")
-                first = np.arange(len(data))
-                last = first + 1
+            add(text[at:start], start - at, at, 1, 1)
+            if len(decoded) == len(data):
+                add(decoded, len(data), start, 3, 3)
             else:
-                first, last = char_bytes(decoded)
-            first, last = m.start() + 3 * first, m.start() + 3 * last
+                for c in decoded:
+                    size = 3 * len(c.encode("utf-8"))
+                    add(c, 1, start, 0, size)
+                    start += size
         else:
-            code = int(next(g for g in m.groups()[1:6] if g), 16) if not m[7] else int(m[7])
+            code = int(m[7]) if m[7] else int(m[m.lastindex], 16)
             if code > 0x10FFFF:
                 continue
-            decoded, first, last = chr(code), np.array([m.start()]), np.array([m.end()])
-        parts += [text[at : m.start()], decoded]
-        starts += [np.arange(at, m.start()), first]
-        ends += [np.arange(at, m.start()) + 1, last]
-        at = m.end()
+            add(text[at:start], start - at, at, 1, 1)
+            add(chr(code), 1, start, 0, end - start)
+        at = end
     if at:
-        parts.append(text[at:])
-        starts.append(np.arange(at, len(text)))
-        ends.append(np.arange(at, len(text)) + 1)
-        yield layer.below("".join(parts), np.concatenate(starts), np.concatenate(ends))
+        add(text[at:], len(text) - at, at, 1, 1)
+        n = np.array(counts, dtype=np.int64)
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        starts = np.repeat(np.array(firsts), n) + place * np.repeat(np.array(apart), n)
+        yield layer.below("".join(parts), starts, starts + np.repeat(np.array(widths), n))
 
 
 def whole(start: int, end: int, inner: str) -> tuple[np.ndarray, np.ndarray]:
@@ -272,7 +404,7 @@ def stops(last: np.ndarray, size: int, places: np.ndarray, ended: int) -> np.nda
     return np.where(last == size, ended, places[np.minimum((last * 4 + 2) // 3, len(places)) - 1] + 1)
 
 
-def decoded_base64(layer: Layer, packed: str, places: np.ndarray, other: bytes | None) -> Iterator[Layer]:
+def decoded_base64(layer: Layer, packed: str, places: np.ndarray, other: bytes | None, above: frozenset[bytes]) -> Iterator[Layer | Stream]:
     """Layers of base64 letters that stand at ``places``: from the first alignment that gives plain text or one whole block, else from all."""
     after = int(places[-1]) + 1
     end = after + len(layer.text[after : after + 2]) - len(layer.text[after : after + 2].lstrip("="))
@@ -283,9 +415,10 @@ def decoded_base64(layer: Layer, packed: str, places: np.ndarray, other: bytes |
         data = base64.b64decode(piece + "=" * (-len(piece) % 4), altchars=other)
         ended = end if len(at) + skip == len(places) else int(at[-1]) + 1
         rest = data
-        for first, last, inner in compressed(data):
-            rest = rest[:first] + bytes(last - first) + rest[last:]
-            yield layer.below(inner, *whole(int(at[first * 4 // 3]), int(stops(np.array(last), len(data), at, ended)), inner))
+        for block in blocks_in(data, above):
+            rest = rest[: block.start] + bytes(block.end - block.start) + rest[block.end :]
+            stop = int(stops(np.array(block.end), len(data), at, ended))
+            yield Stream.of(layer, int(at[block.start * 4 // 3]), stop, block, above)
         if not any(rest):
             return
         inner, utf8, plain = read_as(rest)
@@ -297,7 +430,7 @@ def decoded_base64(layer: Layer, packed: str, places: np.ndarray, other: bytes |
                 return
 
 
-def without_base64(layer: Layer) -> Iterator[Layer]:
+def without_base64(layer: Layer, above: frozenset[bytes]) -> Iterator[Layer | Stream]:
     """The layers of each run, in the plain or the URL alphabet, that decodes to text or to a compressed block."""
     text, joined = layer.text, set()
     for lines in wrapped(text):
@@ -306,7 +439,7 @@ def without_base64(layer: Layer) -> Iterator[Layer]:
         if url and ("+" in packed or "/" in packed):
             continue
         places = np.concatenate([np.arange(a, b) for a, b in lines])
-        for inner in decoded_base64(layer, packed, places, b"-_" if url else None):
+        for inner in decoded_base64(layer, packed, places, b"-_" if url else None, above):
             joined.update(a for a, _ in lines)
             yield inner
     for place, run in runs_of(text):
@@ -317,17 +450,53 @@ def without_base64(layer: Layer) -> Iterator[Layer]:
                 if other and "-" not in m[0] and "_" not in m[0]:
                     continue
                 at = place + m.start()
-                yield from decoded_base64(layer, m[0], np.arange(at, at + len(m[0])), other)
+                yield from decoded_base64(layer, m[0], np.arange(at, at + len(m[0])), other, above)
+
+
+@dataclass
+class Stream:
+    """Content of a compressed block, which came as a whole from ``start`` to ``end`` of the document."""
+
+    source: Source
+    start: int
+    end: int
+    above: frozenset[bytes]
+    carry: bytes = b""
+
+    @classmethod
+    def of(cls, layer: Layer, start: int, end: int, block: Block, above: frozenset[bytes]) -> Stream:
+        return cls(block.content, *layer.place(start, end), above | {block.mark})
+
+    def window(self) -> tuple[bytes, bytes]:
+        """The next window, and that part of it that belongs to the next one as well (none at the end)."""
+        data = self.carry + self.source.fill(WINDOW)
+        while not self.source.ended():
+            keep = max(0, len(data) - OVERLAP)
+            run = RUN_OR_LINES.match(data[:keep][::-1])
+            begin = keep - (run.end() if run else 0)
+            if begin or len(data) >= LONGEST:
+                return data, data[begin or keep :]
+            data += self.source.fill(WINDOW)
+        return data, b""
 
 
 def scanned(text: str) -> tuple[list[Span], list[Span], int]:
     """Spans of the text itself, all spans with those of its layers, and how many layers there are."""
     base = found_in(text)
     spans, seen = set(base), set()
-    work, layers = [Layer(text)], 0
+    work: list[tuple[Layer, frozenset[bytes]] | Stream] = [(Layer(text), frozenset())]
+    layers = 0
     while work:
-        layer = work.pop()
-        for inner in (*without_escapes(layer), *without_base64(layer)):
+        item = work.pop()
+        if isinstance(item, Stream):
+            work += next_window(item, spans)
+            continue
+        layer, above = item
+        for inner in (*without_escapes(layer, above), *without_base64(layer, above)):
+            if isinstance(inner, Stream):
+                layers += 1
+                work.append(inner)
+                continue
             if not inner.text:
                 continue
             stretch = inner.place(0, len(inner.text))
@@ -339,10 +508,33 @@ def scanned(text: str) -> tuple[list[Span], list[Span], int]:
             for start, kind, end in found_in(inner.text):
                 a, b = inner.place(start, end)
                 spans.add((a, kind, b))
-            work.append(inner)
+            work.append((inner, above))
     return base, sorted(spans), layers
 
 
+def next_window(stream: Stream, spans: set[Span]) -> list[tuple[Layer, frozenset[bytes]] | Stream]:
+    """Scan the next window of a stream; returns what is to be done then, the last first."""
+    data, carry = stream.window()
+    if not data:
+        return []
+    todo: list[tuple[Layer, frozenset[bytes]] | Stream] = [stream] if carry else []
+    text = read_as(data)[0]
+    spans.update((stream.start, kind, stream.end) for _, kind, _ in found_in(text))
+    known, stream.carry = max(0, len(stream.carry) - 6), carry
+    if HINT.search(data):
+        todo.append((Layer(text, *whole(stream.start, stream.end, text)), stream.above))
+    for block in blocks_in(data, stream.above, known):
+        above = stream.above | {block.mark}
+        if block.open and carry:
+            # Goes on behind this window: its bytes come from the stream, which continues where the block ends.
+            stream.source.put_back(data[block.start :])
+            stream.carry = b""
+            todo.append(Stream(Source(Unpacking(stream.source)), stream.start, stream.end, above))
+            break
+        todo.append(Stream(block.content, stream.start, stream.end, above))
+    return todo
+
+
 def listed(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 

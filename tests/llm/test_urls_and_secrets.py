@@ -3,7 +3,9 @@ import bz2
 import gzip
 import hashlib
 import lzma
+import random
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -194,6 +196,87 @@ def test_plain_words_and_cycles_end():
     assert len(secrets.scanned(deep)[1]) == 1
 
 
+def frames(kind):
+    """Texts whose secret stands behind the first member, frame or inner block."""
+    raw, other = SECRET.encode(), b"plain words, nothing else. " * 3
+    return {
+        "after an inner block": gzip.compress(gzip.compress(other) + raw),
+        "before an inner block": gzip.compress(raw + b" " + gzip.compress(other)),
+        "second zstandard frame": zstandard.compress(other) + zstandard.compress(raw),
+        "text after a zstandard frame": zstandard.compress(other) + raw,
+        "second gzip member": gzip.compress(other) + gzip.compress(raw),
+        "over two gzip members": gzip.compress(other + raw[:9]) + gzip.compress(raw[9:]),
+        "over two zstandard frames": zstandard.compress(other + raw[:9]) + zstandard.compress(raw[9:]),
+        "second bzip2 stream": bz2.compress(other) + bz2.compress(raw),
+        "second xz stream": lzma.compress(other) + lzma.compress(raw),
+        "xz in gzip in zlib": zlib.compress(gzip.compress(lzma.compress(raw))),
+        "two inner blocks": zlib.compress(gzip.compress(other) + b" and " + bz2.compress(raw) + b" end"),
+        "broken off": gzip.compress(raw + bytes(range(256)) * 40)[:-30],
+    }[kind]
+
+
+@pytest.mark.parametrize("kind", [
+    "after an inner block", "before an inner block", "second zstandard frame", "text after a zstandard frame", "second gzip member",
+    "over two gzip members", "over two zstandard frames", "second bzip2 stream", "second xz stream", "xz in gzip in zlib",
+    "two inner blocks", "broken off",
+])
+def test_every_layer_member_and_rest_is_scanned(kind):
+    inner = base64.b64encode(frames(kind)).decode()
+    spans = secrets.scanned(f"é {inner} after")[1]
+    assert [s[1] for s in spans] == [0] and 2 <= spans[0][0] and spans[0][2] <= 2 + len(inner)
+    assert spans[0][0] == 2 or kind == "text after a zstandard frame"
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, zstandard.compress])
+def test_long_content_is_read_to_its_end(monkeypatch, pack):
+    monkeypatch.setattr(secrets, "WINDOW", 1 << 14)
+    words = b"".join(b"some words of row %d. " % i for i in range(12_000))
+    block = base64.encodebytes(bytes(range(256)) * 500)
+    inner_block = gzip.compress(random.Random(3).randbytes(60_000) + SECRET.encode())
+    assert len(inner_block) > 3 << 14
+    for content in (words + SECRET.encode(), words[:-40] + SECRET.encode() + words, words + block + base64.encodebytes(b"x " + SECRET.encode()),
+                    words + inner_block, words + inner_block + words, words + base64.b64encode(inner_block)):
+        text = base64.b64encode(pack(content)).decode()
+        assert (2, 0, 2 + len(text)) in secrets.scanned(f"a {text} z")[1]
+    for at in range((1 << 14) - 60, (1 << 14) + 10, 3):
+        text = base64.b64encode(pack(b". " * (at // 2) + SECRET.encode() + words)).decode()
+        assert (2, 0, 2 + len(text)) in secrets.scanned(f"a {text} z")[1]
+
+
+def test_seventy_megabytes_in_a_small_text():
+    text = base64.b64encode(gzip.compress(b"some words. " * 6_000_000 + SECRET.encode())).decode()
+    assert secrets.scanned(text)[1] == [(0, 0, len(text))]
+
+
+def test_blocks_that_unpack_into_themselves_end(monkeypatch):
+    """A decoder that swaps two names stands for blocks that give each other."""
+
+    class Swap:
+        eof, unused_data, unconsumed_tail = False, b"", b""
+
+        def __init__(self, other):
+            self.other = other
+
+        def decompress(self, data, most=0):
+            self.eof = True
+            return self.other + b" words of the content"
+
+    one, two = b"\x1f\x8b\x08AA", b"\x1f\x8b\x08BB"
+    monkeypatch.setattr(secrets, "decoder", lambda head: ("gzip", Swap(two if b"A" in head else one)) if head[:2] == one[:2] else None)
+    text = base64.b64encode(one + b" words of the content").decode()
+    assert secrets.scanned(text)[1] == []
+
+
+def test_many_escapes_and_deep_nesting_take_little_time():
+    start = time.perf_counter()
+    assert secrets.scanned("%2525252541" * 40_000 + " " + "\\u0041" * 40_000)[1] == []
+    assert time.perf_counter() - start < 8
+    deep = SECRET.encode()
+    for _ in range(300):
+        deep = base64.b64encode(gzip.compress(deep, mtime=0))
+    assert [s[1] for s in secrets.scanned(deep.decode())[1]] == [0]
+
+
 def test_secrets_of_odd_documents(spark, odd_documents, odd_rows, no_documents):
     found = secrets.found(odd_documents).collect()
     assert len(found) == len(odd_rows)
