@@ -15,8 +15,9 @@ from labelloom.llm.common import held_out, small_slices, strings, unit_hash
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
-SLOT_BITS = 16
-SLOTS = 1 << SLOT_BITS
+# Numbers that the table of log probabilities may hold; more languages get fewer slots each, 2^10 at least.
+MOST_NUMBERS = 1 << 24
+MOST_BITS, LEAST_BITS = 16, 10
 END = 0x110000
 STRETCH = 1 << 20
 SMOOTHING = 0.5
@@ -57,10 +58,10 @@ class Grams:
         self.starts = np.concatenate([[0], self.ends[:-1] + 1]).astype(np.int64)
         self.owners, self.texts = np.array(owners, dtype=np.int64), len(texts)
 
-    def slots(self, n: int) -> np.ndarray:
-        """The slot of the n-gram that starts at each place; ``SLOTS`` where it would reach over an end."""
+    def slots(self, n: int, bits: int) -> np.ndarray:
+        """The slot, of 2^bits, of the n-gram that starts at each place; 2^bits where it would reach over an end."""
         codes, size = self.codes, len(self.codes)
-        found = np.full(size, SLOTS, dtype=np.int64)
+        found = np.full(size, 1 << bits, dtype=np.int64)
         if size >= n:
             mixed = np.full(size - n + 1, n, dtype=np.uint32)
             for j in range(n):
@@ -69,9 +70,9 @@ class Grams:
             mixed *= np.uint32(0x9E3779B1)
             mixed ^= mixed >> np.uint32(15)
             mixed *= np.uint32(0x85EBCA77)
-            found[: size - n + 1] = mixed >> np.uint32(32 - SLOT_BITS)
+            found[: size - n + 1] = mixed >> np.uint32(32 - bits)
             over = (self.ends[:, None] - np.arange(n)).ravel()
-            found[over[over >= 0]] = SLOTS
+            found[over[over >= 0]] = 1 << bits
         return found
 
     def by_text(self, values: np.ndarray) -> np.ndarray:
@@ -88,6 +89,10 @@ class LanguageModel:
     languages: list[str]
     logs: np.ndarray
 
+    @property
+    def bits(self) -> int:
+        return (self.logs.shape[1] - 1).bit_length() - 1
+
     def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
         """Of each text the likelier language and its share of the posterior; ties go to the first by code point."""
         if not self.languages or not texts:
@@ -95,8 +100,8 @@ class LanguageModel:
         grams = Grams(texts)
         sums, seen = np.zeros((len(self.languages), len(texts))), np.zeros(len(texts))
         for n in ORDERS:
-            slots = grams.slots(n)
-            seen += grams.by_text((slots != SLOTS).astype(np.float64))
+            slots = grams.slots(n, self.bits)
+            seen += grams.by_text((slots != 1 << self.bits).astype(np.float64))
             for i, logs in enumerate(self.logs):
                 sums[i] += grams.by_text(logs[slots])
         sums *= np.minimum(1.0, EVIDENCE / np.maximum(seen, 1.0))
@@ -107,47 +112,63 @@ class LanguageModel:
         return [self.languages[b] if known else UNKNOWN for b, known in zip(best, lettered)], scores
 
 
-def fit(docs: DataFrame, most: int = 4000, languages: int = 500) -> LanguageModel:
-    """Learn from texts with a language, at most about ``most`` documents of each language.
+def slot_bits(languages: int) -> int:
+    """As many slots a language as keep the table within ``MOST_NUMBERS``; fails where too few would be left."""
+    bits = min(MOST_BITS, (MOST_NUMBERS // max(1, languages)).bit_length() - 1)
+    if bits < LEAST_BITS:
+        raise ValueError(f"{languages} languages are too many for one table; is lang a column of languages?")
+    return bits
+
+
+def fit(docs: DataFrame, most: int = 4000) -> LanguageModel:
+    """Learn every language of the column, from at most about ``most`` documents of each.
 
-    Which documents are taken follows from a hash of their id; of more than ``languages`` languages the most
-    frequent are learned. Counts are summed per task and by key before they reach the driver:
-    languages x 2^16 numbers at most.
+    Which documents are taken follows from a hash of their id. Counts are summed per task and by key, and reach
+    the driver one language after the other. The table holds at most ``MOST_NUMBERS`` numbers: up to 256
+    languages have 2^16 slots each, more have fewer, and beyond 16,384 the fit fails.
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     known = known.where(~held_out())
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
-    share = F.least(F.lit(1.0), F.lit(float(most)) / F.col("n"))
-    taken = known.join(F.broadcast(sizes), "lang").where(unit_hash("doc_id", salt="language") < share)
+    sizes = {row["lang"]: row["n"] for row in known.groupBy("lang").agg(F.count("*").alias("n")).limit((MOST_NUMBERS >> LEAST_BITS) + 1).collect()}
+    bits = slot_bits(len(sizes))
+    slots = 1 << bits
+    if not sizes:
+        return LanguageModel([], np.zeros((0, slots + 1)))
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, most / n)) for lang, n in sizes.items()], "lang string, share double")
+    taken = known.join(F.broadcast(shares), "lang").where(unit_hash("doc_id", salt="language") < F.col("share"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
         for batch in small_slices(batches, "text", 2 << 20):
             by_lang: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), strings(batch.column("text"))):
                 by_lang.setdefault(lang, []).append(text)
             for lang, texts in by_lang.items():
                 grams = Grams(texts)
-                total = held.setdefault(lang, np.zeros(SLOTS, dtype=np.int64))
-                if (grams.codes > 32).any():
+                lettered = grams.by_text((grams.codes > 32).astype(np.float64)) > 0
+                if not lettered.all():
+                    # Texts without letters teach nothing, whatever batch they are in.
+                    grams = Grams([text for text, known in zip(texts, lettered.tolist()) if known])
+                total = np.zeros(slots, dtype=np.int64)
+                if len(grams.codes):
                     for n in ORDERS:
-                        total += np.bincount(grams.slots(n), minlength=SLOTS + 1)[:SLOTS]
-        for lang, total in held.items():
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])],
-                names=["lang", "slot", "n"],
-            )
+                        total += np.bincount(grams.slots(n, bits), minlength=slots + 1)[:slots]
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])],
+                    names=["lang", "slot", "n"],
+                )
 
     summed = taken.select("lang", "text").mapInArrow(count, "lang string, slot int, n long")
-    found = summed.groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(found["lang"].unique())
-    logs = np.zeros((len(languages), SLOTS + 1))
+    summed = summed.groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    # At most one entry per slot in a list.
+    listed = summed.groupBy("lang").agg(F.collect_list("slot").alias("slots"), F.collect_list("n").alias("counts"))
+    found = {row["lang"]: (np.array(row["slots"]), np.array(row["counts"])) for row in listed.toLocalIterator()}
+    languages = sorted(found)
+    logs = np.zeros((len(languages), slots + 1))
     for i, lang in enumerate(languages):
-        own = found[found["lang"] == lang]
-        total = np.full(SLOTS, SMOOTHING)
-        total[own["slot"].to_numpy()] += own["n"].to_numpy()
-        logs[i, :SLOTS] = np.log(total / total.sum())
+        total = np.full(slots, SMOOTHING)
+        total[found[lang][0]] += found[lang][1]
+        logs[i, :slots] = np.log(total / total.sum())
     return LanguageModel(languages, logs)
 
 
@@ -172,7 +193,11 @@ def predictions(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def in_known_language(docs: DataFrame, model: LanguageModel, least: float = 0.4) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose language is known with at least this score."""
+    """The rows of ``docs``, all columns as they are, whose language is known with at least this score.
+
+    Null, empty and letterless texts have no known language and go; repeated rows stay or go alike, null ids are
+    kept as they are, no rows give no rows, and if no language was learned none stay.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,6 @@ from labelloom.llm.common import held_out, small_slices, strings, unit_hash
 
 BLOCK = 2048
 LEVEL = 3
-PIECES = 4
 FEATURES = "label int, difference double, remaining double, size double"
 
 
@@ -97,7 +96,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> tuple[DataFrame,
     """Texts of at most about ``most`` labelled rows a class, with the share of the class that was taken.
 
     Which rows are taken follows from a hash of their id. The ids, whose number the bound
-    limits, are broadcast, so that texts are not shuffled.
+    limits, are broadcast, so that only their texts are shuffled; of several texts with one id the first by
+    code point is taken.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
     known = known.where("label IN (0, 1)").where(~held_out())
@@ -107,31 +107,39 @@ def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> tuple[DataFrame,
     taken = known.where(unit_hash("doc_id", salt="quality") < share).limit(3 * most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     halves = F.when(unit_hash("doc_id", salt="half") < 0.5, "dictionary").otherwise("calibration")
-    return texts.join(F.broadcast(taken), "doc_id").withColumn("half", halves), shares
+    chosen = texts.join(F.broadcast(taken.distinct()), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return chosen.withColumn("half", halves), shares
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, dictionary_bytes: int = 1 << 16) -> QualityModel | None:
+def spread_blocks(text: bytes, pieces: int) -> list[bytes]:
+    """So many blocks of a text, evenly from its whole length; all of a shorter one."""
+    cut = list(blocks(text))
+    if len(cut) <= pieces:
+        return cut
+    return [cut[(2 * i + 1) * len(cut) // (2 * pieces)] for i in range(pieces)]
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, dictionary_bytes: int = 1 << 16, pieces: int = 4) -> QualityModel | None:
     """Fit on a sample of at most about ``most`` labelled documents a class; None unless both classes occur.
 
-    Half of the sample gives pieces for the dictionaries, the other half, whole, the calibration.
+    Half of the sample gives the dictionaries, of each text at most ``pieces`` blocks of 2 KB, evenly from its whole
+    length; the other half, whole, gives the calibration.
     Too few pieces for zstandard's builder are joined into a plain dictionary.
     """
     sample, shares = _labelled(docs, labels, most)
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for label, text in zip(batch.column("label").to_pylist(), strings(batch.column("text"))):
-                cut = list(blocks(text))
-                step = max(1, len(cut) // PIECES)
-                found += [(label, piece) for piece in cut[::step][:PIECES]]
+                found += [(label, piece) for piece in spread_blocks(text, pieces)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.binary())],
                 names=["label", "piece"],
             )
 
     by_label: dict[int, list[bytes]] = {0: [], 1: []}
-    for row in sample.where("half = 'dictionary'").mapInArrow(pieces, "label int, piece binary").collect():
+    for row in sample.where("half = 'dictionary'").select("label", "text").mapInArrow(cut, "label int, piece binary").collect():
         by_label[row["label"]].append(bytes(row["piece"]))
     if not all(by_label.values()):
         return None

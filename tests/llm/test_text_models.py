@@ -1,7 +1,9 @@
+import math
 import zlib
 
 import numpy as np
 import pytest
+import zstandard
 
 from labelloom.llm import language, quality
 from labelloom.llm.common import held_out, table
@@ -65,7 +67,7 @@ def test_language_of_held_out_documents(spark, folder):
     assert set(found["lang_pred"]) <= set(truth["lang"]) | {"und"}
 
 
-def brute_slots(text):
+def brute_slots(text, bits=16):
     """The n-grams' slots one by one, by the same hash."""
     letters = "".join(c.lower()[0] if c.isalpha() else " " for c in text)
     letters = " " + letters + " "
@@ -79,13 +81,13 @@ def brute_slots(text):
                 h = (h * 0x01000193 + ord(c)) % 2**32
             h = h * 0x9E3779B1 % 2**32
             h = (h ^ h >> 15) * 0x85EBCA77 % 2**32
-            found.append(h >> 32 - language.SLOT_BITS)
+            found.append(h >> 32 - bits)
     return found
 
 
 def test_scores_equal_those_of_one_text_at_a_time():
     draw = np.random.default_rng(2)
-    model = language.LanguageModel(["a", "b", "c"], np.log(draw.random((3, language.SLOTS + 1))))
+    model = language.LanguageModel(["a", "b", "c"], np.log(draw.random((3, (1 << 16) + 1))))
     model.logs[:, -1] = 0
     texts = ["Hello wörld", "", "123 --", "  \u4e2d\u6587 x\U0001f600", "a", "ÀÉ " * 400]
     names, scores = model.predict([t.encode() for t in texts])
@@ -100,6 +102,89 @@ def test_scores_equal_those_of_one_text_at_a_time():
         assert score == pytest.approx(shares.max() / shares.sum())
 
 
+def brute_bayes(rows, bits):
+    """lang -> log probabilities, counted n-gram by n-gram."""
+    held = {}
+    for doc_id, text, lang in rows:
+        if lang is not None and text is not None and not is_held_out(doc_id):
+            counts = held.setdefault(lang, np.zeros(1 << bits))
+            if any(map(str.isalpha, text)):
+                np.add.at(counts, brute_slots(text, bits), 1)
+    return {lang: np.log((c + language.SMOOTHING) / (c + language.SMOOTHING).sum()) for lang, c in held.items() if c.any()}
+
+
+@pytest.mark.parametrize("languages, most", [(3, 1 << 24), (40, 1 << 16)])
+def test_fit_and_predictions_equal_plain_naive_bayes(spark, monkeypatch, languages, most):
+    """More languages get fewer slots; none is left out, whatever its frequency."""
+    monkeypatch.setattr(language, "MOST_NUMBERS", most)
+    draw = np.random.default_rng(5)
+    rows = []
+    for i in range(600):
+        k = int(min(draw.integers(0, languages), draw.integers(0, languages)))
+        letters = np.array(list("abcdefghijklmnopqrstuvwxyzéßñ"))[(np.arange(6) * 5 + k) % 29]
+        text = " ".join("".join(draw.choice(letters, 4)) for _ in range(draw.integers(1, 12)))
+        rows.append((i, text, f"l{k:02d}"))
+    rows += [(700, None, "l00"), (701, "no language", None), (702, "123 --", "l00"), (None, "abc", "l00")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language.fit(docs)
+    bits = language.slot_bits(len({r[2] for r in rows if r[2] and r[1] and not is_held_out(r[0])}))
+    expected = brute_bayes(rows, bits)
+    assert model.bits == bits == (16 if languages == 3 else 10) and model.languages == sorted(expected)
+    for lang, logs in zip(model.languages, model.logs):
+        assert np.allclose(logs[:-1], expected[lang])
+    found = {r.doc_id: r for r in language.predictions(docs, model).collect()}
+    for doc_id, text, _ in rows[:200]:
+        slots = brute_slots(text, bits)
+        sums = np.array([expected[lang][slots].sum() for lang in model.languages]) * min(1.0, language.EVIDENCE / len(slots))
+        shares = np.exp(sums - sums.max())
+        assert found[doc_id].lang_pred == model.languages[int(sums.argmax())]
+        assert found[doc_id].score == pytest.approx(shares.max() / shares.sum())
+
+
+def test_too_many_languages_fail(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_NUMBERS", 1 << 13)
+    docs = spark.createDataFrame([(i, "text", f"l{i}") for i in range(60)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="too many"):
+        language.fit(docs)
+
+
+def test_blocks_for_dictionaries_come_from_the_whole_text():
+    for n in range(1, 40):
+        text = b"".join(bytes([65 + i]) * quality.BLOCK for i in range(n))
+        taken = [piece[0] - 65 for piece in quality.spread_blocks(text, 4)]
+        assert taken == sorted(set(taken)) and len(taken) == min(4, n)
+        if n > 4:
+            assert all(abs(t - (i + 0.5) * n / 4) <= 1 for i, t in enumerate(taken))
+
+
+def test_scores_equal_sizes_compressed_one_by_one(spark, folder):
+    """Sizes of single blocks with a compressor made anew, and the logistic function written out."""
+    docs = table(spark, folder, "documents").limit(60)
+    model = quality.fit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    found = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    for row in docs.collect():
+        raw, sizes = row.text.encode(), []
+        for content in model.dictionaries:
+            held = zstandard.ZstdCompressionDict(content)
+            held.precompute_compress(level=quality.LEVEL)
+            one = zstandard.ZstdCompressor(dict_data=held, level=quality.LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes.append(sum(len(one.compress(raw[at : at + 2048])) for at in range(0, len(raw), 2048)))
+        bad, good = sizes
+        difference, left, size = (bad - good) / (bad + good), math.log(min(max((bad + good) / 2 / len(raw), 1e-4), 4.0)), math.log1p(len(raw))
+        inputs = [1.0, difference, left, left**2, size, difference * size]
+        total = sum(w * (x - m) / s for w, x, m, s in zip(model.weights, inputs, model.mean, model.spread))
+        assert found[row.doc_id] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9)
+
+
+def test_many_rows_with_one_labelled_id_count_once(spark, folder):
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    first = labels.where("crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 <> 0").first().doc_id
+    one = quality.fit(docs, labels)
+    copies = docs.where(docs.doc_id == first)
+    many = quality.fit(docs.unionByName(copies).unionByName(copies).unionByName(copies), labels)
+    assert one.dictionaries == many.dictionaries and np.allclose(one.weights, many.weights)
+
+
 def test_language_of_odd_documents(spark, odd_documents, no_documents):
     model = language.fit(odd_documents)
     found = language.predictions(odd_documents, model).toPandas()
