@@ -19,14 +19,12 @@ INNER = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Terms to look for. A strict term rejects alone; distinct soft terms reject when their weights reach ``limit``.
-
-    A negative weight speaks against a rejection.
-    """
+    """Terms to look for. A strict term rejects alone; soft terms reject when ``distinct`` of them or more weigh ``limit``."""
 
     strict: Sequence[str]
     soft: Sequence[tuple[str, int]]
     limit: int = 3
+    distinct: int = 2
 
     def automaton(self) -> ahocorasick.Automaton:
         found = ahocorasick.Automaton()
@@ -49,39 +47,41 @@ class Rule:
         return self.host + self.path
 
 
-# Terms of each category by weight; weight 0 marks strict terms. Words that are also plain topics never block alone,
-# and the words of "context" speak against a block (adult education is no adult site).
+# Terms of each category by weight, in English, German, Spanish and French; weight 0 marks strict terms. Words that are
+# also plain topics, or lure to anything, weigh 1, so that two of them do not reject.
 CATEGORIES: dict[str, dict[int, str]] = {
     "gambling": {
-        0: "casino casinos sportsbook sportsbooks sportsbetting",
-        2: "baccarat bet bets betting bettor bettors bingo blackjack bookie bookies bookmaker bookmakers gamble gambler gamblers gambling"
-        " jackpot jackpots lotteries lottery lotto poker roulette slots tipster tipsters wager wagering wagers",
-        1: "odds spin spins slot stakes win winner winners winning wins",
+        0: "casino casinos kasino kasinos machines-a-sous paris-sportifs spielbank sportsbook sportsbooks sportsbetting sportwetten tragamonedas"
+        " tragaperras",
+        2: "apuesta apuestas baccarat bet bets betting bettor bettors bingo blackjack bookie bookies bookmaker bookmakers gamble gambler"
+        " gamblers gambling gluecksspiel gluecksspiele jackpot jackpots loteria loterie lotterie lotteries lottery lotto poker roulette"
+        " ruleta slots spielautomaten tipster tipsters wager wagering wagers wette wetten",
+        1: "gagner gewinnen odds paris quoten spin spins slot stakes win winner winners winning wins",
     },
     "adult": {
         0: "adults-only camgirl camgirls hentai milf milfs nsfw porn porno pornos pornstar pornstars sexcam sexcams x-rated xrated xvideos xxx",
-        3: "adult",
-        2: "cams erotic erotica escort escorts fetish fetishes hardcore hookup hookups nude nudes pornography sex sexy",
-        1: "adults dating naked rated singles webcam webcams",
+        2: "cams dating erotic erotica erotico erotik erotique escort escorts fetisch fetish fetishes hardcore hookup hookups nackt nude"
+        " nudes pornography sex sexe sexo sexy",
+        1: "adult adulte adultes adulto adultos adults desnudo erwachsene naked nue rated seitensprung singles webcam webcams",
     },
     "ads and tracking": {
         0: "adclick adclicks adserver adservers adserving adtrack adtracker adtracking clicktrack clicktracker clicktracking doubleclick"
         " popunder popunders",
-        2: "ads advert advertisement advertisements advertiser advertisers advertising adverts affiliate affiliates popup popups"
-        " retargeting sponsored tracker trackers tracking",
+        2: "ads advert advertisement advertisements advertiser advertisers advertising adverts affiliate affiliates anuncios popup popups"
+        " publicidad publicite retargeting sponsored tracker trackers tracking werbung",
         1: "ad banner banners beacon beacons impressions pixel pixels promo promos telemetry track tracked tracks",
     },
     "pharmacy": {
-        0: "cialis levitra no-prescription viagra without-prescription",
-        2: "meds pill pills rx tramadol xanax",
-        1: "drug drugs drugstore generics pharma pharmacies pharmacy prescription prescriptions",
+        0: "cialis levitra no-prescription ohne-rezept rezeptfrei sans-ordonnance sin-receta viagra without-prescription",
+        2: "meds pastillas pill pillen pills pilules potenzmittel rx tramadol xanax",
+        1: "apotheke drug drugs drugstore farmacia generics medikamente pharma pharmacie pharmacies pharmacy prescription prescriptions",
     },
     "spam": {
         0: "keygen keygens phish phishing warez",
-        2: "backlink backlinks cheap cheapest clickbait payday replica replicas scam scams spam spammer spammers spamming",
-        1: "bonus bonuses cash click clicks coupon coupons discount discounts farm farms free giveaway giveaways loan loans prize prizes",
+        2: "abnehmen backlink backlinks clickbait payday replica replicas scam scams spam spammer spammers spamming",
+        1: "barato billig bonus bonuses cash cheap cheapest click clicks coupon coupons credito discount discounts free giveaway giveaways"
+        " gratis gratuit kostenlos kredit kredite loan loans prize prizes rabatt",
     },
-    "context": {-1: "education fiction learning literacy literature"},
 }
 VOCABULARY = Vocabulary(
     strict=tuple(term for weights in CATEGORIES.values() for term in weights.get(0, "").split()),
@@ -100,7 +100,7 @@ class Judge:
         self.rules: dict[str, list[Rule]] = {}
         for rule in rules:
             self.rules.setdefault(rule.host, []).append(rule)
-        self.automaton, self.limit = vocabulary.automaton(), vocabulary.limit
+        self.automaton, self.limit, self.distinct = vocabulary.automaton(), vocabulary.limit, vocabulary.distinct
 
     def rule(self, host: str, path: str) -> Rule | None:
         """The longest rule that fits; of two as long, the one with the longer host."""
@@ -127,7 +127,7 @@ class Judge:
         host, path = split_url(url)
         rule = self.rule(host, path)
         strict, soft, weight = self.hits(url)
-        own = "block" if strict or weight >= self.limit else "allow"
+        own = "block" if strict or (soft >= self.distinct and weight >= self.limit) else "allow"
         return host, path, rule.name if rule else None, rule.verdict if rule else own, strict, soft, weight
 
 
@@ -176,5 +176,5 @@ def sql(rules: Sequence[Rule], vocabulary: Vocabulary = VOCABULARY) -> str:
         c AS (SELECT page_id, low, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                      regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM b),
         d AS (SELECT page_id, host, path, ({strict})::INT AS strict, ({soft})::INT AS soft, ({weight})::INT AS weight FROM c),
-        e AS (SELECT *, CASE WHEN strict > 0 OR weight >= {vocabulary.limit} THEN 'block' ELSE 'allow' END AS own FROM d)
+        e AS (SELECT *, CASE WHEN strict > 0 OR (soft >= {vocabulary.distinct} AND weight >= {vocabulary.limit}) THEN 'block' ELSE 'allow' END AS own FROM d)
         SELECT page_id, host, path, {named} AS rule, {verdict} AS verdict, strict, soft, weight FROM e"""
