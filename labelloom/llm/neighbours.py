@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.session import stored
+from labelloom.sizing import broadcast_if_small
 
 TABLES = 2
 ROTATIONS = 3
@@ -288,7 +289,7 @@ def nearest(
                 unit = held / norms(held)[:, None]
                 for table in range(hashes.tables):
                     found = np.sort(hashes.probes(unit, table, probes), axis=1)
-                    for part in range(groups):
+                    for part in np.unique(found % groups).tolist():
                         wanted = found % groups == part
                         some = np.flatnonzero(wanted.any(axis=1))
                         lists = [found[i][wanted[i]] for i in some]
@@ -307,17 +308,18 @@ def nearest(
         ),
         "vector-tables",
     )
-    blocks = entries.groupBy("band", "table", "part").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("long").alias("blocks"))
-    blocks = stored(blocks, "vector-blocks")
-    turns = 1 + queries // QUERY_ROWS
-    asking = asked.mapInArrow(ask, "table long, part long, query long, vector binary, buckets array<long>")
-    asking = (
-        asking.withColumn("turn", F.pmod(F.xxhash64("query"), F.lit(turns)))
-        .join(F.broadcast(blocks), ["table", "part"])
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .drop("blocks")
-    )
-    placed = entries.join(F.broadcast(blocks), ["band", "table", "part"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long")))).drop("blocks")
+    # A part of a table is cut into blocks of its rows and turns of the queries that want one of its buckets. Vectors with
+    # clusters want few buckets, so few queries come to a part, and its rows are not repeated.
+    wanted = stored(asked.mapInArrow(ask, "table long, part long, query long, vector binary, buckets array<long>"), "vector-probes")
+    rows = entries.groupBy("band", "table", "part").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("long").alias("blocks"))
+    visits = wanted.groupBy("table", "part").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("long").alias("turns"))
+    parts = stored(rows.join(visits, ["table", "part"]), "vector-parts")
+    parts = broadcast_if_small(parts)
+    turn, block = F.pmod(F.xxhash64("query"), F.col("turns")), F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    every_block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    every_turn = F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))
+    asking = wanted.join(parts, ["table", "part"]).withColumn("turn", turn).withColumn("block", every_block).drop("blocks", "turns")
+    placed = entries.join(parts, ["band", "table", "part"]).withColumn("block", block).withColumn("turn", every_turn).drop("blocks", "turns")
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:

@@ -97,3 +97,25 @@ def test_hadamard_keeps_lengths_and_hashes_agree():
     for table in range(hashes.tables):
         assert (hashes.preference(unit, table).argmax(axis=1) == hashes.bucket(unit, table)).all()
         assert (np.sort(hashes.probes(unit, table, 1), axis=1)[:, 0] == hashes.bucket(unit, table)).all()
+
+
+def test_clustered_vectors_are_found_in_few_buckets(spark, monkeypatch):
+    """Sixty clusters: a query visits a small share of the buckets, and parts are not repeated for queries that do not come."""
+    draw = np.random.default_rng(7)
+    centres = draw.normal(size=(60, 16))
+    x = centres[np.arange(3000) % 60] + 0.15 * draw.normal(size=(3000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    probes = []
+    needed = neighbours.needed_probes
+
+    def recorded(*arguments):
+        probes.append((needed(*arguments), arguments[0].buckets))
+        return probes[-1][0]
+
+    monkeypatch.setattr(neighbours, "needed_probes", recorded)
+    monkeypatch.setattr(neighbours, "GROUP_ROWS", 300)
+    found, expected = listed(neighbours.nearest(frame(spark, rows), axes=1)), brute(rows)
+    assert recall(found, expected) >= 0.9
+    (count, buckets), = probes
+    assert count <= buckets / 6
