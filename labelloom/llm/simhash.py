@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import small_slices, strings
@@ -164,13 +164,23 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 2) ->
 
 
 def one_of_each(docs: DataFrame, shingle_words: int = 3, radius: int = 2) -> DataFrame:
-    """The row with the smallest doc_id of every component; of equal rows and ids, one."""
+    """The row with the smallest doc_id of every component; of equal rows and ids, one.
+
+    Null and empty texts form a component like any other; of a component without any id one row stays; all
+    columns stay as they are, and no rows give no rows. Texts are shuffled once, by id and hash, to meet the chosen
+    ones and to fold equal rows.
+    """
     found = near_duplicates(docs, shingle_words, radius)
-    kept = found.select(F.col("component_id").alias("_id"), F.col("first_hash").alias("_hash"), "root").distinct()
-    text_hash = F.xxhash64(F.col("text").cast("string"))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), text_hash.alias("hash"))
-    same = F.expr("d.id <=> k._id AND d.hash = k._hash")
-    return rows.alias("d").join(kept.alias("k"), same, "left_semi").dropDuplicates(["id", "hash"]).select("row.*")
+    keys = ["none", "id", "hash"]
+
+    def key(doc_id: str, text_hash: Column) -> list[Column]:
+        # Without nulls, so that one partitioning serves the join and the folding.
+        number = F.col(doc_id).cast("long")
+        return [number.isNull().alias("none"), F.coalesce(number, F.lit(0)).alias("id"), text_hash.alias("hash")]
+
+    kept = found.select(*key("component_id", F.col("first_hash"))).distinct()
+    rows = docs.select(F.struct("*").alias("row"), *key("doc_id", F.xxhash64(F.col("text").cast("string"))))
+    return rows.join(kept, keys, "left_semi").dropDuplicates(keys).select("row.*")
 
 
 def digest(found: DataFrame) -> DataFrame:
