@@ -30,7 +30,7 @@ RESULT = "item_id long, rank int, doc_id long, score long"
 BLOCK_BYTES = 4 << 20
 TEXT_BYTES = 8 << 20
 # Postings in one slice; a single document with more stands alone.
-SLICE_POSTINGS = 1 << 20
+SLICE_POSTINGS = 1 << 19
 # Intervals with so few postings are scored outright, and so many are taken up at once.
 FEW_POSTINGS = 1024
 AT_ONCE = 32
