@@ -26,7 +26,7 @@ from labelloom.session import new_path
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 STEP = 1 << 18
 RESULT = (
     "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
