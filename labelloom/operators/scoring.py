@@ -9,17 +9,18 @@ import hashlib
 import json
 import time
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
-from operator import add
+from dataclasses import dataclass
 from urllib.parse import quote
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelloom.functions.text import system_message, user_message
-from labelloom.operators.features import document_terms, raw_weights, tfidf
+from labelloom.operators.features import document_starts, document_stream, document_terms, tfidf, whole_documents
 from labelloom.operators.joins import pending
 from labelloom.sizing import MAX_CLASSES, dimension
 from labelloom.sources.results import ADDED, ResultsTable, last_rows
@@ -29,6 +30,10 @@ Scorer = Callable[[list[str]], list[str]]
 
 MAX_DEFINITION_CHARACTERS = 10_000_000
 TEMPERATURE = 0.1
+# Up to so many classes are all listed with their probabilities; of more, so few.
+ALL_LISTED, FEW_LISTED = 100, 10
+# Pairs of documents and classes held at a time.
+HELD = 1 << 21
 KEYS = ("scorer", "class_version", "id")
 # Of several results for one key the last in this order counts.
 ORDER = ("run", "job", "seen")
@@ -141,65 +146,134 @@ def lexical_schema(key: T.DataType) -> T.StructType:
     )
 
 
+@dataclass(frozen=True)
+class ClassIndex:
+    """The weights of all class terms, by term: entries ``starts[t]`` to ``starts[t + 1]`` belong to term number t."""
+
+    labels: list[str]
+    terms: list[str]
+    starts: np.ndarray
+    classes: np.ndarray
+    weights: np.ndarray
+
+    @classmethod
+    def of(cls, spark: SparkSession, classes: Classes, vocab: DataFrame) -> ClassIndex:
+        """The TF-IDF of the descriptions; its rows are bounded by the checked length of the definitions."""
+        ordered = checked_classes(classes)
+        number = {label: i for i, (label, _) in enumerate(ordered)}
+        described = document_terms(dimension(spark, ordered, "id string, text string"))
+        found = sorted((row["term"], number[row["id"]], row["weight"]) for row in tfidf(described, vocab, ["id", "term"]).collect())
+        terms = sorted({term for term, _, _ in found})
+        place = {term: t for t, term in enumerate(terms)}
+        held = np.array([place[term] for term, _, _ in found], dtype=np.int64)
+        return cls(
+            [label for label, _ in ordered], terms, np.searchsorted(held, np.arange(len(terms) + 1)),
+            np.array([k for _, k, _ in found], dtype=np.int64), np.array([w for _, _, w in found], dtype=np.float64),
+        )
+
+    def odds(self, owner: np.ndarray, term: np.ndarray, raw: np.ndarray, length: np.ndarray, temperature: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document, class and odds of every pair that shares a term, best first within a document; all others have odds 1."""
+        counts = self.starts[term + 1] - self.starts[term]
+        at = np.repeat(self.starts[term] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+        pair = np.repeat(owner, counts) * len(self.labels) + self.classes[at]
+        pairs, place = np.unique(pair, return_inverse=True)
+        products = np.bincount(place, np.repeat(raw, counts) * self.weights[at], len(pairs))
+        document, label = pairs // len(self.labels), pairs % len(self.labels)
+        odds = np.exp(products / length[document] / temperature)
+        order = np.lexsort((label, -odds, document))
+        return document[order], label[order], odds[order]
+
+
 def lexical_scores(
-    inputs: DataFrame, classes: Classes, vocab: DataFrame, temperature: float = TEMPERATURE
+    inputs: DataFrame, classes: Classes, vocab: DataFrame, temperature: float = TEMPERATURE, listed: int | None = None
 ) -> DataFrame:
     """Score texts by TF-IDF cosine with the class descriptions; needs no labels.
 
     ``vocab`` is frozen beforehand, so a text scores the same in any batch.
-    Returns id, prediction, probabilities and confidence (first minus second
-    probability). One pass over the weighted terms yields the document length
-    and the products with all classes.
+    Returns id, prediction, probabilities and confidence (first minus second probability). ``probabilities`` names every
+    class, or the ``listed`` likeliest (10 where there are over 100 classes).
+
+    The plan does not depend on the classes: postings meet the vocabulary by a broadcast, and an inverted index of the class
+    terms gives a document's products with the classes that share a term with it. All others have cosine 0 and so
+    equal odds, which are counted, not computed.
     """
-    spark = inputs.sparkSession
-    ordered = checked_classes(classes)
-    labels = [label for label, _ in ordered]
-    described = document_terms(dimension(spark, ordered, "id string, text string"))
-    # Rows are bounded by the checked length of the definitions.
-    class_terms = F.broadcast(
-        tfidf(described, vocab)
-        .groupBy("term")
-        .agg(
-            F.array(
-                *[F.sum(F.when(F.col("id") == label, F.col("weight")).otherwise(0.0)) for label in labels]
-            ).alias("_class")
-        )
-    )
-    raw = F.col("raw")
-    products = [
-        F.sum(raw * F.coalesce(F.get("_class", F.lit(i)), F.lit(0.0))).alias(f"_dot{i}")
-        for i in range(len(labels))
-    ]
-    sums = (
-        raw_weights(document_terms(inputs.select("id", "text")), vocab, every=True)
-        .join(class_terms, "term", "left")
-        .groupBy("id")
-        .agg(F.sqrt(F.sum(raw * raw)).alias("_length"), *products)
-    )
-    cosines = [F.coalesce(F.col(f"_dot{i}") / F.col("_length"), F.lit(0.0)) for i in range(len(labels))]
-    odds = [F.exp(c / temperature) for c in cosines]
-    return (
-        sums.select("id", F.array(*odds).alias("_odds"))
-        .withColumn("_sum", reduce(add, [F.get("_odds", F.lit(i)) for i in range(len(labels))]))
-        .select(
-            "id",
-            F.array(
-                *[
-                    F.struct((F.get("_odds", F.lit(i)) / F.col("_sum")).alias("p"), F.lit(-i).alias("i"))
-                    for i in range(len(labels))
-                ]
-            ).alias("_p"),
-        )
-        .withColumn("_ranked", F.sort_array("_p", asc=False))
-        .select(
-            "id",
-            F.get(F.array(*[F.lit(x) for x in labels]), -F.get("_ranked", F.lit(0))["i"]).alias("prediction"),
-            F.map_from_arrays(F.array(*[F.lit(x) for x in labels]), F.col("_p.p")).alias("probabilities"),
-            (F.get("_ranked", F.lit(0))["p"] - F.coalesce(F.get("_ranked", F.lit(1))["p"], F.lit(0.0))).alias(
-                "confidence"
-            ),
-        )
-    )
+    index = ClassIndex.of(inputs.sparkSession, classes, vocab)
+    labels, most = index.labels, len(index.labels)
+    listed = listed if listed is not None else (most if most <= ALL_LISTED else FEW_LISTED)
+    numbers = dimension_of_terms(inputs.sparkSession, index.terms)
+    schema = lexical_schema(inputs.schema["id"].dataType)
+    stream = document_stream(document_terms(inputs.select("id", "text")), vocab)
+    stream = stream.join(numbers, "term", "left").select("_row", "id", "raw", "number")
+    held = inputs.sparkSession.sparkContext.broadcast(index)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = held.value
+        for batch in whole_documents(batches):
+            starts = document_starts(batch)
+            raw = np.nan_to_num(batch.column("raw").to_numpy(zero_copy_only=False))
+            owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(raw))))
+            length = np.sqrt(np.bincount(owner, raw * raw, len(starts)))
+            known = batch.column("number").is_valid().to_numpy(zero_copy_only=False) & (raw > 0)
+            term = batch.column("number").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = batch.column("id").take(pa.array(starts))
+            for first, last in spans_of(index, owner[known], term[known], len(starts), max(listed, 1)):
+                mine = known & (owner >= first) & (owner < last)
+                document, label, odds = index.odds(owner[mine] - first, term[mine], raw[mine], length[first:last], temperature)
+                yield scored_batch(ids.slice(first, last - first), labels, document, label, odds, listed, schema.fieldNames())
+
+    return stream.mapInArrow(score, schema)
+
+
+def dimension_of_terms(spark: SparkSession, terms: list[str]) -> DataFrame:
+    """``term, number``; the terms are as many as the checked definitions hold at most."""
+    if not terms:
+        return spark.createDataFrame([], "term string, number int")
+    return F.broadcast(spark.createDataFrame(pd.DataFrame({"term": terms, "number": np.arange(len(terms), dtype=np.int32)})))
+
+
+def spans_of(index: ClassIndex, owner: np.ndarray, term: np.ndarray, documents: int, listed: int) -> Iterator[tuple[int, int]]:
+    """Ranges of documents whose pairs with classes, and lists, are about ``HELD`` at most (one larger document alone)."""
+    pairs = np.bincount(owner, index.starts[term + 1] - index.starts[term], documents) + listed
+    first, total = 0, 0.0
+    for document, count in enumerate(pairs.tolist()):
+        if total and total + count > HELD:
+            yield first, document
+            first, total = document, 0.0
+        total += count
+    if first < documents:
+        yield first, documents
+
+
+def scored_batch(
+    ids: pa.Array, labels: list[str], document: np.ndarray, label: np.ndarray, odds: np.ndarray, listed: int, names: list[str]
+) -> pa.RecordBatch:
+    """Prediction, probabilities and confidence of documents from their pairs, which stand best first."""
+    n, classes = len(ids), len(labels)
+    shared = np.bincount(document, minlength=n)
+    starts = np.cumsum(shared) - shared
+    total = np.bincount(document, odds, n) + (classes - shared)
+    place = np.arange(len(document)) - np.repeat(starts, shared)
+    best = np.zeros((n, 2))
+    for rank in (0, 1):
+        # Without a pair of this rank the next class is any that shares nothing; there is none with too few classes.
+        best[:, rank] = 1.0 if rank < classes else 0.0
+        at = place == rank
+        best[document[at], rank] = odds[at]
+    first = np.zeros(n, dtype=np.int64)
+    first[document[place == 0]] = label[place == 0]
+    if listed >= classes:
+        dense = np.ones((n, classes))
+        dense[document, label] = odds
+        keys, values = np.tile(np.arange(classes), n), (dense / total[:, None]).ravel()
+        offsets = np.arange(n + 1) * classes
+    else:
+        kept = place < listed
+        keys, values = label[kept], odds[kept] / total[document[kept]]
+        offsets = np.concatenate([[0], np.cumsum(np.minimum(shared, listed))])
+    names_of = pa.array(labels, pa.string())
+    maps = pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), names_of.take(pa.array(keys)), pa.array(values))
+    confidence = pa.array((best[:, 0] - best[:, 1]) / total)
+    return pa.RecordBatch.from_arrays([ids, names_of.take(pa.array(first)), maps, confidence], names=names)
 
 
 def answers_of(inputs: DataFrame, make_scorer: Callable[[], Scorer]) -> DataFrame:

@@ -1,3 +1,6 @@
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,6 +32,51 @@ def test_scores_of_texts_without_known_terms(spark):
         assert found[key].probabilities == {"A": 0.5, "B": 0.5}
 
 
+def test_five_thousand_classes_equal_plain_cosines(spark, monkeypatch):
+    """The plan is that of two classes; small batches and spans; a word that all classes share."""
+    draw = np.random.default_rng(3)
+    words = [f"word{i}" for i in range(900)]
+    classes = [(f"c{k:04d}", "common " + " ".join(draw.choice(words, 4))) for k in range(5000)]
+    rows = [(i, " ".join([*draw.choice(words, draw.integers(0, 9)), *(["common"] if i % 3 == 0 else [])])) for i in range(60)]
+    corpus = texts(spark, [*rows, (100, ""), (101, "zzz yyy")])
+    described = spark.createDataFrame([(k, text) for k, (_, text) in enumerate(classes)], "id int, text string")
+    vocab = stored(features.vocabulary(features.document_terms(corpus.unionByName(described), bigrams=False)), "vocabulary")
+    plan = lambda some: scoring.lexical_scores(corpus, some, vocab)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan(classes).split("\n")) == len(plan(classes[:2]).split("\n"))
+    monkeypatch.setattr(scoring, "HELD", 20_000)
+    found = {r.id: r for r in scoring.lexical_scores(corpus, classes, vocab).collect()}
+    idf = {r.term: r.idf for r in vocab.collect()}
+
+    def vector(text):
+        counts = Counter(t for t in text.split() if t in idf)
+        raw = {t: (1 + np.log(n)) * idf[t] for t, n in counts.items()}
+        length = np.sqrt(sum(w * w for w in raw.values()))
+        return {t: w / length for t, w in raw.items()}
+
+    centres = [vector(text) for _, text in classes]
+    for i, text in [*rows, (100, ""), (101, "zzz yyy")]:
+        own = vector(text)
+        cosines = np.array([sum(w * c.get(t, 0.0) for t, w in own.items()) for c in centres])
+        p = np.exp(cosines / 0.1) / np.exp(cosines / 0.1).sum()
+        ranked = sorted(range(5000), key=lambda k: (-round(p[k], 12), k))
+        assert found[i].prediction == classes[ranked[0]][0]
+        assert found[i].confidence == pytest.approx(p[ranked[0]] - p[ranked[1]], abs=1e-9)
+        for label, value in found[i].probabilities.items():
+            assert value == pytest.approx(p[int(label[1:])])
+        assert len(found[i].probabilities) == min(10, int((cosines > 0).sum()))
+
+
+def test_scores_with_a_large_vocabulary_are_the_same(spark, monkeypatch):
+    corpus = texts(spark, [(i, f"red apple {'blue' if i % 3 else 'pie'} sky w{i % 7}") for i in range(40)] + [(40, ""), (1, "blue sky")])
+    vocab = stored(features.vocabulary(features.document_terms(corpus)), "vocabulary")
+    columns = ["id", "prediction", F.round("confidence", 9).alias("c"), F.round(F.col("probabilities")["B"], 9).alias("b")]
+    direct = stored(scoring.lexical_scores(corpus, CLASSES, vocab).select(*columns), "direct")
+    monkeypatch.setattr(features, "MAX_BROADCAST_TERMS", 3)
+    monkeypatch.setattr(features, "ROWS_PER_TASK", 5)
+    salted = scoring.lexical_scores(corpus, CLASSES, vocab).select(*columns)
+    assert salted.count() == 42 and salted.exceptAll(direct).isEmpty() and direct.exceptAll(salted).isEmpty()
+
+
 def test_salted_join_equals_broadcast(spark, folder, monkeypatch):
     terms = stored(features.document_terms(given.documents(spark, folder).select("id", "text")), "terms")
     vocab = stored(features.vocabulary(terms), "vocabulary")
