@@ -15,7 +15,7 @@ from urllib.parse import quote
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,43 +87,56 @@ def choice_requests(inputs: DataFrame, classes: Classes, model: str, question: s
     return inputs.select("id", F.to_json(body).alias("body"))
 
 
-def typed_responses(responses: DataFrame, question: str, column: str = "raw_response") -> DataFrame:
-    """Columns of a choice response: prediction, confidence, probabilities, model, tokens.
+def parsed_responses(responses: DataFrame, question: str, column: str = "raw_response") -> DataFrame:
+    """Columns of a choice response (prediction, confidence, probabilities, model, tokens) and ``problem``, null if it is sound.
 
-    A response whose answer is not of type ``choice`` fails the job.
+    A response is read once, as a variant, and its parts are taken from it by type, so that none
+    fails the job. Of several problems the first is named: no JSON, no answer to the question, an answer that is no
+    choice or names none, or a part that is there and not of its type.
     """
-    answer = T.StructType(
-        [
-            T.StructField("type", T.StringType()),
-            T.StructField("choice", T.StringType()),
-            T.StructField("confidence", T.DoubleType()),
-            T.StructField("probabilities", T.MapType(T.StringType(), T.DoubleType())),
-        ]
-    )
-    usage = T.StructType(
-        [T.StructField("input_tokens", T.LongType()), T.StructField("output_tokens", T.LongType())]
-    )
-    schema = T.StructType(
-        [
-            T.StructField("model", T.StringType()),
-            T.StructField("answers", T.StructType([T.StructField(question, answer)])),
-            T.StructField("usage", usage),
-        ]
-    )
-    parsed = responses.select("id", F.from_json(column, schema, {"mode": "FAILFAST"}).alias("r"))
-    given = F.col("r.answers")[question]
-    checked = F.when(given["type"] == "choice", given["choice"]).otherwise(
-        F.raise_error(F.concat(F.lit("expected a choice answer for id "), F.col("id").cast("string")))
-    )
-    return parsed.select(
-        "id",
-        checked.alias("prediction"),
-        given["confidence"].alias("confidence"),
-        given["probabilities"].alias("probabilities"),
-        F.col("r.model").alias("response_model"),
-        F.col("r.usage.input_tokens").alias("input_tokens"),
-        F.col("r.usage.output_tokens").alias("output_tokens"),
-    )
+    answer = f"$.answers['{question}']"
+    parts = {
+        "confidence": (f"{answer}.confidence", "double"),
+        "probabilities": (f"{answer}.probabilities", "map<string,double>"),
+        "response_model": ("$.model", "string"),
+        "input_tokens": ("$.usage.input_tokens", "bigint"),
+        "output_tokens": ("$.usage.output_tokens", "bigint"),
+    }
+    read = responses.select("id", F.col(column).alias("_raw"), F.try_parse_json(column).alias("_v"))
+
+    def part(path: str, kind: str = "variant") -> Column:
+        return F.try_variant_get("_v", path, kind)
+
+    typed = read.select(
+        "id", "_v", "_raw",
+        part(f"{answer}.type", "string").alias("_type"),
+        part(f"{answer}.choice", "string").alias("prediction"),
+        *[part(path, kind).alias(name) for name, (path, kind) in parts.items()],
+    )
+    problem = F.when(F.col("_v").isNull(), "no JSON").when(part(answer).isNull(), "no answer to the question")
+    problem = problem.when(F.coalesce(F.col("_type") != "choice", F.lit(True)), "expected a choice answer")
+    problem = problem.when(F.col("prediction").isNull(), "no choice is named")
+    for name, (path, _) in parts.items():
+        given = part(path).isNotNull() & ~F.is_variant_null(F.coalesce(part(path), F.parse_json(F.lit("null"))))
+        problem = problem.when(F.col(name).isNull() & given, f"{name} of another type")
+    unlike = F.exists(F.map_values("probabilities"), lambda p: p.isNull())
+    problem = problem.when(F.coalesce(unlike, F.lit(False)), "probabilities of another type")
+    return typed.select("id", "prediction", *parts, problem.alias("problem"), "_raw")
+
+
+def typed_responses(responses: DataFrame, question: str, column: str = "raw_response") -> DataFrame:
+    """The columns of ``parsed_responses``; a response with a problem fails the job with its id."""
+    parsed = parsed_responses(responses, question, column)
+    named = F.concat("problem", F.lit(" for id "), F.col("id").cast("string"))
+    prediction = F.when(F.col("problem").isNull(), F.col("prediction")).otherwise(F.raise_error(named))
+    return parsed.withColumn("prediction", prediction).drop("problem", "_raw")
+
+
+def split_responses(responses: DataFrame, question: str, column: str = "raw_response") -> tuple[DataFrame, DataFrame]:
+    """The sound responses, typed, and a table ``id, problem, raw_response`` of the others. Pass a stored table."""
+    parsed = parsed_responses(responses, question, column)
+    sound = parsed.where("problem IS NULL").drop("problem", "_raw")
+    return sound, parsed.where("problem IS NOT NULL").select("id", "problem", F.col("_raw").alias("raw_response"))
 
 
 def argmax_class(probabilities: DataFrame) -> DataFrame:

@@ -14,6 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Entries of a sketch of distinct values, as a power of two.
+SKETCH_BITS = 16
+
 
 def named_classes(df: DataFrame, names: DataFrame, index: str = "label") -> DataFrame:
     """Replace a class index by its name (``names``: ``label, intent``)."""
@@ -133,6 +136,27 @@ def distinct_counts(df: DataFrame, *columns: str, approximate: bool = False) ->
     )
 
 
+def distinct_sketches(df: DataFrame, *columns: str) -> DataFrame:
+    """``column, rows, sketch``: what to keep of a load to count distinct values over loads later, in one pass.
+
+    Values count as strings. A sketch has 2^SKETCH_BITS entries of 8 bits at most, whatever the number of rows; its relative
+    error is about 1.04 / 2^(SKETCH_BITS / 2), and far less for up to some thousand values.
+    """
+    sketches = df.agg(
+        F.count(F.lit(1)).alias("rows"), *[F.hll_sketch_agg(F.col(c).cast("string"), F.lit(SKETCH_BITS)).alias(f"_{i}") for i, c in enumerate(columns)]
+    )
+    named = [F.struct(F.lit(c).alias("column"), F.col("rows"), F.col(f"_{i}").alias("sketch")) for i, c in enumerate(columns)]
+    return sketches.select(F.inline(F.array(*named)))
+
+
+def merged_distinct_counts(sketches: DataFrame) -> DataFrame:
+    """``column, loads, rows, values`` from the sketches of any number of loads, without their rows."""
+    merged = F.hll_union_agg("sketch", F.lit(False))
+    return sketches.groupBy("column").agg(
+        F.count(F.lit(1)).alias("loads"), F.sum("rows").alias("rows"), F.hll_sketch_estimate(merged).alias("values")
+    )
+
+
 def candidate_supply(pool: DataFrame, affected: DataFrame, budget: int) -> DataFrame:
     """Candidates per affected queue, and whether they cover the label budget."""
     counted = pool.groupBy(F.col("v2_label").alias("v2")).agg(F.count(F.lit(1)).alias("rows"))

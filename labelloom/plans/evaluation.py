@@ -13,8 +13,9 @@ from labelloom.plans.registry import query, rounded, short
 from labelloom.session import new_path
 from labelloom.sizing import dimension
 from labelloom.sources.runs import discover_runs
-from labelloom.sources.tables import read_records, write_records
+from labelloom.sources.tables import keyed, read_records, write_records
 
+KEYED_BUCKETS = 8
 MODEL_NAMES = [("m0", "Model zero")]
 USD_PER_MILLION = 0.042
 
@@ -86,6 +87,20 @@ def aligned_predictions(spark: SparkSession, folder: str) -> DataFrame:
     return joins.left_aligned(given.truth(spark, folder), _predictions(spark, folder))
 
 
+@query(
+    f"""WITH {EVENTS_SQL} SELECT truth AS v2_label, count(*) AS rows, count(*) FILTER (prediction = truth) AS correct
+    FROM scored GROUP BY truth"""
+)
+def metrics_on_keyed_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Truth and predictions written by id; they meet one to one without being shuffled again."""
+    truth = keyed(given.truth(spark, folder), "id", KEYED_BUCKETS, "truth")
+    predictions = keyed(_predictions(spark, folder), "id", KEYED_BUCKETS, "predictions")
+    outcomes = joins.aligned(truth, predictions)
+    return outcomes.groupBy("v2_label").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(evaluation.correct(F.col("prediction"), F.col("v2_label"))).alias("correct")
+    )
+
+
 @query(f"WITH {EVENTS_SQL} SELECT id, truth AS v2_label, prediction FROM scored WHERE prediction <> 'INVALID'")
 def scored_truth_join(spark: SparkSession, folder: str) -> DataFrame:
     responses = given.answered(spark, folder).select("id", "prediction")

@@ -214,6 +214,22 @@ def distinct_counts(spark: SparkSession, folder: str) -> DataFrame:
     return taxonomy.distinct_counts(_labelled(spark, folder), "id", "intent", "v1_label", "v2_label")
 
 
+@query(
+    f"""WITH {ORDERS_SQL} SELECT 'intent' AS "column", 3 AS loads, count(*) AS rows, count(DISTINCT intent) AS "values" FROM corpus
+    UNION ALL SELECT 'v2_label', 3, count(*), count(DISTINCT v2_label) FROM corpus
+    UNION ALL SELECT 'customer', 3, count(*), (SELECT count(DISTINCT o_custkey % 1000) FROM orders) FROM corpus"""
+)
+def distinct_counts_over_loads(spark: SparkSession, folder: str) -> DataFrame:
+    """Sketches of three loads, each written by itself, give the distinct counts of all rows."""
+    path = new_path(spark, "sketches")
+    customer = given.table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 1000).alias("customer"))
+    rows = _labelled(spark, folder).join(customer, "id")
+    for load in range(3):
+        taxonomy.distinct_sketches(rows.where(F.col("id") % 3 == load), "intent", "v2_label", "customer").write.mode("append").parquet(path)
+    kept = spark.read.schema("column string, rows bigint, sketch binary").parquet(path)
+    return taxonomy.merged_distinct_counts(kept).withColumn("loads", F.col("loads").cast("int"))
+
+
 @query(f"WITH {ORDERS_SQL} SELECT v1_label, v2_label, count(*) AS rows FROM corpus GROUP BY ALL")
 def transition_matrix(spark: SparkSession, folder: str) -> DataFrame:
     return taxonomy.transition_matrix(_labelled(spark, folder))

@@ -517,38 +517,53 @@ def trial_inputs(spark: SparkSession, folder: str) -> DataFrame:
 RESPONSE_QUESTION = "queue"
 
 
-@query(
-    """SELECT doc_id AS id, upper(lang) AS prediction, CAST(0.5 AS DOUBLE) AS confidence,
-    CAST(0.75 AS DOUBLE) AS p, source AS response_model, n_chars AS input_tokens, CAST(1 AS BIGINT) AS output_tokens
-    FROM documents"""
-)
-def typed_responses(spark: SparkSession, folder: str) -> DataFrame:
-    """Nested response JSON, derived from the documents, to typed columns."""
+def _responses(spark: SparkSession, folder: str) -> DataFrame:
+    """Response JSON derived from the documents; one in ten is broken in one of five ways."""
+    rows = given.table(spark, folder, "documents")
+    p = (40 + F.col("doc_id") % 55) / 100
     answer = F.struct(
-        F.lit("choice").alias("type"),
-        F.upper("lang").alias("choice"),
-        F.lit(0.5).alias("confidence"),
-        F.create_map(F.upper("lang"), F.lit(0.75), F.lit("OTHER"), F.lit(0.25)).alias("probabilities"),
-    )
-    usage = F.struct(F.col("n_chars").alias("input_tokens"), F.lit(1).alias("output_tokens"))
-    body = F.struct(
-        F.col("source").alias("model"), F.struct(answer.alias(RESPONSE_QUESTION)).alias("answers"), usage.alias("usage")
+        F.when(F.col("doc_id") % 50 == 7, "text").otherwise("choice").alias("type"),
+        F.when(F.col("doc_id") % 50 != 17, F.upper("lang")).alias("choice"),
+        (F.col("n_chars") % 101 / 100).alias("confidence"),
+        F.create_map(F.upper("lang"), p, F.lit("OTHER"), 1 - p).alias("probabilities"),
     )
-    responses = given.table(spark, folder, "documents").select(
-        F.col("doc_id").alias("id"), F.to_json(body).alias("raw_response")
+    usage = F.struct(
+        F.when(F.col("doc_id") % 50 == 27, "many").otherwise(F.col("n_chars").cast("string")).alias("input_tokens"),
+        (F.col("doc_id") % 3).alias("output_tokens"),
     )
-    typed = scoring.typed_responses(responses, RESPONSE_QUESTION)
-    return typed.select(
-        "id",
-        "prediction",
-        "confidence",
-        F.element_at("probabilities", F.col("prediction")).alias("p"),
-        "response_model",
-        "input_tokens",
-        "output_tokens",
+    question = F.when(F.col("doc_id") % 50 == 37, "another").otherwise(RESPONSE_QUESTION)
+    body = F.struct(F.col("source").alias("model"), F.create_map(question, answer).alias("answers"), usage.alias("usage"))
+    text = F.to_json(body)
+    return rows.select(
+        F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 50 == 47, F.substring(text, 1, 40)).otherwise(text).alias("raw_response")
     )
 
 
+@query(
+    """SELECT doc_id AS id, upper(lang) AS prediction, round(CAST(n_chars % 101 AS DOUBLE) / 100, 6) AS confidence,
+    round(CAST(40 + doc_id % 55 AS DOUBLE) / 100, 6) AS p, round(1 - CAST(40 + doc_id % 55 AS DOUBLE) / 100, 6) AS other,
+    source AS response_model, n_chars AS input_tokens, doc_id % 3 AS output_tokens
+    FROM documents WHERE doc_id % 10 <> 7"""
+)
+def typed_responses(spark: SparkSession, folder: str) -> DataFrame:
+    """Nested response JSON to typed columns."""
+    sound, _ = scoring.split_responses(_responses(spark, folder), RESPONSE_QUESTION)
+    shares = {"p": F.element_at("probabilities", F.col("prediction")), "other": F.element_at("probabilities", F.lit("OTHER"))}
+    columns = ["id", "prediction", "confidence", *shares, "response_model", "input_tokens", "output_tokens"]
+    return rounded(sound.withColumns(shares).select(*columns), "confidence", *shares)
+
+
+@query(
+    """SELECT doc_id AS id, CASE doc_id % 50 WHEN 7 THEN 'expected a choice answer' WHEN 17 THEN 'no choice is named'
+      WHEN 27 THEN 'input_tokens of another type' WHEN 37 THEN 'no answer to the question' ELSE 'no JSON' END AS problem
+    FROM documents WHERE doc_id % 10 = 7"""
+)
+def bad_responses(spark: SparkSession, folder: str) -> DataFrame:
+    """Responses that cannot be used, with the reason."""
+    _, bad = scoring.split_responses(_responses(spark, folder), RESPONSE_QUESTION)
+    return bad.select("id", "problem")
+
+
 @query(
     f"""SELECT doc_id AS id, md5(text) AS digest, 'm' AS model, 'choice' AS type,
     '{DOCUMENT_CLASSES[0][1]}' AS first_class FROM documents"""

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
 
+from labelloom.session import new_path
+
 # Quotes inside a field are doubled, fields may span lines and keep their outer blanks. Null is a lone
 # control character (U+001A) and an empty string is quoted, so that both come back as they were.
 CSV_OPTIONS = {
@@ -36,6 +38,19 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if 0 < files < cores else df
 
 
+def keyed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """Write a table in buckets of its key, each in order and in one file, and read it back.
+
+    Tables with the same number of buckets meet by this key, and are grouped by it, without a shuffle, as often as
+    that happens. Files lie in the shared folder; the catalog of the session knows the table under a name of its own.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    table = f"{name.replace('-', '_')}_{path[-32:]}"
+    written = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+    written.option("path", path).format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
 def read_splits(spark: SparkSession, paths: dict[str, str], schema: str | T.StructType) -> DataFrame:
     """Several splits as one table with a ``split`` column."""
     parts = [
