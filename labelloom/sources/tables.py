@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelloom.session import new_path
+from labelloom.sources.csv_records import records
 
 # Quotes inside a field are doubled, fields may span lines and keep their outer blanks. Null is a lone
 # control character (U+001A) and an empty string is quoted, so that both come back as they were.
@@ -63,7 +64,16 @@ def read_splits(spark: SparkSession, paths: dict[str, str], schema: str | T.Stru
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    return spark.read.schema(schema).options(**CSV_OPTIONS, multiLine=True).csv(path)
+    """A table from CSV files with a header; a large file is read by many tasks, though fields may span lines."""
+    wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    options = {**CSV_OPTIONS, "header": False, "multiLine": True, "mode": "PERMISSIVE"}
+    columns = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in wanted)
+    parsed = records(spark, path).where("NOT header").select(F.from_csv("text", columns, _strings(options)).alias("r"))
+    return parsed.select("r.*")
+
+
+def _strings(options: dict) -> dict[str, str]:
+    return {key: str(value).lower() if isinstance(value, bool) else value for key, value in options.items()}
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -1,8 +1,11 @@
+import csv
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from labelloom.operators import joins, scoring, taxonomy
-from labelloom.sources.tables import keyed
+from labelloom.sources.tables import CSV_OPTIONS, keyed, read_csv
 
 
 def test_keyed_tables_meet_without_a_shuffle(spark):
@@ -59,3 +62,53 @@ def test_bad_responses_are_listed_with_a_reason(spark):
     assert typed[1].confidence is None and typed[2].response_model is None
     with pytest.raises(Exception, match="no JSON for id 1"):
         scoring.typed_responses(spark.createDataFrame([(1, "{")], "id int, raw_response string"), "q").collect()
+
+
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def csv_rows(n):
+    """Rows short and long; some longer than several splits, with quotes, line breaks and separators."""
+    draw = random.Random(n)
+    rows = []
+    for i in range(n):
+        kind = draw.randrange(8)
+        text = [None, "", "plain", 'a "quoted", word', "two\nlines", "\n\n", 'x"\n"y', "long line,\n" * draw.choice([3, 40, 900])][kind]
+        rows.append((i, text, draw.choice(["en", None, 'd"e', "f\nr"]), i / 4))
+    return rows
+
+
+@pytest.mark.parametrize("ends", ["\n", "\r\n"])
+def test_a_large_csv_file_is_read_by_many_tasks(spark, tmp_path, small_splits, ends):
+    schema, rows = "id bigint, text string, lang string, x double", csv_rows(400)
+    for name, part in (("a.csv", rows[:300]), ("b.csv", rows[300:]), ("empty.csv", [])):
+        with open(tmp_path / name, "w", newline="") as out:
+            write = csv.writer(out, lineterminator=ends)
+            write.writerow(["id", "text", "lang", "x"])
+            for i, text, lang, x in part:
+                out.write(",".join([str(i), *["\x1a" if v is None else '"' + v.replace('"', '""') + '"' for v in (text, lang)], str(x)]) + ends)
+    found = read_csv(spark, str(tmp_path), schema)
+    assert sorted(tuple(r) for r in found.collect()) == rows
+    # The same with one task per file.
+    whole = spark.read.schema(schema).options(**CSV_OPTIONS, multiLine=True).csv(str(tmp_path))
+    assert found.exceptAll(whole).isEmpty() and whole.count() == 400
+    lines = spark.read.option("lineSep", "\n").text(str(tmp_path))
+    assert lines.rdd.getNumPartitions() > 30
+
+
+def test_a_csv_file_whose_last_record_stays_open(spark, tmp_path, small_splits):
+    (tmp_path / "t.csv").write_text("id,text\n1,a\n\n2,\"open\n" + "more\n" * 900)
+    found = {r.id: r.text for r in read_csv(spark, str(tmp_path), "id int, text string").collect()}
+    assert found[1] == "a" and found[2].startswith("open\nmore\n") and len(found) == 2
+
+
+def test_no_csv_rows(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("id,text\n")
+    (tmp_path / "nothing.csv").write_text("")
+    assert read_csv(spark, str(tmp_path), "id int, text string").collect() == []
