@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelloom.session import stored
-from labelloom.sizing import broadcast_if_small
+from labelloom.sizing import MAX_DIMENSION_ROWS, small_table
 
 SPLIT = ["file", "block"]
 # What a piece of text is to its record.
@@ -36,11 +36,11 @@ def records(spark: SparkSession, path: str | list[str]) -> DataFrame:
         "value",
         (F.length("value") - F.length(F.replace("value", F.lit('"')))).cast("int").alias("quotes"),
     )
-    counted = stored(lines.groupBy(*SPLIT).agg((F.sum("quotes") % 2).alias("odd")), "csv-splits")
+    counted = lines.groupBy(*SPLIT).agg((F.sum("quotes") % 2).alias("odd"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     states = counted.select(*SPLIT, (F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2 == 1).alias("open"))
     # One row per split.
-    known = lines.join(broadcast_if_small(stored(states, "csv-states")), SPLIT)
+    known = lines.join(small_table(states, MAX_DIMENSION_ROWS), SPLIT)
     pieces = stored(known.mapInArrow(joined_lines, PIECES), "csv-pieces")
     whole = pieces.where(F.col("kind") == WHOLE).select(_without_return("text").alias("text"), "first")
     parts = pieces.where(F.col("kind") != WHOLE)
