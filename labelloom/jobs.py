@@ -160,8 +160,8 @@ def fit_predict_record(
         F.lit(budget).alias("budget"),
         F.lit(draw).alias("draw"),
         "*",
-        F.lit(fitted.features).alias("terms"),
-        F.lit(fitted.model.summary.totalIterations).alias("iterations"),
+        F.lit(fitted.regression.coefficients.shape[0]).alias("terms"),
+        F.lit(fitted.regression.steps).alias("iterations"),
     )
     record = stored(card, "record")
     write_records(record, f"{folder}/records/run={model}_b{budget}_d{draw:02d}")

@@ -218,16 +218,16 @@ bins AS (
 @query(
     f"""WITH {RUN_BINS_SQL}, errors AS (
       SELECT model, budget, draw, sum(n * abs(mean - acc)) / sum(n) AS ece, max(abs(mean - acc)) AS mce FROM bins GROUP BY ALL)
-    SELECT model, budget, draw, count(*) AS examples, round(avg(CAST(correct AS DOUBLE)), 6) AS accuracy,
-           round(any_value(ece), 6) AS ece, round(any_value(mce), 6) AS mce,
-           round(avg(pow(selected - correct, 2)), 6) AS top_label_brier, round(avg(squares - 2 * p_true + 1), 6) AS multiclass_brier,
-           round(avg(-ln(greatest(p_true, 2.220446049250313e-16::DOUBLE))), 6) AS log_loss, min(confidence) AS min_confidence
+    SELECT model, budget, draw, count(*) AS examples, round(avg(CAST(correct AS DOUBLE)), 11) AS accuracy,
+           round(any_value(ece), 11) AS ece, round(any_value(mce), 11) AS mce,
+           round(avg(pow(selected - correct, 2)), 11) AS top_label_brier, round(avg(squares - 2 * p_true + 1), 11) AS multiclass_brier,
+           round(avg(-ln(greatest(p_true, 2.220446049250313e-16::DOUBLE))), 11) AS log_loss, min(confidence) AS min_confidence
     FROM runs JOIN errors USING (model, budget, draw) GROUP BY ALL"""
 )
 def calibration_by_run(spark: SparkSession, folder: str) -> DataFrame:
     summary = calibration.calibration_summary(calibration.bin_totals(_run_cases(spark, folder), len(LABELS), by=RUN), RUN)
     names = ("accuracy", "ece", "mce", "top_label_brier", "multiclass_brier", "log_loss")
-    return rounded(summary.select(*RUN, "examples", *names, "min_confidence"), *names)
+    return rounded(summary.select(*RUN, "examples", *names, "min_confidence"), *names, digits=11)
 
 
 @query(
