@@ -15,27 +15,47 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the model can tell; the model learns from the same documents."""
+    """Documents whose language the model can tell; the model learns from the same documents.
+
+    Null, empty and letterless texts go; so does everything where no row has a language. Equal rows stay or go alike,
+    null ids are kept, further columns are kept as they are, no rows give no rows.
+    """
     return language.in_known_language(docs, language.fit(docs))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id."""
+    """Of each group of linked fingerprints the document with the smallest id.
+
+    Null and empty texts are a group like any other; of equal rows and ids one stays; a null id stays only where its
+    group has no other; further columns are kept as they are, no rows give no rows.
+    """
     return simhash.one_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item.
+
+    Null, empty and wordless texts hold none and stay, as does everything where the benchmark is empty; equal rows stay or
+    go alike, null ids and further columns are kept as they are, no rows give no rows.
+    """
     return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the curriculum takes, one row for each use, in training order."""
+    """The documents that the curriculum takes, one row for each use, in training order.
+
+    Null and wordless texts have nothing to take and go; a null source is a source of its own, equal rows count each by
+    itself, further columns are kept as they are, no rows give no rows.
+    """
     return mixing.mixed_documents(docs)
 
 
 def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of every row of the mix."""
+    """The shard and slot of every row of the mix.
+
+    Null texts count as empty, null ids are ids like any other, equal rows share a shard, further columns are not
+    read, no rows give no rows.
+    """
     return sharding.sharded(docs)
 
 
