@@ -253,7 +253,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that hold no window of the benchmark."""
+    """The rows of ``docs``, all columns as they are, that hold no window of the benchmark.
+
+    Null, empty and wordless texts hold none and stay; equal rows stay or go alike, null ids are kept; an empty benchmark
+    keeps everything, no rows give no rows.
+    """
     path, blocks = block_path(benchmark)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -175,7 +175,11 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` that the mix takes whole, as often as it takes them, in training order."""
+    """The rows of ``docs`` that the mix takes whole, as often as it takes them, in training order.
+
+    Null, empty and wordless texts have nothing to take and go; a null source is a source of its own, null ids are ids
+    like any other, equal rows count each by itself, columns stay as they are whatever their names, no rows give no rows.
+    """
     found = mixed(sized(docs, keep_rows=True), whole=True, **settings).where("taken > 0")
     uses = F.explode(F.sequence(F.lit(0), F.floor(F.col("taken") / F.col("size")).cast("int") - 1))
     schedules = settings.get("schedules", SCHEDULES)
