@@ -22,37 +22,6 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), F.lit(1))
 
 
-def with_bigrams(tokens: Column) -> Column:
-    """The tokens followed by every pair of neighbours."""
-    pairs = F.zip_with(
-        F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))),
-        F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))),
-        lambda left, right: F.concat_ws(" ", left, right),
-    )
-    return F.concat(tokens, pairs)
-
-
-def term_counts(ordered: Column) -> Column:
-    """``array<struct<term, tf>>`` from a *sorted* array of terms.
-
-    Counts inside the row: one document never needs a shuffle to be counted.
-    Pass a column, not an expression, so that the sort happens once.
-    """
-    last = F.size(ordered) - 1
-    starts = F.filter(
-        F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")),
-        lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)),
-    )
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(last + 1))
-    return F.zip_with(
-        starts,
-        ends,
-        lambda start, end: F.struct(
-            F.get(ordered, start).alias("term"), (end - start).cast("int").alias("tf")
-        ),
-    )
-
-
 def parsed_answer(answer: Column, labels: Sequence[str]) -> Column:
     """One class from a free-text answer, or ``INVALID``.
 

@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelloom.functions.text import system_message, user_message
-from labelloom.operators.features import document_starts, document_stream, document_terms, tfidf, whole_documents
+from labelloom.operators.features import document_terms, marked_terms, tfidf
 from labelloom.operators.joins import pending
+from labelloom.session import stored
 from labelloom.sizing import MAX_CLASSES, dimension
 from labelloom.sources.results import ADDED, ResultsTable, last_rows
 
@@ -175,7 +176,9 @@ class ClassIndex:
         ordered = checked_classes(classes)
         number = {label: i for i, (label, _) in enumerate(ordered)}
         described = document_terms(dimension(spark, ordered, "id string, text string"))
-        found = sorted((row["term"], number[row["id"]], row["weight"]) for row in tfidf(described, vocab, ["id", "term"]).collect())
+        asked = described.select(F.explode("terms.term").alias("term")).distinct()
+        needed = stored(vocab.join(F.broadcast(asked), "term", "left_semi"), "class-vocabulary")
+        found = sorted((row["term"], number[row["id"]], row["weight"]) for row in tfidf(described, needed, ["id", "term"]).collect())
         terms = sorted({term for term, _, _ in found})
         place = {term: t for t, term in enumerate(terms)}
         held = np.array([place[term] for term, _, _ in found], dtype=np.int64)
@@ -206,8 +209,8 @@ def lexical_scores(
     Returns id, prediction, probabilities and confidence (first minus second probability). ``probabilities`` names every
     class, or the ``listed`` likeliest (10 where there are over 100 classes).
 
-    The plan does not depend on the classes: postings meet the vocabulary by a broadcast, and an inverted index of the class
-    terms gives a document's products with the classes that share a term with it. All others have cosine 0 and so
+    The plan does not depend on the classes: postings meet the vocabulary by a broadcast (of its frequent terms, where it is
+    too large), and an inverted index of the class terms gives a document's products with the classes that share a term with it. All others have cosine 0 and so
     equal odds, which are counted, not computed.
     """
     index = ClassIndex.of(inputs.sparkSession, classes, vocab)
@@ -215,26 +218,24 @@ def lexical_scores(
     listed = listed if listed is not None else (most if most <= ALL_LISTED else FEW_LISTED)
     numbers = dimension_of_terms(inputs.sparkSession, index.terms)
     schema = lexical_schema(inputs.schema["id"].dataType)
-    stream = document_stream(document_terms(inputs.select("id", "text")), vocab)
-    stream = stream.join(numbers, "term", "left").select("_row", "id", "raw", "number")
+    documents = marked_terms(document_terms(inputs.select("id", "text")), vocab, numbers)
     held = inputs.sparkSession.sparkContext.broadcast(index)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
-        for batch in whole_documents(batches):
-            starts = document_starts(batch)
-            raw = np.nan_to_num(batch.column("raw").to_numpy(zero_copy_only=False))
-            owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(raw))))
-            length = np.sqrt(np.bincount(owner, raw * raw, len(starts)))
-            known = batch.column("number").is_valid().to_numpy(zero_copy_only=False) & (raw > 0)
-            term = batch.column("number").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            ids = batch.column("id").take(pa.array(starts))
-            for first, last in spans_of(index, owner[known], term[known], len(starts), max(listed, 1)):
-                mine = known & (owner >= first) & (owner < last)
+        for batch in batches:
+            n = batch.num_rows
+            owner = np.repeat(np.arange(n), np.diff(batch.column("numbers").offsets.to_numpy()))
+            term = batch.column("numbers").flatten().to_numpy().astype(np.int64)
+            raw = batch.column("raws").flatten().to_numpy()
+            length = np.sqrt(batch.column("squares").to_numpy())
+            for first, last in spans_of(index, owner, term, n, max(listed, 1)):
+                mine = (owner >= first) & (owner < last)
                 document, label, odds = index.odds(owner[mine] - first, term[mine], raw[mine], length[first:last], temperature)
-                yield scored_batch(ids.slice(first, last - first), labels, document, label, odds, listed, schema.fieldNames())
+                ids = batch.column("id").slice(first, last - first)
+                yield scored_batch(ids, labels, document, label, odds, listed, schema.fieldNames())
 
-    return stream.mapInArrow(score, schema)
+    return documents.select("id", "squares", "numbers", "raws").mapInArrow(score, schema)
 
 
 def dimension_of_terms(spark: SparkSession, terms: list[str]) -> DataFrame:

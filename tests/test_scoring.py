@@ -71,10 +71,32 @@ def test_scores_with_a_large_vocabulary_are_the_same(spark, monkeypatch):
     vocab = stored(features.vocabulary(features.document_terms(corpus)), "vocabulary")
     columns = ["id", "prediction", F.round("confidence", 9).alias("c"), F.round(F.col("probabilities")["B"], 9).alias("b")]
     direct = stored(scoring.lexical_scores(corpus, CLASSES, vocab).select(*columns), "direct")
-    monkeypatch.setattr(features, "MAX_BROADCAST_TERMS", 3)
     monkeypatch.setattr(features, "ROWS_PER_TASK", 5)
-    salted = scoring.lexical_scores(corpus, CLASSES, vocab).select(*columns)
-    assert salted.count() == 42 and salted.exceptAll(direct).isEmpty() and direct.exceptAll(salted).isEmpty()
+    for most, words in ((3, 1000), (0, 1), (9, 2)):
+        monkeypatch.setattr(features, "MAX_BROADCAST_TERMS", most)
+        monkeypatch.setattr(features, "MAX_BROADCAST_ROWS", words)
+        large = scoring.lexical_scores(corpus, CLASSES, vocab).select(*columns)
+        assert large.count() == 42 and large.exceptAll(direct).isEmpty() and direct.exceptAll(large).isEmpty()
+
+
+def test_only_rare_terms_of_the_vocabulary_move(spark, monkeypatch):
+    corpus = texts(spark, [(i, f"common words r{i // 2} once{i}") for i in range(400)])
+    terms = features.document_terms(corpus, bigrams=False)
+    vocab = stored(features.vocabulary(terms), "vocabulary")
+    marks = spark.createDataFrame([("r7", 0), ("common", 1)], "term string, number int")
+    whole = {r["id"]: r for r in features.marked_terms(terms, vocab, marks).collect()}
+    kept = []
+    monkeypatch.setattr(features, "stored", lambda df, name: kept.append(stored(df, name)) or kept[-1])
+    monkeypatch.setattr(features, "MAX_BROADCAST_TERMS", 50)
+    found = {r["id"]: r for r in features.marked_terms(terms, vocab, marks).collect()}
+    assert found.keys() == whole.keys()
+    for i, row in found.items():
+        assert row["squares"] == pytest.approx(whole[i]["squares"])
+        assert sorted(zip(row["numbers"], row["raws"])) == sorted(zip(whole[i]["numbers"], whole[i]["raws"]))
+    moved = kept[0].select(F.inline("rare")).toPandas()["term"]
+    assert {f"r{i}" for i in range(200) if i != 7} <= set(moved)
+    # Frequent and marked terms stay, and few of the 400 terms outside the vocabulary pass the filter.
+    assert not {"common", "words", "r7"} & set(moved) and moved.str.startswith("once").sum() < 100
 
 
 def test_salted_join_equals_broadcast(spark, folder, monkeypatch):
