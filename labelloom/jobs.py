@@ -160,7 +160,7 @@ def fit_predict_record(
         F.lit(budget).alias("budget"),
         F.lit(draw).alias("draw"),
         "*",
-        F.lit(fitted.regression.coefficients.shape[0]).alias("terms"),
+        F.lit(fitted.regression.features).alias("terms"),
         F.lit(fitted.regression.steps).alias("iterations"),
     )
     record = stored(card, "record")
