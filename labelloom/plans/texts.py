@@ -634,7 +634,9 @@ def shared_results(spark: SparkSession, folder: str) -> DataFrame:
     """Two scorers and two class versions share a table through streams of several files, run numbers alike."""
     path, arriving = new_path(spark, "shared-results"), new_path(spark, "arriving")
     texts = _texts(spark, folder)
-    texts.repartition(3, "id").write.parquet(arriving)
+    # Three batches whatever the size; the files of a batch are as many as its share of the table needs.
+    files = max(1, -(-given.table(spark, folder, "documents").select("doc_id", "text").rdd.getNumPartitions() // 3))
+    texts.repartition(3 * files, "id").write.parquet(arriving)
 
     def scorer(change: Callable) -> Callable[[DataFrame], DataFrame]:
         def score(rows: DataFrame) -> DataFrame:
@@ -650,7 +652,7 @@ def shared_results(spark: SparkSession, folder: str) -> DataFrame:
     ]
     fields = T.StructType([T.StructField("id", T.LongType()), T.StructField("prediction", T.StringType())])
     for name, version, change in jobs:
-        stream = file_stream(spark, arriving, "id bigint, text string", files_per_batch=1)
+        stream = file_stream(spark, arriving, "id bigint, text string", files_per_batch=files)
         score_stream(stream, scorer(change), path, new_path(spark, "checkpoint"), name, version, fields).awaitTermination()
     found = scoring.read_results(spark, path, scoring.result_schema(fields))
     return scoring.latest(found, scoring.KEYS, ["run"]).select("scorer", "class_version", "id", "prediction")

@@ -52,3 +52,30 @@ def test_query_returns_rows(spark, folder, name):
 
 def test_entry(spark, folder):
     assert entry_points.entry(spark).count() == 6
+
+
+def test_shared_results_arrive_in_files_of_bounded_size(spark, folder, monkeypatch):
+    """A table of many parts arrives in more files, still in three batches a stream."""
+    from labelloom.plans import texts
+
+    batches, asked, streams, reader = [], [], texts.score_stream, texts.file_stream
+
+    def counted(*given):
+        query = streams(*given)
+        query.awaitTermination()
+        batches.append(len({progress["batchId"] for progress in query.recentProgress if progress["numInputRows"]}))
+        return query
+
+    monkeypatch.setattr(texts, "score_stream", counted)
+    monkeypatch.setattr(texts, "file_stream", lambda *given, **rest: asked.append((given[1], rest)) or reader(*given, **rest))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        parts = spark.read.parquet(f"{folder}/documents.parquet").rdd.getNumPartitions()
+        rows = QUERIES["shared_results"](spark, folder).count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    files = len(spark.read.parquet(asked[0][0]).inputFiles())
+    assert parts > 6 and files >= parts and asked[0][1] == {"files_per_batch": files // 3}
+    assert batches == [3, 3, 3] and rows == 3 * spark.read.parquet(f"{folder}/documents.parquet").count()
