@@ -218,7 +218,7 @@ def lexical_scores(
     listed = listed if listed is not None else (most if most <= ALL_LISTED else FEW_LISTED)
     numbers = dimension_of_terms(inputs.sparkSession, index.terms)
     schema = lexical_schema(inputs.schema["id"].dataType)
-    documents = marked_terms(document_terms(inputs.select("id", "text")), vocab, numbers)
+    documents = marked_terms(inputs.select("id", "text"), vocab, numbers)
     held = inputs.sparkSession.sparkContext.broadcast(index)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

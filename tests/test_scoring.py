@@ -79,6 +79,40 @@ def test_scores_with_a_large_vocabulary_are_the_same(spark, monkeypatch):
         assert large.count() == 42 and large.exceptAll(direct).isEmpty() and direct.exceptAll(large).isEmpty()
 
 
+def test_vocabulary_of_texts_is_that_of_counted_terms(spark, monkeypatch):
+    """Pieces of a few bytes; null and empty texts count as documents; no term is made to count documents."""
+    rows = [(i, f"Red apple w{i % 5} red apple pie{'!' * i} x") for i in range(30)] + [(30, ""), (31, None), (31, "red sky"), (None, "red sky")]
+    docs = spark.createDataFrame(rows, "id int, text string").repartition(2)
+    terms = features.document_terms(docs)
+    columns = ["term", "df", F.round("idf", 12).alias("idf")]
+    expected = stored(features.vocabulary(terms).select(*columns), "expected")
+    for most in (1, 100, 1 << 22):
+        monkeypatch.setattr(features, "VOCABULARY_BYTES", most)
+        found = stored(features.vocabulary(docs).select(*columns), "found")
+        assert found.schema == expected.schema and found.count() == expected.count() > 5
+        assert found.exceptAll(expected).isEmpty()
+    plan = features.vocabulary(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_texts_are_marked_like_their_counted_terms(spark, monkeypatch):
+    """Words in other pairs, words outside the vocabulary, null and empty texts; small and large vocabularies; pieces of a few bytes."""
+    rows = [(i, f"red apple w{i % 9} pie red apple{' sky' * (i % 3)} once{i}") for i in range(60)] + [(60, ""), (61, None), (62, "apple red"), (None, "zz yy")]
+    docs = spark.createDataFrame(rows, "id int, text string").repartition(2)
+    vocab = stored(features.vocabulary(docs), "vocabulary")
+    marks = spark.createDataFrame([("red apple", 0), ("w3", 1), ("sky", 2), ("unseen", 3)], "term string, number int")
+
+    def shown(df):
+        return {r["id"]: (round(r["squares"], 9), sorted((n, round(x, 9)) for n, x in zip(r["numbers"], r["raws"]))) for r in df.collect()}
+
+    expected = shown(features.marked_terms(features.document_terms(docs), vocab, marks))
+    assert len(expected) == 64 and expected[5][0] > 0
+    for most, size in ((1_000_000, 1 << 22), (1_000_000, 1), (4, 100), (0, 1)):
+        monkeypatch.setattr(features, "MAX_BROADCAST_TERMS", most)
+        monkeypatch.setattr(features, "VOCABULARY_BYTES", size)
+        assert shown(features.marked_terms(docs, vocab, marks)) == expected
+
+
 def test_only_rare_terms_of_the_vocabulary_move(spark, monkeypatch):
     corpus = texts(spark, [(i, f"common words r{i // 2} once{i}") for i in range(400)])
     terms = features.document_terms(corpus, bigrams=False)
